@@ -124,8 +124,8 @@ def shingle_sets(column, width: int) -> list[np.ndarray]:
             s = np.sort(full[a : b - width + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif b > a:
-            short = (words[a:b] * multipliers[: b - a]).sum(dtype=U64) + U64(b - a) * U64(0x165667B19E3779F9)
-            out.append(mix(np.array([short], U64)))
+            short = np.array([(words[a:b] * multipliers[: b - a]).sum(dtype=U64)])
+            out.append(mix(short + U64((b - a) * 0x165667B19E3779F9 & 0xFFFFFFFFFFFFFFFF)))
         else:
             out.append(np.zeros(0, U64))
     return out
