@@ -172,7 +172,7 @@ def test_quality_rules(docs):
 def test_depleted_documents(spark):
     foot = "\n".join(" ".join(f"{k}{j}" for j in range(11)) for k in "abcdef")
     unique = lambda i: " ".join(f"u{i}x{j}" for j in range(80))
-    data = [(i, f"{unique(i)}\n{foot}", "h") for i in range(40)]  # keeps most of what it has
+    data = [(i, f"{unique(i)}\n{foot}", "h") for i in range(90)]  # keeps most of what it has
     data += [(100 + i, f"only v{i} w{i} is own\n{foot}", "h") for i in range(30)]  # loses nearly all
     copied = "\n".join(" ".join(f"c{k}x{j}" for j in range(12)) for k in range(10))
     data += [(200 + i, copied, "h") for i in range(60)] + [(300 + i, copied.replace("c3x4", f"edit{i}"), "h") for i in range(60)]
