@@ -170,6 +170,7 @@ def test_quality_rules(docs):
 
 
 def test_depleted_documents(spark):
+    spell = lambda x: x.translate(str.maketrans("0123456789", "qrstuvwxyz"))  # noqa: E731  line rules take digits as equal
     foot = "\n".join(" ".join(f"{k}{j}" for j in range(11)) for k in "abcdef")
     unique = lambda i: " ".join(f"u{i}x{j}" for j in range(80))
     data = [(i, f"{unique(i)}\n{foot}", "h") for i in range(90)]  # keeps most of what it has
@@ -177,7 +178,7 @@ def test_depleted_documents(spark):
     copied = "\n".join(" ".join(f"c{k}x{j}" for j in range(12)) for k in range(10))
     data += [(200 + i, copied, "h") for i in range(60)] + [(300 + i, copied.replace("c3x4", f"edit{i}"), "h") for i in range(60)]
     data += [(400, f"only own\n{foot}", "another host")]
-    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    d = spark.createDataFrame([(i, spell(t), h) for i, t, h in data], "doc_id long, text string, source string")
     kept = {r["doc_id"] for r in quality_rules.quality_verdicts(d).where("kept").collect()}
     assert kept == {r[0] for r in data if not 100 <= r[0] < 200}
     assert {r["doc_id"] for r in quality_rules.apply_rules(d).collect()} == kept
