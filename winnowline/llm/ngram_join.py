@@ -6,12 +6,12 @@ column sums (document frequencies) come back in the same order, one byte each. S
 then discard most of the work before any product is taken:
 
 * a document of n n-grams links to nothing unless ceil(t n) of them occur elsewhere as well;
-* two linked documents share an n-gram among the first n - ceil(t n) + 1 in order of frequency;
-* documents of n1 and n2 n-grams, u1 and u2 of them unique, overlap at most by min(n1 - u1, n2 - u2),
-  and must overlap by t / (1 + t) (n1 + n2).
+* documents of n1 and n2 n-grams must overlap by o = ceil(t / (1 + t) (n1 + n2)), so they share an
+  n-gram among the first n1 - o + 1 and n2 - o + 1 in order of frequency;
+* from its places in both orders follows how much they can share before and behind it.
 
 Equal rows are one class. Of the pairs that the remaining columns make, first those with each column's
-hub (the row with fewest unique n-grams) are multiplied out, overlap counts are compared with the
+hub (the row that has the fewest rarer n-grams) are multiplied out, overlap counts are compared with the
 bound, and the links contracted to components; then every pair of *different* components that a column
 still joins. So no link between components is lost, and a group of n near copies costs about n
 products and not n^2.
@@ -106,7 +106,7 @@ def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int, bat
 
 
 def postings(classes: DataFrame, percent: int, batch_bytes: int) -> DataFrame:
-    """(gram, class, n, unique): the columns in which a row can meet a linked row first."""
+    """(gram, class, n, pos): the columns in which a row can meet a linked row first, and the gram's place in the row's order of frequency."""
     count = batches_for(classes, "items", batch_bytes)
     d = classes.select("class", "n", "items").withColumn("g", F.pmod(F.xxhash64("class"), F.lit(count)).cast("int"))
 
@@ -125,13 +125,13 @@ def postings(classes: DataFrame, percent: int, batch_bytes: int) -> DataFrame:
             first = (n - _needed(n, percent) + 1) - (n - len(shared))
             if first > 0 and len(shared):
                 order = shared[np.lexsort((own[shared], f[shared]))][:first]
-                out.append((own[order], np.full(len(order), row), np.full(len(order), n - len(shared))))
-        gram, row, unique = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
+                out.append((own[order], np.full(len(order), row), n - len(shared) + 1 + np.arange(len(order))))
+        gram, row, pos = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
         row = row.astype(np.int64)
-        return pa.table([pa.array(gram.view(np.int64)), rows.column("class").take(pa.array(row)), rows.column("n").take(pa.array(row)), pa.array(unique.astype(np.int64))], names=["gram", "class", "n", "unique"])
+        return pa.table([pa.array(gram.view(np.int64)), rows.column("class").take(pa.array(row)), rows.column("n").take(pa.array(row)), pa.array(pos.astype(np.int64))], names=["gram", "class", "n", "pos"])
 
     replies = d.groupBy("g").applyInArrow(ask, REQUEST).groupBy("bucket").applyInArrow(_column_sums, REPLY)
-    return cut(d.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(settle, "gram long, class long, n long, unique long"))
+    return cut(d.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(settle, "gram long, class long, n long, pos long"))
 
 
 def overlaps(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -154,20 +154,26 @@ def overlaps(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _fits(percent: int, left: str, right: str):
-    room = F.least(F.col(f"{left}.n") - F.col(f"{left}.unique"), F.col(f"{right}.n") - F.col(f"{right}.unique"))
-    return (100 + percent) * room >= percent * (F.col(f"{left}.n") + F.col(f"{right}.n"))
+    """Whether the overlap can reach the bound if the rows share this gram.
+
+    Linked rows meet within the first n - bound + 1 grams of either; and of what lies before, at and
+    behind the shared gram, the rows can have no more in common than the smaller part of each.
+    """
+    n, m, i, j = F.col(f"{left}.n"), F.col(f"{right}.n"), F.col(f"{left}.pos"), F.col(f"{right}.pos")
+    room = F.least(n - i + 1, m - j + 1, F.least(i, j) + F.least(n - i, m - j))
+    return (100 + percent) * room >= percent * (n + m)
 
 
 def class_links(classes: DataFrame, percent: int, batch_bytes: int) -> DataFrame:
     """(node, label) over the classes that link: first hub pairs, then pairs of components that still meet."""
     p = postings(classes, percent, batch_bytes)
     least = F.least(F.col("p.class"), F.col("h.class"))
-    hubs = p.groupBy("gram").agg(F.min(F.struct("unique", "class", "n")).alias("h"), F.count("*").alias("rows")).where("rows > 1").select(F.col("gram").alias("hub_gram"), "h.*")
+    hubs = p.groupBy("gram").agg(F.min(F.struct("pos", "class", "n")).alias("h"), F.count("*").alias("rows")).where("rows > 1").select(F.col("gram").alias("hub_gram"), "h.*")
     met = p.alias("p").join(hubs.alias("h"), F.col("p.gram") == F.col("h.hub_gram")).where((F.col("p.class") != F.col("h.class")) & _fits(percent, "p", "h"))
     first = cut(met.select(least.alias("a"), F.greatest(F.col("p.class"), F.col("h.class")).alias("b")).distinct())
     links = cut(overlaps(first, classes, percent))
     labels = cut(connected_components(links))
-    marked = p.join(labels, p["class"] == labels["node"], "left").select("gram", "class", "n", "unique", F.coalesce("label", "class").alias("label"))
+    marked = p.join(labels, p["class"] == labels["node"], "left").select("gram", "class", "n", "pos", F.coalesce("label", "class").alias("label"))
     split = marked.groupBy(F.col("gram").alias("split_gram")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("split_gram")
     open_rows = cut(marked.join(split, F.col("gram") == F.col("split_gram"), "left_semi"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
