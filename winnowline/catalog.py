@@ -1,4 +1,8 @@
-"""All registered queries and their oracle SQL."""
+"""All registered queries and their oracle SQL, by area."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from winnowline.queries import records, scoring, statistics
+
+QUERIES = records.QUERIES | scoring.QUERIES | statistics.QUERIES
+ORACLE = records.ORACLE | scoring.ORACLE | statistics.ORACLE
