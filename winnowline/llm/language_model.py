@@ -46,8 +46,10 @@ class EliasFano:
         self.n, self.low_bits = n, min(56, max(0, (universe // max(n, 1)).bit_length() - 1))
         v = values.astype(U64)
         low = v & U64((1 << self.low_bits) - 1)
-        bits = ((low[:, None] >> np.arange(self.low_bits, dtype=U64)) & U64(1)).astype(np.uint8)
-        self.low = np.concatenate((np.packbits(bits.reshape(-1), bitorder="little"), np.zeros(16, np.uint8)))
+        # 8192 values at a time: their bits fill whole bytes.
+        parts = [low[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8) for i in range(0, n, 8192)]
+        bits = [np.packbits(np.unpackbits(p, axis=1, bitorder="little")[:, : self.low_bits].reshape(-1), bitorder="little") for p in parts]
+        self.low = np.concatenate((*bits, np.zeros(16, np.uint8)))
         high = (v >> U64(self.low_bits)).astype(np.int64)
         size = (int(high[-1]) if n else 0) + n + 2
         unary = np.zeros(-(-size // 64) * 64 + 64, np.uint8)
@@ -299,13 +301,14 @@ def _score(rows: pa.Table, reply: pa.Table, shards: int, smooth: float, words: i
 def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", smooth: float = 50.0, batch_bytes: int = 16 << 20) -> DataFrame:
     """Learn from the rows that aren't held out and score all: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks = batches_for(docs, text, batch_bytes)
+    shards = 2 * blocks
     kind = docs.select(key).dtypes[0][1]
     d = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), held_out.alias("held_out"))
     by = d.withColumn("g", F.pmod(F.xxhash64("doc", F.length("text")), F.lit(blocks)).cast("int")).groupBy("g")
     asked = by.applyInArrow(lambda rows: _ask_words(rows, blocks), "bucket int, g int, words binary, counts binary")
     counted = cut(asked.groupBy("bucket").applyInArrow(_count_words, REPLY))
     words, total = counted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    pairs = by.cogroup(counted.groupBy("g")).applyInArrow(lambda rows, reply: _ask_pairs(rows, reply, blocks), "shard int, g int, contexts binary, context_counts binary, sizes binary, words binary, counts binary")
+    pairs = by.cogroup(counted.groupBy("g")).applyInArrow(lambda rows, reply: _ask_pairs(rows, reply, shards), "shard int, g int, contexts binary, context_counts binary, sizes binary, words binary, counts binary")
     codes = pairs.groupBy("shard").applyInArrow(lambda block: _answer_pairs(block, smooth), REPLY)
-    out = by.cogroup(counted.unionByName(codes).groupBy("g")).applyInArrow(lambda rows, reply: _score(rows, reply, blocks, smooth, words, total), f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = by.cogroup(counted.unionByName(codes).groupBy("g")).applyInArrow(lambda rows, reply: _score(rows, reply, shards, smooth, words, total), f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc", key)
