@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnowline.llm.common import batches_for, cut
-from winnowline.llm.kernel import U64, mix, word_hashes
+from winnowline.llm.kernel import U64, mix, trimmed, word_hashes
 
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 SUB = 16
@@ -305,10 +305,10 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     kind = docs.select(key).dtypes[0][1]
     d = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), held_out.alias("held_out"))
     by = d.withColumn("g", F.pmod(F.xxhash64("doc", F.length("text")), F.lit(blocks)).cast("int")).groupBy("g")
-    asked = by.applyInArrow(lambda rows: _ask_words(rows, blocks), "bucket int, g int, words binary, counts binary")
-    counted = cut(asked.groupBy("bucket").applyInArrow(_count_words, REPLY))
+    asked = by.applyInArrow(lambda rows: trimmed(_ask_words)(rows, blocks), "bucket int, g int, words binary, counts binary")
+    counted = cut(asked.groupBy("bucket").applyInArrow(lambda block: trimmed(_count_words)(block), REPLY))
     words, total = counted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    pairs = by.cogroup(counted.groupBy("g")).applyInArrow(lambda rows, reply: _ask_pairs(rows, reply, shards), "shard int, g int, contexts binary, context_counts binary, sizes binary, words binary, counts binary")
-    codes = pairs.groupBy("shard").applyInArrow(lambda block: _answer_pairs(block, smooth), REPLY)
-    out = by.cogroup(counted.unionByName(codes).groupBy("g")).applyInArrow(lambda rows, reply: _score(rows, reply, shards, smooth, words, total), f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    pairs = by.cogroup(counted.groupBy("g")).applyInArrow(lambda rows, reply: trimmed(_ask_pairs)(rows, reply, shards), "shard int, g int, contexts binary, context_counts binary, sizes binary, words binary, counts binary")
+    codes = pairs.groupBy("shard").applyInArrow(lambda block: trimmed(_answer_pairs)(block, smooth), REPLY)
+    out = by.cogroup(counted.unionByName(codes).groupBy("g")).applyInArrow(lambda rows, reply: trimmed(_score)(rows, reply, shards, smooth, words, total), f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc", key)

@@ -2,13 +2,14 @@
 
 Every byte under a ``length``-byte string that also starts in a document of a smaller id is removed.
 
-1. Anchors. In each window of ``length`` bytes the 16-byte grams with the least hash are anchors; equal
+1. Anchors. In each window of ``length`` bytes the 24-byte grams with the least hash are anchors; equal
    windows have equal anchors, so two documents that share a window share an anchor in it. An anchor's
-   context is all that windows around it can reach: 34 bytes to either side.
+   context is all that windows around it can reach: 26 bytes to either side.
 2. Row blocks (hash batches of documents) send each distinct (gram, context) with the smallest document
    that has it to gram buckets. The answer is one byte: nothing repeats here; a smaller document has
    the same context, so all of it is covered; or the gram has several contexts and needs the index.
-3. Only those contexts go, as bytes, to their bucket's index: suffixes sorted by their first ``length``
+3. Only those contexts go, as bytes, to their bucket, where those that share a gram and the bytes to one
+   side of it are indexed together: suffixes sorted by their first ``length``
    bytes with ties in document order, the transform run-length encoded, the document sampled at the
    head of each group of equal windows. Contexts are streamed through it from right to left: backward
    search over the runs keeps the row range of the last ``length`` bytes, which is the matching
@@ -31,14 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnowline.llm.common import batches_for
-from winnowline.llm.kernel import BASE, U64, byte_codes, mix, span_hashes, utf8
+from winnowline.llm.kernel import BASE, U64, byte_codes, mix, span_hashes, trimmed, utf8
 
-GRAM = 16
+#: Long enough that few grams repeat by chance: their contexts would all meet in one index.
+GRAM = 24
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
 REQUEST = "bucket int, g int, grams binary, contexts binary, doc_ids binary, docs binary"
 REPLY = "g int, bucket int, kind int, at binary, answers binary"
-CONTEXT = "bucket int, g int, at binary, docs binary, sizes binary, body binary"
+CONTEXT = "bucket int, g int, at binary, docs binary, sizes binary, lefts binary, body binary"
+#: Text of one index; only a single hot key can make a larger one.
+INDEX_BYTES = 1 << 20
 
 
 def _slide(x: np.ndarray, width: int, fold) -> np.ndarray:
@@ -53,10 +57,11 @@ def _slide(x: np.ndarray, width: int, fold) -> np.ndarray:
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     h, width = byte_codes()[data], 1
-    while width < GRAM:
+    while width < 8:
         h = h[:-width] * U64(pow(BASE, width, 1 << 64)) + h[width:]
         width *= 2
-    return mix(h)
+    up = U64(pow(BASE, 8, 1 << 64))
+    return mix((h[:-16] * up + h[8:-8]) * up + h[16:])
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +154,7 @@ def _judge(block: pa.Table) -> pa.Table:
     k, c, ids = (np.concatenate(x) for x in (k, c, ids))
     order = np.lexsort((ids, c, k))
     ks, cs, d = k[order], c[order], ids[order]
+    del k, c, ids
     new_gram = np.concatenate(([True], ks[1:] != ks[:-1]))
     new = new_gram.copy()
     new[1:] |= cs[1:] != cs[:-1]
@@ -187,10 +193,10 @@ def _contexts(rows: pa.Table, reply: pa.Table, length: int, buckets: int) -> pa.
             a = b.first[pairs]
             size = b.end[a] - b.start[a]
             flat = np.repeat(b.start[a] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            out.append((n, pairs.astype(np.int32).tobytes(), b.least[pairs].tobytes(), size.astype(np.uint16).tobytes(), b.data[flat].tobytes()))
+            out.append((n, pairs.astype(np.int32).tobytes(), b.least[pairs].tobytes(), size.astype(np.uint16).tobytes(), (b.at[a] - b.start[a]).astype(np.uint8).tobytes(), b.data[flat].tobytes()))
     g = rows.column("g")[0].as_py()
     column = lambda i, t: pa.array([o[i] for o in out], t)
-    return pa.table([column(0, pa.int32()), pa.array([g] * len(out), pa.int32()), *[column(i, pa.binary()) for i in (1, 2, 3, 4)]], names=["bucket", "g", "at", "docs", "sizes", "body"])
+    return pa.table([column(0, pa.int32()), pa.array([g] * len(out), pa.int32()), *[column(i, pa.binary()) for i in (1, 2, 3, 4, 5)]], names=["bucket", "g", "at", "docs", "sizes", "lefts", "body"])
 
 
 class RunIndex:
@@ -265,35 +271,65 @@ class RunIndex:
         return self.short_heads[np.searchsorted(self.short_heads, rows, side="right") - 1]
 
 
-def _stream(block: pa.Table, length: int) -> pa.Table:
-    """For each context a mask of the windows (bit: offset) that a smaller document has."""
-    at = [np.frombuffer(x, np.int32) for x in block.column("at").to_pylist()]
-    docs = np.concatenate([np.frombuffer(x, np.int64) for x in block.column("docs").to_pylist()])
-    sizes = np.concatenate([np.frombuffer(x, np.uint16) for x in block.column("sizes").to_pylist()]).astype(np.int64)
-    body = np.frombuffer(b"".join(block.column("body").to_pylist()), np.uint8)
+def _shared_windows(body: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For each text body[begin : begin + size] a mask of the windows (bit: offset) that a smaller document has."""
     order = np.argsort(docs, kind="stable")
-    begin = (np.cumsum(sizes) - sizes)[order]
-    size = sizes[order]
+    begin, size, docs = begin[order], size[order], docs[order]
     flat = np.repeat(begin - np.concatenate(([0], np.cumsum(size + 1)[:-1])), size + 1) + np.arange((size + 1).sum())
     ends = np.cumsum(size + 1) - 1
     flat[ends] = 0
     symbols = body[flat].astype(np.uint16) + 1
     symbols[ends] = 0
     index = RunIndex(symbols, length)
-    owner = np.repeat(docs[order], size + 1)
+    owner = np.repeat(docs, size + 1)
     rows, masks = np.zeros(len(size), np.int64), np.zeros(len(size), U64)
     alive = np.arange(len(size))
     for step in range(int(size.max())):
         alive = alive[size[alive] > step]
         r = index.extend(rows[alive], symbols[ends[alive] - 1 - step].astype(np.int64))
         if step >= length - 1:
-            hit = owner[index.first_text_position(r)] < docs[order][alive]
+            hit = owner[index.first_text_position(r)] < docs[alive]
             masks[alive] |= hit.astype(U64) << (size[alive] - 1 - step).astype(U64)
             r = index.shorten(r)
         rows[alive] = r
-    back = np.empty(len(size), U64)
-    back[order] = masks
-    parts = np.split(back, np.cumsum([len(x) for x in at])[:-1])
+    out = np.empty(len(size), U64)
+    out[order] = masks
+    return out
+
+
+def _stream(block: pa.Table, length: int) -> pa.Table:
+    """For each context a mask of the windows (bit: offset) that a smaller document has.
+
+    A window that reaches ``half`` bytes or more to the left of its gram has the gram and those bytes in
+    common with its like, any other window the gram and ``half`` bytes to the right. So contexts are
+    taken twice, by the left and by the right of these keys: one whose key no other context has is done,
+    the others are indexed key by key in indexes of bounded size. That also divides a hot gram.
+    """
+    half = (length - GRAM) // 2
+    at = [np.frombuffer(x, np.int32) for x in block.column("at").to_pylist()]
+    read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in block.column(c).to_pylist()]).astype(np.int64)
+    docs, sizes, lefts = read("docs", np.int64), read("sizes", np.uint16), read("lefts", np.uint8)
+    body = np.frombuffer(b"".join(block.column("body").to_pylist()), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    masks = np.zeros(len(sizes), U64)
+    for side in ("left", "right"):
+        shift = np.zeros(len(sizes), np.int64) if side == "left" else np.maximum(0, lefts - half + 1)
+        size = np.minimum(sizes, lefts + GRAM + half) if side == "left" else sizes - shift
+        long = np.flatnonzero(((lefts >= half) if side == "left" else (sizes - lefts >= GRAM + half)) & (size >= length))
+        first = begin[long] + lefts[long] - (half if side == "left" else 0)
+        keys = span_hashes(body, first, first + GRAM + half)
+        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        several = counts[inverse] > 1
+        long, inverse = long[several], inverse[several]
+        order = np.argsort(inverse, kind="stable")
+        long, key = long[order], inverse[order]
+        last = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if len(key) else key
+        part = np.cumsum(size[long])[last] // INDEX_BYTES if len(key) else key
+        ends = last[np.append(part[1:] != part[:-1], True)] + 1 if len(key) else key
+        for a, b in zip(np.concatenate(([0], ends[:-1])) if len(key) else [], ends):
+            own = long[a:b]
+            masks[own] |= _shared_windows(body, begin[own] + shift[own], size[own], docs[own], length) << shift[own].astype(U64)
+    parts = np.split(masks, np.cumsum([len(x) for x in at])[:-1])
     picked = [(x[p > 0].tobytes(), p[p > 0].tobytes()) for x, p in zip(at, parts)]
     n = len(picked)
     return pa.table([block.column("g"), block.column("bucket"), pa.array([1] * n, pa.int32()), pa.array([p[0] for p in picked], pa.binary()), pa.array([p[1] for p in picked], pa.binary())], names=["g", "bucket", "kind", "at", "answers"])
@@ -338,18 +374,18 @@ def _cover(rows: pa.Table, reply: pa.Table, length: int, with_text: bool) -> pa.
     return pa.table(columns, names=names)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, with_text: bool = False, batch_bytes: int = 10 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, with_text: bool = False, batch_bytes: int = 6 << 20) -> DataFrame:
     """Per document: key, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, if ``with_text``).
 
-    ``length`` may be 29 to 79: contexts hold at most 64 windows and the suffix order needs 28 bytes.
+    ``length`` may be 29 to 56: the suffix order needs at least 28 bytes and twice that at most.
     """
     buckets = batches_for(docs, text, batch_bytes)
     d = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("g", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
     by = d.groupBy("g")
-    asked = by.applyInArrow(lambda rows: _ask(rows, length, buckets), REQUEST)
-    replies = asked.groupBy("bucket").applyInArrow(_judge, REPLY)
-    contexts = by.cogroup(replies.groupBy("g")).applyInArrow(lambda rows, reply: _contexts(rows, reply, length, buckets), CONTEXT)
-    masks = contexts.groupBy("bucket").applyInArrow(lambda block: _stream(block, length), REPLY)
+    asked = by.applyInArrow(lambda rows: trimmed(_ask)(rows, length, buckets), REQUEST)
+    replies = asked.groupBy("bucket").applyInArrow(lambda block: trimmed(_judge)(block), REPLY)
+    contexts = by.cogroup(replies.groupBy("g")).applyInArrow(lambda rows, reply: trimmed(_contexts)(rows, reply, length, 4 * buckets), CONTEXT)  # small indexes
+    masks = contexts.groupBy("bucket").applyInArrow(lambda block: trimmed(_stream)(block, length), REPLY)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    out = by.cogroup(replies.unionByName(masks).groupBy("g")).applyInArrow(lambda rows, reply: _cover(rows, reply, length, with_text), schema)
+    out = by.cogroup(replies.unionByName(masks).groupBy("g")).applyInArrow(lambda rows, reply: trimmed(_cover)(rows, reply, length, with_text), schema)
     return out.withColumnRenamed("doc", key)

@@ -32,7 +32,7 @@ from winnowline.llm.common import shared_dir
 
 #: A space that does not lead a piece.
 ODD = re.compile(r" (?:\s|\Z)")
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 500_000
 _state: dict = {}
 
 
