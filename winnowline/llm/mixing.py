@@ -70,7 +70,7 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     words = (F.col("epoch") - 1) * F.col("source_size") + F.col("through")
     queued = queued.withColumn("finish", F.when(F.col("target") > 0, words / F.col("target")).otherwise(F.lit(0.0)))
     # Global range sort and truncation: sums of finish-time buckets first, exact order only in the bucket where the budget ends.
-    queued = cut(queued.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(2.0)) * buckets)))
+    queued = cut(queued.withColumn("slot", F.when(F.col("finish") <= 2, F.floor(F.col("finish") * buckets)).otherwise(2 * buckets + F.floor(F.log2("finish") * 256))))
     sums = queued.groupBy("slot").agg(F.sum("size").alias("in_slot"), F.max("budget").alias("budget"))
     ends = sums.withColumn("before", F.coalesce(F.sum("in_slot").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ends = ends.select(F.col("slot").alias("b"), "before", (F.col("before") + F.col("in_slot") <= F.col("budget")).alias("whole"), (F.col("before") < F.col("budget")).alias("some"))
