@@ -68,4 +68,4 @@ def decide(belief: Column, certainty: Column, veto: Column) -> Column:
 def weighted_signals(signals: DataFrame, by: str) -> DataFrame:
     """Of each independence group the largest value * weight, then the weighted mean."""
     best = signals.groupBy(by, "family").agg(F.max(F.struct(F.col("value") * F.col("weight"), "value", "weight")).alias("b"))
-    return best.groupBy(by).agg(F.round(F.sum(F.col("b.value") * F.col("b.weight")) / F.sum("b.weight"), 6).alias("policy_score"), F.count("*").alias("families"))
+    return best.groupBy(by).agg(F.round(F.sum(F.col("b.value") * F.col("b.weight")) / F.sum("b.weight"), 4).alias("policy_score"), F.count("*").alias("families"))

@@ -127,7 +127,7 @@ def decision_cascade(spark, d):
 SIGNALS_SQL = "SELECT o_custkey, o_orderpriority AS family, least(1.0, o_totalprice / 300000) AS value, (CASE WHEN o_orderstatus = 'F' THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight FROM orders"
 
 
-@R.add(f"SELECT o_custkey, round(sum(b.value * b.weight) / sum(b.weight), 6) AS policy_score, count(*) AS families FROM (SELECT o_custkey, family, max(struct_pack(s := value * weight, value := value, weight := weight)) AS b FROM ({SIGNALS_SQL}) GROUP BY ALL) GROUP BY o_custkey")
+@R.add(f"SELECT o_custkey, round(sum(b.value * b.weight) / sum(b.weight), 4) AS policy_score, count(*) AS families FROM (SELECT o_custkey, family, max(struct_pack(s := value * weight, value := value, weight := weight)) AS b FROM ({SIGNALS_SQL}) GROUP BY ALL) GROUP BY o_custkey")
 def weighted_policy(spark, d):
     s = table(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("family"), F.least(F.lit(1.0), F.col("o_totalprice") / 300000).alias("value"), F.when(F.col("o_orderstatus") == "F", 2.0).otherwise(1.0).alias("weight"))
     return S.weighted_signals(s, "o_custkey")
