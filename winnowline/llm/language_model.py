@@ -214,6 +214,15 @@ def _from_six(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold them all: most are below 256."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+
+def _wide(blobs: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+    return [np.frombuffer(b, f"u{len(b) // n}") for b, n in zip(blobs, lengths)]
+
+
 def _table(g: int, names: list[str], kinds: list, rows: list[tuple]) -> pa.Table:
     columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
     return pa.table([columns[0], pa.array([g] * len(rows), pa.int32()), *columns[1:]], names=[names[0], "g", *names[1:]])
@@ -261,20 +270,22 @@ def _ask_pairs(rows: pa.Table, reply: pa.Table, shards: int) -> pa.Table:
         lo, hi = at[k], at[k + 1]
         if hi > lo:
             head = np.flatnonzero(np.concatenate(([True], hc[lo + 1 : hi] != hc[lo : hi - 1])))
-            sizes = np.diff(np.append(head, hi - lo)).astype(np.int32)
-            out.append((k, hc[lo:hi][head].tobytes(), context_counts[context[lo:hi][head]].tobytes(), sizes.tobytes(), _six(hw[lo:hi]), counts[lo:hi].astype(np.int32).tobytes()))
+            sizes = np.diff(np.append(head, hi - lo))
+            out.append((k, hc[lo:hi][head].tobytes(), _narrow(context_counts[context[lo:hi][head]]), _narrow(sizes), _six(hw[lo:hi]), _narrow(counts[lo:hi])))
     return _table(rows.column("g")[0].as_py(), ["shard", "contexts", "context_counts", "sizes", "words", "counts"], [pa.int32(), *[pa.binary()] * 5], out)
 
 
 def _answer_pairs(block: pa.Table, smooth: float) -> pa.Table:
-    contexts, context_counts, sizes, counts = ([np.frombuffer(x, t) for x in block.column(c).to_pylist()] for c, t in (("contexts", U64), ("context_counts", np.int64), ("sizes", np.int32), ("counts", np.int32)))
+    contexts = [np.frombuffer(x, U64) for x in block.column("contexts").to_pylist()]
     words = [_from_six(x) for x in block.column("words").to_pylist()]
+    context_counts, sizes = (_wide(block.column(c).to_pylist(), [len(x) for x in contexts]) for c in ("context_counts", "sizes"))
+    counts = _wide(block.column("counts").to_pylist(), [len(x) for x in words])
     c = np.concatenate([np.repeat(x, s) for x, s in zip(contexts, sizes)])
     m = np.concatenate([np.repeat(x, s) for x, s in zip(context_counts, sizes)])
     w, n = np.concatenate(words), np.concatenate(counts)
     used = np.flatnonzero(n)
     order = used[np.lexsort((w[used], c[used]))]
-    c, w, m, n = c[order], w[order], m[order], n[order]
+    c, w, m, n = c[order], w[order], m[order].astype(float), n[order]
     new = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))) if len(c) else np.zeros(0, bool)
     total = np.add.reduceat(n.astype(np.int64), np.flatnonzero(new)) if len(c) else n
     with tempfile.TemporaryFile() as file:
