@@ -184,6 +184,19 @@ def test_depleted_documents(spark):
     assert {r["doc_id"] for r in quality_rules.apply_rules(d).collect()} == kept
 
 
+@pytest.mark.parametrize("long_docs, depleted", [(40, 30), (90, 300), (0, 3000)])
+def test_depleted_documents_do_not_hide_each_other(spark, long_docs, depleted):
+    spell = lambda x: x.translate(str.maketrans("0123456789", "qrstuvwxyz"))
+    foot = "\n".join(" ".join(f"{k}{j}" for j in range(11)) for k in "abcdef") + "\na notice " + "of many words " * 20
+    data = [(i, " ".join(f"u{i}x{j}" for j in range(400)) + f"\n{foot}", "h") for i in range(long_docs)]
+    data += [(10_000 + i, f"only v{i} is own\n{foot}", "h") for i in range(depleted)]
+    copied = "\n".join(" ".join(f"c{k}x{j}" for j in range(12)) for k in range(10))
+    data += [(20_000 + i, copied.replace(f"c{i % 10}x{i % 7}", f"edit{i}"), "h") for i in range(60)]  # near copies, edited all over
+    d = spark.createDataFrame([(i, spell(t), h) for i, t, h in data], "doc_id long, text string, source string")
+    gone = {r[0] for r in quality_rules.depleted_documents(d).collect()}
+    assert gone == {r[0] for r in data if 10_000 <= r[0] < 20_000}
+
+
 def test_mixing(docs):
     got = [r.asDict() for r in mixing.mix_report(docs).collect()]
     items = [(r["doc_id"], r["source"], len(words(r["text"]))) for r in docs.collect()]

@@ -5,10 +5,11 @@ stands in more than ``max_docs`` documents of one host is boilerplate there and
 document that loses more than ``max_lost`` of its line words is depleted and rejected.
 
 A copy group would make every line of its text frequent although the host repeats one document and
-not one line. Documents are therefore told apart by the longest *other* line that stands with the
-line: with c documents for each such companion, the distinct documents count as (sum c)^2 / sum c^2.
-Copies and near copies share companions and count as about one; boilerplate meets as many companions
-as it has documents. Deciding between copies stays the business of deduplication.
+not one line. So a line must also stand in more than ``min_distinct`` distinct documents, where documents
+count once that differ in nothing but long lines (12 words or more) which the host repeats, as they are
+or with up to about a quarter changed. Copies and near copies with edits in long lines count as one;
+a short line of its own makes a page distinct, however much boilerplate stands around it. Deciding
+between copies stays the business of deduplication.
 
 Edge cases: null text counts as empty; null hosts form one host of their own; a document without
 words has all counts 0 and fails the base rule; rows that repeat a doc_id are judged together for
@@ -61,33 +62,58 @@ def base_measures(docs: DataFrame, key: str = "doc_id", text: str = "text", keep
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def normal_line(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d", "0"), r"[\x20\x09-\x0D]+", " "))
+
+
+def loose_keys(line: Column, host: Column, least: int = 12) -> Column:
+    """Four hashes of a line of ``least`` words or more, each without another quarter; none for a shorter line.
+
+    Quarters are counted from both ends, so a word put in or taken out leaves the other three as they were.
+    """
+
+    def keys(w: Column) -> Column:
+        q = F.floor((F.size(w) + 1) / 4).cast("int")
+        return F.array(*[F.xxhash64(host, F.lit(k), F.slice(w, 1, q * k), F.slice(w, F.size(w) - q * (3 - k) + 1, q * (3 - k))) for k in range(4)])
+
+    return F.when(F.regexp_count(line, F.lit(" ")) >= least - 1, let(F.split(line, " "), keys)).otherwise(F.array().cast("array<bigint>"))
+
+
 def document_lines(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """One row for each distinct normalised line of a document: key, host, line hash, its words, its companion, all line words."""
-    normal = F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\d", "0"), r"[\x20\x09-\x0D]+", " ")))
-    lines = F.array_distinct(F.filter(normal, lambda x: x != ""))
-    pairs = F.transform(lines, lambda x: F.struct((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"), F.xxhash64(x).alias("h")))
-    d = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), pairs.alias("lines"))
-    d = d.select("key", "host", "lines", F.array_max("lines").alias("first"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("total"))
-    d = d.select("key", "host", "lines", "first", "total", F.array_max(F.filter("lines", lambda x: x["h"] != F.col("first.h"))).alias("second"))
-    d = d.select("key", "host", "total", F.col("first.h").alias("first"), F.coalesce(F.col("second.h"), F.lit(0)).alias("second"), F.explode("lines").alias("line"))
-    companion = F.when(F.col("line.h") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    return d.select("key", "host", "total", F.col("line.h").alias("line"), F.col("line.n").cast("long").alias("words"), companion.alias("companion"))
+    """One row for each distinct normalised line of a document: key, same, total, line, words, loose.
+
+    ``line`` and ``loose`` are hashed with the host. ``same`` is equal for documents of one host with the
+    same lines, ``total`` counts the words of all lines.
+    """
+    lines = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normal_line), lambda x: x != ""))
+    item = F.transform(lines, lambda x: F.struct(F.xxhash64(F.col(host), x).alias("line"), (F.regexp_count(x, F.lit(" ")) + 1).cast("long").alias("words"), loose_keys(x, F.col(host)).alias("loose")))
+    d = docs.select(F.col(key).alias("key"), item.alias("lines"))
+    d = d.select("key", F.xxhash64(F.sort_array("lines.line")).alias("same"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("total"), F.explode("lines").alias("l"))
+    return d.select("key", "same", "total", "l.line", "l.words", "l.loose")
 
 
 def frequent_lines(lines: DataFrame, max_docs: int, min_distinct: int) -> DataFrame:
-    """(host, line) above the limits; counts are summed before each shuffle, so a hot line is a few rows."""
-    by_companion = lines.groupBy("host", "line", "companion").agg(F.count("*").alias("c"))
-    counted = by_companion.groupBy("host", "line").agg(F.sum("c").alias("docs"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-    distinct = F.col("docs").cast("double") * F.col("docs") / F.col("squares")
-    return counted.where((F.col("docs") > max_docs) & (distinct > min_distinct)).select("host", "line")
+    """Lines above the limits; counts are summed before each shuffle, so a hot line is a few rows."""
+    by_text = lines.groupBy("line", "same").agg(F.count("*").alias("c")).groupBy("line").agg(F.sum("c").alias("docs"), F.count("*").alias("texts"))
+    often = cut(by_text.where((F.col("docs") > max_docs) & (F.col("texts") > min_distinct)).select("line", F.lit(True).alias("often")))
+    item = F.struct("line", "loose")
+    texts = lines.join(often, "line", "left").groupBy("same").agg(F.collect_set(F.when(F.col("often"), item)).alias("often"), F.collect_set(F.when(F.isnull("often"), item)).alias("own"))
+    texts = cut(texts.where(F.size("often") > 0))
+    # Loose keys of lines that stand in many texts, as they are or with a quarter of each changed.
+    varied = texts.select(F.explode(F.array_distinct(F.flatten("own.loose"))).alias("loose")).groupBy("loose").agg(F.count("*").alias("n")).where(F.col("n") > min_distinct).select("loose")
+    varied = cut(varied.union(texts.select(F.explode(F.flatten("often.loose")).alias("loose"))).distinct())
+    variants = texts.select("same", F.explode("own").alias("o")).select("same", "o.line", F.explode("o.loose").alias("loose")).join(varied, "loose", "left_semi").groupBy("same").agg(F.collect_set("line").alias("variants"))
+    short = F.transform(F.filter("often", lambda x: F.size(x["loose"]) == 0), lambda x: x["line"])
+    rest = F.array_except("own.line", F.coalesce("variants", F.array().cast("array<bigint>")))
+    labels = texts.join(variants, "same", "left").select(F.explode("often.line").alias("line"), F.xxhash64(F.sort_array(F.concat(short, rest))).alias("rest"))
+    return labels.distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > min_distinct).select("line")
 
 
 def depleted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, min_distinct: int = 10, max_lost: float = 0.7) -> DataFrame:
     """Keys of documents that lose more than ``max_lost`` of their line words to frequent lines."""
-    lines = document_lines(docs, key, text, host)
+    lines = cut(document_lines(docs, key, text, host))
     frequent = cut(frequent_lines(lines, max_docs, min_distinct))
-    a, b = lines.alias("a"), frequent.alias("b")
-    lost = a.join(b, F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")), "left_semi").groupBy("key").agg(F.sum("words").alias("lost"), F.sum("words").alias("n"), F.max("total").alias("total"))
+    lost = lines.join(frequent, "line", "left_semi").groupBy("key").agg(F.sum("words").alias("lost"), F.max("total").alias("total"))
     return cut(lost.where(F.col("lost") > max_lost * F.col("total")).select(F.col("key").alias("__depleted")))
 
 
