@@ -197,6 +197,43 @@ def test_depleted_documents_do_not_hide_each_other(spark, long_docs, depleted):
     assert gone == {r[0] for r in data if 10_000 <= r[0] < 20_000}
 
 
+def test_frequent_lines_are_removed(spark, docs):
+    """Lines and texts from the definition, with low limits."""
+
+    def normal(x):
+        return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", x.lower())).strip(" ")
+
+    def loose(x):
+        w = x.split(" ")
+        q = (len(w) + 1) // 4
+        return {(k, *w[: q * k], *w[len(w) - q * (3 - k) :]) for k in range(4)} if len(w) >= 12 else set()
+
+    foot = "Follow 12 of us\n\n  the  notice of this host says in more than twelve words that all is reserved here "
+    more = [(1000 + i, f"{foot}\nown line v{chr(97 + i)}\n" + " ".join(f"p{chr(97 + i)}x{j}" for j in range(90)) + f"\n Follow {i + 10} of us", "en", "h", 5, "k", 1, 2) for i in range(9)]
+    d = docs.unionByName(spark.createDataFrame(more, SCHEMA).select(*docs.columns)) if docs.columns == [x.split()[0] for x in SCHEMA.split(", ")] else docs
+    items = [(r["doc_id"], r["source"], r["text"]) for r in d.collect()]
+    per = [{x for x in map(normal, (t or "").split("\n")) if x} for _, _, t in items]
+    frequent = {}
+    for host in {h for _, h, _ in items}:
+        count = Counter(x for (_, h, _), s in zip(items, per) if h == host for x in s)
+        texts = {frozenset(s) for (_, h, _), s in zip(items, per) if h == host and s}
+        often = {x for x, n in count.items() if n > 3 and sum(x in s for s in texts) > 2}
+        texts = [s for s in texts if s & often]
+        varied = Counter(y for s in texts for y in set().union(*map(loose, s - often)))
+        varied = {y for y, n in varied.items() if n > 2} | set().union(*map(loose, often))
+        rest = {s: frozenset(x for x in s if not loose(x) or (x not in often and not loose(x) & varied)) for s in texts}
+        frequent[host] = {x for x in often if len({rest[s] for s in texts if x in s}) > 2}
+    want = bag((i, h, "\n".join(x for x in t.split("\n") if normal(x) not in frequent[h]) if t is not None else None) for i, h, t in items)
+    found = quality_rules.lines_to_remove(d, max_docs=3, min_distinct=2)
+    got = quality_rules.remove_lines(d, found)
+    assert got.columns == d.columns
+    assert bag((r["doc_id"], r["source"], r["text"]) for r in got.collect()) == want
+    if d is not docs:
+        assert frequent["h"] >= {"follow 00 of us", normal(foot.split("\n")[2])}
+        kept = [r for r in quality_rules.apply_rules(d, max_docs=3, min_distinct=2).collect() if r["source"] == "h"]
+        assert len(kept) == 9 and all(r["n_chars"] == len(r["text"]) and "ollow" not in r["text"] and r["text"].startswith("\nown line") for r in kept)
+
+
 def test_mixing(docs):
     got = [r.asDict() for r in mixing.mix_report(docs).collect()]
     items = [(r["doc_id"], r["source"], len(words(r["text"]))) for r in docs.collect()]

@@ -14,7 +14,7 @@ between copies stays the business of deduplication.
 Edge cases: null text counts as empty; null hosts form one host of their own; a document without
 words has all counts 0 and fails the base rule; rows that repeat a doc_id are judged together for
 depletion and measured each by itself; a null doc_id is a key like any other; an empty table gives an
-empty result. Input columns other than key, text and host pass through ``apply_rules`` untouched.
+empty result. ``apply_rules`` changes no column but text and n_chars.
 """
 
 from __future__ import annotations
@@ -79,17 +79,21 @@ def loose_keys(line: Column, host: Column, least: int = 12) -> Column:
     return F.when(F.regexp_count(line, F.lit(" ")) >= least - 1, let(F.split(line, " "), keys)).otherwise(F.array().cast("array<bigint>"))
 
 
+def row_hash(key: str, text: str, host: str) -> Column:
+    return F.xxhash64(key, host, text)
+
+
 def document_lines(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """One row for each distinct normalised line of a document: key, same, total, line, words, loose.
+    """One row for each distinct normalised line of a document: key, row, same, total, line, words, loose.
 
-    ``line`` and ``loose`` are hashed with the host. ``same`` is equal for documents of one host with the
+    ``row`` is a hash of key, host and text; ``line`` and ``loose`` are hashed with the host. ``same`` is equal for documents of one host with the
     same lines, ``total`` counts the words of all lines.
     """
     lines = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normal_line), lambda x: x != ""))
     item = F.transform(lines, lambda x: F.struct(F.xxhash64(F.col(host), x).alias("line"), (F.regexp_count(x, F.lit(" ")) + 1).cast("long").alias("words"), loose_keys(x, F.col(host)).alias("loose")))
-    d = docs.select(F.col(key).alias("key"), item.alias("lines"))
-    d = d.select("key", F.xxhash64(F.sort_array("lines.line")).alias("same"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("total"), F.explode("lines").alias("l"))
-    return d.select("key", "same", "total", "l.line", "l.words", "l.loose")
+    d = docs.select(F.col(key).alias("key"), row_hash(key, text, host).alias("row"), item.alias("lines"))
+    d = d.select("key", "row", F.xxhash64(F.sort_array("lines.line")).alias("same"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("total"), F.explode("lines").alias("l"))
+    return d.select("key", "row", "same", "total", "l.line", "l.words", "l.loose")
 
 
 def frequent_lines(lines: DataFrame, max_docs: int, min_distinct: int) -> DataFrame:
@@ -109,14 +113,37 @@ def frequent_lines(lines: DataFrame, max_docs: int, min_distinct: int) -> DataFr
     return labels.distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > min_distinct).select("line")
 
 
-def depleted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, min_distinct: int = 10, max_lost: float = 0.7) -> DataFrame:
-    """Keys of documents that lose more than ``max_lost`` of their line words to frequent lines."""
+def lines_to_remove(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, min_distinct: int = 10) -> DataFrame:
+    """The distinct lines of documents that are frequent on their host: key, row, line, words, total."""
     lines = cut(document_lines(docs, key, text, host))
-    frequent = cut(frequent_lines(lines, max_docs, min_distinct))
-    lost = lines.join(frequent, "line", "left_semi").groupBy("key").agg(F.sum("words").alias("lost"), F.max("total").alias("total"))
+    frequent = frequent_lines(lines, max_docs, min_distinct)
+    return cut(lines.join(frequent, "line", "left_semi").select("key", "row", "line", "words", "total"))
+
+
+def depleted(found: DataFrame, max_lost: float) -> DataFrame:
+    lost = found.groupBy("key").agg(F.sum("words").alias("lost"), F.max("total").alias("total"))
     return cut(lost.where(F.col("lost") > max_lost * F.col("total")).select(F.col("key").alias("__depleted")))
 
 
+def depleted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_lost: float = 0.7, **limits) -> DataFrame:
+    """Keys of documents that lose more than ``max_lost`` of their line words to frequent lines."""
+    return depleted(lines_to_remove(docs, key, text, host, **limits), max_lost)
+
+
+def remove_lines(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", length: str = "n_chars") -> DataFrame:
+    """``docs`` without the lines that ``found`` (of lines_to_remove) has for them; the others keep their order and form.
+
+    Only documents that lose a line are taken apart. Where there is a column ``length``, theirs is counted anew.
+    """
+    gone = found.groupBy("row").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("row", "__row")
+    d = docs.withColumn("__row", row_hash(key, text, host)).join(gone, "__row", "left")
+    left = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(F.col(host), normal_line(x))))
+    d = d.withColumn(text, F.when(F.isnull("__gone"), F.col(text)).otherwise(F.array_join(left, "\n")))
+    if length in docs.columns:
+        d = d.withColumn(length, F.when(F.isnull("__gone"), F.col(length)).otherwise(F.length(text)).cast(docs.schema[length].dataType))
+    return d.select(*docs.columns)
+
+
 def quality_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """Every document's measures, base_failed and kept."""
     measures = base_measures(docs, key, text)
@@ -125,10 +152,11 @@ def quality_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", h
     return d.withColumn("kept", ~F.col("base_failed") & F.isnull("__depleted")).drop("__depleted")
 
 
-def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The documents that the rules keep, with their columns as they came."""
-    gone = depleted_documents(docs, key, text, host, **limits)
+def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_lost: float = 0.7, **limits) -> DataFrame:
+    """The documents that the rules keep, judged by the text as it came, without their host's frequent lines."""
+    found = lines_to_remove(docs, key, text, host, **limits)
+    gone = depleted(found, max_lost)
     words = word_array(F.col(text))
     n, repeated = F.size(words), repeated_window_words(words)
     ok = docs.where((n >= 50) & (100 * repeated <= 50 * n))
-    return ok.join(gone, ok[key].eqNullSafe(gone["__depleted"]), "left_anti")
+    return remove_lines(ok.join(gone, ok[key].eqNullSafe(gone["__depleted"]), "left_anti"), found, key, text, host)
