@@ -46,6 +46,22 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
+def utf8_bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a large binary array without nulls."""
+    if not len(a):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, off, data = a.buffers()
+    offsets = np.frombuffer(off, np.int64)[a.offset : a.offset + len(a) + 1]
+    body = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return body, offsets - offsets[0]
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size says, one behind the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 @functools.cache
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """(is a space, the byte with A-Z in lower case)."""
