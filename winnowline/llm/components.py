@@ -20,11 +20,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, label) for the nodes of edges (a, b): the label is the least node of the component.
 
     Each step is a grouped minimum and a join, in O(log n) rounds; each round's edges are written to
-    the shared folder, so the plan stays short and lost executors cost one round.
+    the shared folder, so the plan stays short and lost executors cost one round. It ends when a round
+    changes nothing; more rounds than ``max_rounds`` are an error, never a wrong label.
     """
     big = F.greatest("a", "b")
     now = cut(edges.where("a <> b").select(big.alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -35,5 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if found == mark:
             break
         mark = found
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)

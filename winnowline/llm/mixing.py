@@ -6,14 +6,21 @@ sources reach 1 together; sorting by finish time and stopping at the total budge
 near its target. Running sums are taken in two levels (sums of hash buckets, then within one bucket),
 so neither a hot source nor the whole mix passes through one task.
 
+A document's place depends on its key, source and text only, so reruns and other layouts give the same
+mix. The number of buckets grows with the rows: none holds more than a few thousand on average. Only the
+table of sources (one row each) is ordered in one task.
+
 Edge cases: null or blank texts have size 0 and cost nothing, they are taken in every epoch their
-place allows; a null source is a source, ordered last; equal rows queue one behind the other in hash
-order and share whatever their place gives; an empty table gives an empty result.
+place allows; a null source is a source, ordered last; rows with equal key, source and text queue one
+behind the other and each counts (which of them is taken can't be told apart); an empty table gives an
+empty result; other columns are ignored by the report and kept by ``apply_mix``, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,41 +51,52 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_epo
     return s.select("source", "source_size", "weight", target.alias("target"), "budget")
 
 
+def place_hashes(seed: int, key: str, source: str, text: str) -> tuple[Column, Column]:
+    """(place in the queue, tie-break by text): both are functions of the row's content."""
+    return F.xxhash64(F.lit(seed), F.col(key), F.col(source)), F.xxhash64(F.lit(seed), F.col(text))
+
+
 def document_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42) -> DataFrame:
-    shuffle_key = F.xxhash64(F.lit(seed), F.col(key), F.col(source))
-    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"), shuffle_key.alias("h"), F.monotonically_increasing_id().alias("row"))
+    h, t = place_hashes(seed, key, source, text)
+    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"), h.alias("h"), t.alias("t"), F.monotonically_increasing_id().alias("row"))
 
 
-def queue_positions(sizes: DataFrame, hash_bits: int = 12) -> DataFrame:
+def queue_order() -> list:
+    """Rows behind each other in a queue: by hash, then key and text; ``row`` only parts rows that are equal in all of these."""
+    return ["h", F.col("key").asc_nulls_last(), "t", "size", "row"]
+
+
+def queue_positions(sizes: DataFrame, buckets: int) -> DataFrame:
     """Adds ``through``: the source's words in hash order up to and with the document."""
-    d = sizes.withColumn("bucket", F.shiftrightunsigned("h", 64 - hash_bits))
+    d = sizes.withColumn("bucket", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * buckets))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     offsets = sums.withColumn("offset", F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
     offsets = offsets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce("offset", F.lit(0)).alias("offset"))
-    inside = W.partitionBy("source", "bucket").orderBy("h", F.col("key").asc_nulls_last(), "row").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "bucket").orderBy(*queue_order()).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("inside", F.sum("size").over(inside))
     d = d.join(offsets, d["source"].eqNullSafe(offsets["s"]) & (d["bucket"] == offsets["b"]))
     return d.withColumn("through", F.col("offset") + F.col("inside")).drop("s", "b", "offset", "inside", "bucket")
 
 
-def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0, seed: int = 42, buckets: int = 8192) -> tuple[DataFrame, DataFrame]:
-    """(the mix, the sizes). The mix has a row for each taken copy: row (of the sizes), key, source, size, epoch, finish."""
+def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0, seed: int = 42, bucket_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(the mix, the sizes). The mix has a row for each taken copy: row (of the sizes), key, source, h, t, size, epoch, finish."""
     sizes = cut(document_sizes(docs, key, text, source, seed))
+    buckets = max(4096, math.ceil(sizes.count() / bucket_rows))
     targets = source_targets(sizes, cycle, max_epochs, share).withColumnRenamed("source", "s")
-    queued = queue_positions(sizes).join(targets, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    queued = queue_positions(sizes, buckets).join(targets, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     queued = queued.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(max_epochs))))
     words = (F.col("epoch") - 1) * F.col("source_size") + F.col("through")
     queued = queued.withColumn("finish", F.when(F.col("target") > 0, words / F.col("target")).otherwise(F.lit(0.0)))
-    # Global range sort and truncation: sums of finish-time buckets first, exact order only in the bucket where the budget ends.
-    queued = cut(queued.withColumn("slot", F.when(F.col("finish") <= 2, F.floor(F.col("finish") * buckets)).otherwise(2 * buckets + F.floor(F.log2("finish") * 256))))
+    # Global range sort and truncation: sums of finish-time ranges first, exact order only in the range where the budget ends.
+    queued = cut(queued.withColumn("slot", F.when(F.col("finish") <= 2, F.floor(F.col("finish") * 2 * buckets)).otherwise(4 * buckets + F.floor(F.log2("finish") * buckets / 16))))
     sums = queued.groupBy("slot").agg(F.sum("size").alias("in_slot"), F.max("budget").alias("budget"))
     ends = sums.withColumn("before", F.coalesce(F.sum("in_slot").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ends = ends.select(F.col("slot").alias("b"), "before", (F.col("before") + F.col("in_slot") <= F.col("budget")).alias("whole"), (F.col("before") < F.col("budget")).alias("some"))
     d = queued.join(ends, queued["slot"] == ends["b"]).where("whole or some")
     edge = d.where("not whole")
-    through = F.col("before") + F.sum("size").over(W.partitionBy("slot").orderBy("finish", F.col("source").asc_nulls_last(), "h", F.col("key").asc_nulls_last(), "row", "epoch").rowsBetween(W.unboundedPreceding, 0))
+    through = F.col("before") + F.sum("size").over(W.partitionBy("slot").orderBy("finish", F.col("source").asc_nulls_last(), *queue_order(), "epoch").rowsBetween(W.unboundedPreceding, 0))
     edge = edge.withColumn("through", through).where(F.col("through") <= F.col("budget"))
-    columns = ["row", "key", "source", "size", "epoch", "finish"]
+    columns = ["row", "key", "source", "h", "t", "size", "epoch", "finish"]
     return d.where("whole").select(*columns).unionByName(edge.select(*columns)), sizes
 
 
@@ -91,14 +109,21 @@ def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     return d.select(F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", ordered: bool = True, **options) -> DataFrame:
-    """The documents of the mix with their columns, one row for each taken copy, range-sorted by finish time if ``ordered``.
-
-    Rows are matched by key and source; rows that repeat both go together.
-    """
-    taken, _ = mixture(docs, key, text, source, **options)
-    picked = taken.groupBy(F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("epoch").alias("__epoch")).agg(F.min("finish").alias("__finish"))
-    joined = docs.join(picked, docs[key].eqNullSafe(picked["__key"]) & docs[source].eqNullSafe(picked["__source"]))
+def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", ordered: bool = True, seed: int = 42, **options) -> DataFrame:
+    """The documents of the mix with their columns, one row for each taken copy, range-sorted by finish time if ``ordered``."""
+    taken, sizes = mixture(docs, key, text, source, seed=seed, **options)
+    same = ["h", "t"]
+    picked = taken.groupBy(*same, "epoch").agg(F.min("finish").alias("__finish"), F.count("*").alias("__taken"))
+    picked = cut(picked.join(sizes.groupBy(*same).agg(F.count("*").alias("__rows")), same).withColumnsRenamed({"h": "__h", "t": "__t", "epoch": "__epoch"}))
+    h, t = place_hashes(seed, key, source, text)
+    d = docs.select("*", h.alias("__h"), t.alias("__t"))
+    split = picked.where("__taken < __rows")
+    out = d.join(picked.where("__taken = __rows"), ["__h", "__t"])
+    if not split.isEmpty():
+        # Of equal rows, which stand behind each other, the edge of the budget takes some and leaves others.
+        some = d.join(split, ["__h", "__t"])
+        some = some.withColumn("__n", F.row_number().over(W.partitionBy("__h", "__t", "__epoch").orderBy(F.lit(0)))).where("__n <= __taken").drop("__n")
+        out = out.unionByName(some)
     if ordered:
-        joined = joined.repartitionByRange(F.col("__finish"), F.col("__key")).sortWithinPartitions("__finish", "__key")
-    return joined.select(*[docs[c] for c in docs.columns])
+        out = out.repartitionByRange(F.col("__finish"), F.col("__h")).sortWithinPartitions("__finish", "__h")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_format_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_preferences(*chat_format.swapped_answers(table(spark, sf_dir, "conversations")))
+    return chat_format.format_preferences(*chat_format.contrasted_conversations(table(spark, sf_dir, "conversations")))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +59,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_format_preferences, op3_quality_classifier, op4_ngram_jaccard_join, op5_remove_repeats, op6_benchmark_decontamination, op7_language_id, op8_lm_scoring, op9_token_files, op10_quality_rules)}
 
 #: SQL that returns the same rows; the other queries are held against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_format_preferences": chat_format.SQL}

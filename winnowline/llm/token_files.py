@@ -35,8 +35,8 @@ from winnowline.llm.common import shared_dir
 from winnowline.llm.kernel import spread, utf8, utf8_bytes
 
 #: Pieces that a worker remembers at most, and bytes of text that are taken apart at once.
-CACHE_PIECES = 1_000_000
-PART_BYTES = 6 << 20
+CACHE_PIECES = 700_000
+PART_BYTES = 4 << 20
 
 
 @functools.cache
