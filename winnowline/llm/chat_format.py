@@ -72,8 +72,10 @@ def contrasted_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     answers = F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text"))))
     c = t.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("opener"), answers.alias("answers")).where(F.size("answers") > 0)
     c = c.select("conv_id", F.struct("opener.role", "opener.text").alias("opener"), F.element_at("answers", -1).alias("last"), F.element_at("answers", (F.pmod(F.shiftright("conv_id", 1), F.size("answers")) + 1).cast("int"))["turn"].alias("swap_at"))
-    same = c.groupBy("opener").agg(F.min("conv_id").alias("low"), F.max("conv_id").alias("high"))
-    c = c.join(same, "opener").withColumn("partner", F.when(F.col("low") < F.col("high"), F.when(F.col("conv_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))))
+    same = c.groupBy("opener").agg(F.min("conv_id").alias("low"), F.max("conv_id").alias("high")).where("low < high")
+    # A very common opener meets its conversations in 32 places.
+    same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    c = c.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(32)).cast("int")).join(same, ["opener", "salt"], "left").withColumn("partner", F.when(F.col("conv_id") == F.col("low"), F.col("high")).otherwise(F.col("low")))
     other = c.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other"))
     c = c.join(other, "conv_id", "left").select("conv_id", F.col("last.turn").alias("at"), "swap_at", "other", "partner")
     kept = t.join(c, "conv_id").where(F.col("turn") <= F.col("at"))

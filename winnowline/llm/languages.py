@@ -6,15 +6,18 @@ expectation-maximisation finds the shares of the languages from its n-gram likel
 are added to the set while a further one raises the likelihood by more than its penalty. The prediction
 is the language with the largest share.
 
-Edge cases: a text that is null or has no letter is ``und`` with score 0; documents with null language or
-id don't train, an id that repeats trains once for each row; with no training rows all texts are
-``und``; ties go to the first language by code point; an empty table gives an empty result.
+The model is a row of bins for each language. Languages are few by nature; more than ``max_languages``
+distinct names in the column are an error, for then it holds something else.
+
+Edge cases: a text that is null or has no letter is ``und`` with score 0; documents with null language
+don't train, nor do those whose training condition is null (as that of a null id); an id that repeats
+trains once for each row; with no training rows all texts are ``und``; ties go to the first language by
+code point; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from winnowline.llm.kernel import U64, mix
 
-BITS = 15
+#: So many bins that scripts with thousands of letters still part; a language's row of the model has 1 MB.
+BITS = 18
 
 
 @functools.cache
@@ -38,10 +42,6 @@ def letters() -> np.ndarray:
     return out
 
 
-def has_letter(text: str) -> bool:
-    return any(unicodedata.category(c)[0] == "L" for c in text)
-
-
 def ngram_bins(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bins, bounds by text, letters by text); n-grams don't cross breaks, and a break counts as a letter at word ends."""
     table = letters()
@@ -62,11 +62,14 @@ def ngram_bins(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bins.reshape(-1), count[bounds] * 3, np.diff(n_letters[bounds])
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_languages: int = 200) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by language and bin). The bins of all documents are summed in Spark.
 
-    What reaches the driver has at most 2^15 rows a language: the languages are few by nature.
+    What reaches the driver is one row of bins a language.
     """
+    names = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang")).distinct().limit(max_languages + 1).collect()
+    if len(names) > max_languages:
+        raise ValueError(f"column {lang} has more than {max_languages} languages")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -86,39 +89,51 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
 
     d = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counted = d.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    rows = counted.groupBy("lang").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("n")).collect()
-    rows.sort(key=lambda r: r["lang"])
+
+    def pack(block: pa.Table) -> pa.Table:
+        dense = np.zeros(1 << BITS)
+        dense[block.column("bin").to_numpy()] = block.column("n").to_numpy()
+        return pa.table([block.column("lang").slice(0, 1), pa.array([dense.tobytes()], pa.binary())], names=["lang", "counts"])
+
+    rows = sorted(counted.groupBy("lang").applyInArrow(pack, "lang string, counts binary").collect())
     table = np.full((len(rows), 1 << BITS), 0.5)
     for k, r in enumerate(rows):
-        table[k, r["bins"]] += r["n"]
+        table[k] += np.frombuffer(r["counts"])
     return [r["lang"] for r in rows], np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
-def mixture_shares(logs: np.ndarray, counts: np.ndarray, penalty: float, rounds: int = 12) -> np.ndarray:
-    """Language shares of one document: sets grow greedily while the penalised likelihood rises."""
-    total = counts.sum()
-    alone = logs @ counts
-    chosen = [int(np.argmax(alone))]
-    best, shares = float(alone[chosen[0]]), np.ones(1)
+def _fit(p: np.ndarray, counts: np.ndarray, s: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Shares after EM from ``s``, and the log likelihood."""
+    for _ in range(rounds):
+        r = s[:, None] * p
+        s = ((r / r.sum(0)) @ counts) / counts.sum()
+    return s, float(np.log(s @ p) @ counts)
+
+
+def mixture_shares(logs: np.ndarray, counts: np.ndarray, penalty: float, rounds: int = 20, tries: int = 4) -> np.ndarray:
+    """Language shares of one document: the set grows, and then shrinks, while the penalised likelihood rises."""
+    each = penalty * np.log(counts.sum() + 1)
+    chosen = [int(np.argmax(logs @ counts))]
     probs = np.exp(logs - logs.max(0))
-    base = float(logs.max(0) @ counts)
+    shares, best = _fit(probs[chosen], counts, np.ones(1), 0)
     while len(chosen) < len(logs):
-        # The candidate that explains most of what the present set explains worst.
+        # Candidates are those that explain most of what the present set explains worst.
         now = shares @ probs[chosen]
-        gain = (np.log1p(0.25 * (probs / now - 1)) @ counts).astype(float)
+        gain = np.log1p(0.05 * (probs / now - 1)) @ counts
         gain[chosen] = -np.inf
-        new = int(np.argmax(gain))
-        if gain[new] <= 0:
+        order = [int(k) for k in np.argsort(-gain)[:tries] if gain[k] > 0]
+        trials = [(*_fit(probs[[*chosen, k]], counts, np.append(shares * 0.9, 0.1), rounds), k) for k in order]
+        if not trials or max(t[1] for t in trials) - best <= each:
             break
-        trial, s = [*chosen, new], np.append(shares * 0.75, 0.25)
-        p = probs[trial]
-        for _ in range(rounds):
-            r = s[:, None] * p
-            s = ((r / r.sum(0)) @ counts) / total
-        value = base + float(np.log(s @ p) @ counts)
-        if value - best <= penalty * np.log(total + 1):
+        shares, best, new = max(trials, key=lambda t: t[1])
+        chosen.append(new)
+    while len(chosen) > 2:
+        rest = [[c for c in chosen if c != k] for k in chosen]
+        trials = [(*_fit(probs[r], counts, np.full(len(r), 1 / len(r)), rounds), r) for r in rest]
+        s, value, r = max(trials, key=lambda t: t[1])
+        if best - value > each:
             break
-        chosen, shares, best = trial, s, value
+        shares, best, chosen = s, value, r
     out = np.zeros(len(logs))
     out[chosen] = shares
     return out
@@ -129,7 +144,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "d
     names, logs = model
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = d.dtypes[0][1]
-    shared = docs.sparkSession.sparkContext.broadcast(logs)  # languages x 2^15 floats
+    shared = docs.sparkSession.sparkContext.broadcast(logs)  # languages x 2^18 floats
 
     def run(batches):
         table = shared.value

@@ -73,7 +73,7 @@ def _needed(n, percent: int):
 
 
 def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int, batch_bytes: int) -> DataFrame:
-    """A row for each document: doc, n, class, and items (its packed n-grams) if it may link at all."""
+    """A row for each document: doc, n, s1 and s2 (sums of its n-grams' hashes), and items (its packed n-grams) if it may link at all."""
     count = batches_for(docs, text, batch_bytes)
     kind = docs.select(key).dtypes[0][1]
     d = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).withColumn("g", F.pmod(F.xxhash64("doc", F.length("text")), F.lit(count)).cast("int"))
@@ -101,8 +101,21 @@ def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int, bat
 
     replies = d.groupBy("g").applyInArrow(ask, REQUEST).groupBy("bucket").applyInArrow(_column_sums, REPLY)
     rows = d.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(settle, f"doc {kind}, n long, s1 long, s2 long, items binary")
-    alone = F.xxhash64(F.lit("empty"), "doc")
-    return cut(rows.withColumn("class", F.when(F.col("n") == 0, alone).otherwise(F.xxhash64("n", "s1", "s2"))).drop("s1", "s2"))
+    return cut(rows)
+
+
+def with_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may link, with ``class``; the classes). Equal n-gram sets, told by their size and two sums, are one class.
+
+    A class is named by a 64-bit hash. Names that two classes share are found and dealt anew with another seed.
+    """
+    may = rows.where("items IS NOT NULL")
+    grouped = cut(may.groupBy("n", "s1", "s2").agg(F.min("doc").alias("low"), F.first("items").alias("items")))
+    for seed in range(8):
+        name = F.xxhash64(F.lit(seed), "n", "s1", "s2")
+        if grouped.groupBy(name.alias("class")).count().where("count > 1").isEmpty():
+            return may.withColumn("class", name), grouped.select(name.alias("class"), "low", "n", "items")
+    raise RuntimeError("no seed tells the classes apart")
 
 
 def postings(classes: DataFrame, percent: int, batch_bytes: int) -> DataFrame:
@@ -187,14 +200,14 @@ def class_links(classes: DataFrame, percent: int, batch_bytes: int) -> DataFrame
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, batch_bytes: int = 12 << 20) -> DataFrame:
     """Per document: key, n_shingles and component_id, the smallest key reachable by links of Jaccard >= percent / 100."""
     rows = shingled(docs, key, text, width, percent, batch_bytes)
-    may = rows.where("items IS NOT NULL")
-    classes = cut(may.groupBy("class").agg(F.min("doc").alias("low"), F.first("n").alias("n"), F.first("items").alias("items")))
+    may, classes = with_classes(rows)
     labels = class_links(classes, percent, batch_bytes)
     named = classes.select("class", "low").join(labels, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("label", "class").alias("label"))
     least = named.groupBy(F.col("label").alias("of")).agg(F.min("low").alias("component"))
     component = named.join(least, F.col("label") == F.col("of")).select(F.col("class").alias("c"), "component")
-    d = rows.drop("items").join(component, F.col("class") == F.col("c"), "left")
-    return d.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    linked = may.drop("items").join(component, F.col("class") == F.col("c")).select("doc", "n", "component")
+    alone = rows.where("items IS NULL").select("doc", "n", F.col("doc").alias("component"))
+    return linked.unionByName(alone).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, **options) -> DataFrame:

@@ -18,7 +18,7 @@ def op2_format_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), trains=lambda key: ~held_out(key, 4, 2))
+    scored = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), trains=lambda key: F.crc32(key.cast("string")) % 4 != 2)
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
@@ -36,7 +36,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = languages.detect_languages(docs, trains=~held_out(F.col("doc_id"), 4, 2))
+    found = languages.detect_languages(docs, trains=F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
