@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from winnowline.queries import records, scoring, statistics
+from winnowline.queries import decisions, evaluation, identity, keyed, matching, pages, records, scoring, statistics
 
-QUERIES = records.QUERIES | scoring.QUERIES | statistics.QUERIES
-ORACLE = records.ORACLE | scoring.ORACLE | statistics.ORACLE
+AREAS = (records, pages, identity, matching, scoring, decisions, keyed, evaluation, statistics)
+QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
+ORACLE = {name: sql for area in AREAS for name, sql in area.ORACLE.items()}

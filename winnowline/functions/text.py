@@ -38,7 +38,7 @@ def garbage_reason(text: Column) -> Column:
 
 def risks(text: Column) -> Column:
     """Distinct risk signals, sorted."""
-    checks = {"caps": text.rlike("[A-Z]{6,}"), "money": text.rlike(r"[$€]"), "mail": text.rlike(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+"), "noise": text.rlike(r"[#%&*]{3}")}
+    checks = {"caps": text.rlike("[A-Z]{6,}"), "money": text.rlike(r"[$€]"), "mail": F.contains(text, F.lit("@")) & text.rlike(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+"), "noise": text.rlike(r"[#%&*]{3}")}
     return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()])))
 
 

@@ -356,7 +356,8 @@ def lane(decision: Column, reasons: Column, quality: Column, below: float) -> Co
 
 def triage_reason(text: Column, kind: Column, allowed: tuple[str, ...], keywords: tuple[str, ...], least_words: int = 5, least_chars: int = 30) -> Column:
     """The first cheap reason against a row; keywords of up to five characters must be whole words."""
-    pattern = "|".join(rf"\b{k}\b" if len(k) <= 5 else k for k in keywords)
+    edge = r"[^\p{L}\p{N}]"
+    pattern = "|".join(rf"(?:^|{edge}){k}(?:{edge}|$)" if len(k) <= 5 else k for k in keywords)
     return cases([(~kind.isin(*allowed), F.lit("source_kind")), (F.length(text) < least_chars, F.lit("too_short")), (F.size(F.split(F.trim(text), r"\s+")) < least_words, F.lit("too_few_words")), (~F.lower(text).rlike(pattern), F.lit("no_keyword"))], F.lit(None).cast("string"))
 
 

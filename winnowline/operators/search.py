@@ -6,22 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from winnowline.sources.scratch import stored
+
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) from an inverted index: query terms are joined before documents are counted."""
+def term_counts(docs: DataFrame, queries: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, length, term, tf) of the queries' terms, (query_id, term), and the totals n and mean.
+
+    Documents are taken apart once. Where the queries have no more than ``most`` distinct terms, words that no
+    query has are dropped by a broadcast join in the same pass.
+    """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    wanted = terms.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(most + 1).count() <= most else wanted
     words = docs.select("doc_id", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    tf = words.select("doc_id", "length", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    tf = words.select("doc_id", "length", F.explode("words").alias("term")).join(wanted, "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    return tf, terms, words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score, shared) from an inverted index; ``shared`` is how many of the query's terms a document has."""
+    counted, terms, stats = term_counts(docs, queries)
+    tf = stored(counted)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("shared"))
 
 
 def top_ranked(scored: DataFrame, by: str, item: str, score: str, k: int) -> DataFrame:
@@ -41,3 +55,25 @@ def keyset_page(df: DataFrame, order: list[str], after: tuple | None, limit: int
     if after is not None:
         df = df.where(F.struct(*order) > F.struct(*[F.lit(v).cast(dict(df.dtypes)[c]) for c, v in zip(order, after)]))
     return df.orderBy(*order).limit(limit + 1)
+
+
+def grouped_ranks(ranked: DataFrame, by: str, item: str, groups: DataFrame, group: str, k: int) -> DataFrame:
+    """A ranked list of items as one of their groups: each group once, at its best item's rank, numbered anew."""
+    g = ranked.join(groups.select(item, group), item).groupBy(by, group).agg(F.min("rank").alias("at"))
+    return g.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy("at", group))).where(F.col("rank") <= k).select(by, group, "rank")
+
+
+def hybrid(text_ranks: DataFrame, vector_ranks: DataFrame, by: str, item: str, groups: DataFrame, group: str, k: int) -> DataFrame:
+    """Text and vector lists (by, item, rank), each as groups, fused by reciprocal rank: the k best groups of each query."""
+    lists = [grouped_ranks(x, by, item, groups, group, 3 * k) for x in (text_ranks, vector_ranks)]
+    return top_ranked(fuse_ranks(lists, by, group), by, group, "rrf", k)
+
+
+def in_rank_order(ranks: DataFrame, payload: DataFrame, key: str) -> DataFrame:
+    """Payloads of a ranked list; ids without one are left out, ranks stay as they are."""
+    return ranks.join(payload, key)
+
+
+def overfetched(ranked: DataFrame, by: str, groups: DataFrame, item: str, group: str, limit: int, factor: int = 5) -> DataFrame:
+    """``limit`` groups of each query from the first ``limit * factor`` items."""
+    return grouped_ranks(ranked.where(F.col("rank") <= limit * factor), by, item, groups, group, limit)

@@ -50,3 +50,40 @@ def apply_gates(df: DataFrame, gates: list[dict]) -> DataFrame:
     out = df.withColumn("drops", F.array_compact(F.array(*fails)))
     hard = F.filter("drops", lambda x: ~x["shadow"])
     return out.withColumn("lane", F.when(F.size(hard) > 0, hard[0]["gate"]).otherwise("pass"))
+
+
+# Three presets of gates; a plan may extend one.
+PRESETS = {
+    "lenient": {"gates": [{"name": "garbage", "keep": {"field": "garbage", "exists": False}}]},
+    "standard": {"extends": "lenient", "gates": [{"name": "language", "keep": {"field": "lang", "in": ["en", "de", "fr"]}}, {"name": "quality", "keep": {"field": "quality", "ge": 0.6}}]},
+    "strict": {"extends": "standard", "gates": [{"name": "quality", "keep": {"field": "quality", "ge": 0.8}}, {"name": "long", "keep": {"field": "n_chars", "lt": 4000}, "shadow": True}]},
+}
+
+
+def resolve_plan(name: str, plans: dict[str, dict], seen: tuple[str, ...] = ()) -> list[dict]:
+    """The gates of a plan: those of the plan it extends, keys of gates with equal names overlaid, new ones behind."""
+    if name in seen:
+        raise ValueError(f"plans extend each other: {' -> '.join((*seen, name))}")
+    if name not in plans:
+        raise ValueError(f"no plan {name}")
+    plan = plans[name]
+    base = resolve_plan(plan["extends"], plans, (*seen, name)) if plan.get("extends") else []
+    out = {g["name"]: dict(g) for g in base}
+    for g in plan.get("gates", []):
+        out[g["name"]] = {**out.get(g["name"], {}), **g}
+    return list(out.values())
+
+
+def override(gates: list[dict], changes: dict[str, dict]) -> list[dict]:
+    """Gates with parts replaced by name; {"enabled": False} takes one out, "shadow" makes it report only. Unknown names are errors."""
+    unknown = set(changes) - {g["name"] for g in gates}
+    if unknown:
+        raise ValueError(f"no gates {sorted(unknown)}")
+    merged = [{**g, **changes.get(g["name"], {})} for g in gates]
+    return [{k: v for k, v in g.items() if k != "enabled"} for g in merged if g.get("enabled", True)]
+
+
+def shadow_disagreements(gated: DataFrame, by: list[str]) -> DataFrame:
+    """Rows that a shadow gate would have dropped although they pass, by gate."""
+    d = gated.where("lane = 'pass'").select(*by, F.explode(F.filter("drops", lambda x: x["shadow"])).alias("g"))
+    return d.groupBy(*by, F.col("g.gate").alias("gate")).agg(F.count("*").alias("would_drop"))

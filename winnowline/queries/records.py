@@ -75,10 +75,13 @@ GATED_SQL = f"SELECT doc_id, source, lang, n_chars, {GARBAGE_SQL} AS garbage, {Q
 LANE_SQL = f"SELECT doc_id, source, CASE WHEN garbage IS NOT NULL THEN 'garbage' WHEN lang NOT IN ('en', 'de', 'fr') THEN 'language' WHEN quality < 0.6 THEN 'quality' ELSE 'pass' END AS lane, coalesce(n_chars >= 4000, false) AS shadowed FROM ({GATED_SQL})"
 
 
-def _gated(spark, d):
+def gated_columns(spark, d):
     t = table(spark, d, "documents")
-    t = t.select("doc_id", "source", "lang", "n_chars", T.garbage_reason(F.col("text")).alias("garbage"), T.quality(F.col("text"), F.col("lang"), F.col("source"), T.risks(F.col("text"))).alias("quality"))
-    return apply_gates(t, GATES)
+    return t.select("doc_id", "source", "lang", "n_chars", T.garbage_reason(F.col("text")).alias("garbage"), T.quality(F.col("text"), F.col("lang"), F.col("source"), T.risks(F.col("text"))).alias("quality"))
+
+
+def _gated(spark, d):
+    return apply_gates(gated_columns(spark, d), GATES)
 
 
 @R.add(f"SELECT source, lane, count(*) AS n, count(*) FILTER (shadowed) AS shadow_n FROM ({LANE_SQL}) GROUP BY ALL")
@@ -189,19 +192,6 @@ def jsonld_extract(spark, d):
     return t.select("doc_id", j.alias("j")).select("doc_id", "j.title", F.col("j.org.name").alias("org"), F.col("j.pay.max").alias("max_amount"))
 
 
-@R.add("SELECT o_orderkey, 'USD' AS currency, round(o_totalprice / 1000)::BIGINT * 1000 AS min_amount, round(o_totalprice / 1000)::BIGINT * 1000 + 5000 AS max_amount FROM orders")
-def compensation_parse(spark, d):
-    k = F.round(F.col("o_totalprice") / 1000).cast("long")
-    t = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("pay $"), (k + 5).cast("string"), F.lit("k - "), k.cast("string"), F.lit("k a year")).alias("text"))
-    return t.select("o_orderkey", *[c.alias(n) for n, c in T.money(F.col("text")).items()])
-
-
-@R.add("SELECT c_custkey, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def geo_normalize(spark, d):
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
-
-
 @R.add("SELECT p_partkey, coalesce(canonical, 'other') AS material FROM part LEFT JOIN (VALUES ('steel', 'metal'), ('copper', 'metal'), ('tin', 'metal'), ('brass', 'alloy'), ('nickel', 'metal')) a(alias, canonical) ON lower(regexp_extract(p_type, '([A-Za-z]+)$', 1)) = alias")
 def alias_join_canonical(spark, d):
     a = spark.createDataFrame([("steel", "metal"), ("copper", "metal"), ("tin", "metal"), ("brass", "alloy"), ("nickel", "metal")], "alias string, canonical string")

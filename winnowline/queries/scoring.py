@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from winnowline.operators import scoring as S
 from winnowline.operators import search as Q
 from winnowline.queries import Registry, table
+from winnowline.sources.scratch import stored
 
 R = Registry()
 
@@ -69,14 +70,14 @@ def tfidf_logreg_score(spark, d):
 
 
 COS_SQL = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[]) / sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[]) * list_inner_product({1}::DOUBLE[], {1}::DOUBLE[]))"
-ANCHORS_SQL = "SELECT embedding AS anchor, label < 2 AS positive FROM embeddings WHERE vec_id < 60 AND (label < 2 OR label = 9)"
+ANCHORS_SQL = "SELECT embedding AS anchor, label < 2 AS positive FROM embeddings WHERE label < 2 OR label = 9"
 SIMS_SQL = f"SELECT vec_id, positive, {COS_SQL.format('embedding', 'anchor')} AS sim FROM embeddings, ({ANCHORS_SQL})"
 MARGIN_SQL = f"SELECT vec_id, round(max(CASE WHEN positive THEN m END) - max(CASE WHEN NOT positive THEN m END), 6) AS margin, round(max(CASE WHEN positive THEN x END) - max(CASE WHEN NOT positive THEN x END), 6) AS max_margin FROM (SELECT vec_id, positive, avg(sim) FILTER (r <= 5) AS m, max(sim) AS x FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, positive ORDER BY sim DESC) AS r FROM ({SIMS_SQL})) GROUP BY ALL) GROUP BY vec_id"
 
 
 def _margins(spark, d):
     e = table(spark, d, "embeddings")
-    anchors = e.where("vec_id < 60 AND (label < 2 OR label = 9)").select(F.col("embedding").alias("anchor"), (F.col("label") < 2).alias("positive"))
+    anchors = e.where("label < 2 OR label = 9").select(F.col("embedding").alias("anchor"), (F.col("label") < 2).alias("positive"))
     return S.anchor_margin(e, anchors)
 
 
@@ -134,15 +135,18 @@ def weighted_policy(spark, d):
 
 
 BM25_SQL = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM documents), l AS (SELECT doc_id, words, len(words) AS length FROM w), st AS (SELECT count(*) AS n, avg(length) AS mean FROM l),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id % 10 = 0),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark),
 t AS (SELECT doc_id, length, unnest(words) AS term FROM l), tf AS (SELECT doc_id, length, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s) """
 
 
+def _queries(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def _bm25(spark, d, k):
-    queries = table(spark, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text")
-    return Q.top_ranked(Q.bm25(table(spark, d, "documents"), queries), "query_id", "doc_id", "score", k)
+    return Q.top_ranked(Q.bm25(table(spark, d, "documents"), _queries(spark, d)), "query_id", "doc_id", "score", k)
 
 
 @R.add(BM25_SQL + "SELECT query_id, doc_id, round(score, 3) AS score FROM r WHERE rank <= 10")
@@ -151,12 +155,37 @@ def bm25_search(spark, d):
 
 
 @R.add(BM25_SQL + ", lists AS (SELECT query_id, doc_id, rank FROM r WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tfs DESC, doc_id)::INTEGER AS rank FROM (SELECT query_id, doc_id, count(*) AS tfs FROM tf JOIN q USING (term) GROUP BY ALL) QUALIFY rank <= 30) SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 8) AS rrf FROM lists GROUP BY ALL")
+def rrf_fusion(spark, d):
+    """Two text lists, by weight and by shared terms, fused by reciprocal rank."""
+    scored = stored(Q.bm25(table(spark, d, "documents"), _queries(spark, d)))
+    return Q.fuse_ranks([Q.top_ranked(scored, "query_id", "doc_id", c, 30) for c in ("score", "shared")], "query_id", "doc_id")
+
+
+VECTOR_SQL = f"SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round({COS_SQL.format('e.embedding', 'q.embedding')}, 6) AS sim FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND e.vec_id <> q.vec_id)"
+
+
+@R.add(BM25_SQL + f", v AS ({VECTOR_SQL}), hl AS (SELECT 1 AS list, query_id, doc_id // 5 AS grp, min(rank) AS at_rank FROM r WHERE rank <= 30 GROUP BY ALL UNION ALL SELECT 2, query_id, doc_id // 5, min(rank) FROM v WHERE rank <= 30 GROUP BY ALL), g AS (SELECT query_id, grp, row_number() OVER (PARTITION BY list, query_id ORDER BY at_rank, grp) AS rank FROM hl), f AS (SELECT query_id, grp, round(sum(1 / (60 + rank)), 8) AS rrf FROM g WHERE rank <= 30 GROUP BY ALL) SELECT query_id, grp, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, grp)::INTEGER AS rank FROM f QUALIFY rank <= 10")
 def hybrid_search(spark, d):
-    docs = table(spark, d, "documents")
-    queries = table(spark, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text")
-    terms = queries.select("query_id", F.explode(F.array_distinct(Q.tokens(F.col("text")))).alias("term"))
-    shared = docs.select("doc_id", F.explode(F.array_distinct(Q.tokens(F.col("text")))).alias("term")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("tfs"))
-    return Q.fuse_ranks([_bm25(spark, d, 30), Q.top_ranked(shared, "query_id", "doc_id", "tfs", 30)], "query_id", "doc_id")
+    """Text and vector lists of each query as groups of documents, fused by reciprocal rank."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = e.join(_queries(spark, d).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    vectors = S.nearest(e, asked, 30).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    ids = table(spark, d, "documents").select("doc_id").union(e.select("vec_id")).distinct()
+    groups = ids.select("doc_id", F.floor(F.col("doc_id") / 5).alias("grp"))
+    return Q.hybrid(_bm25(spark, d, 30), vectors, "query_id", "doc_id", groups, "grp", 10)
+
+
+@R.add(BM25_SQL + "SELECT query_id, rank, source, n_chars FROM r JOIN documents USING (doc_id) WHERE rank <= 5")
+def ranked_payload(spark, d):
+    """Payloads of a ranked list, ranks kept."""
+    return Q.in_rank_order(_bm25(spark, d, 5), table(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id").select("query_id", "rank", "source", "n_chars")
+
+
+@R.add(BM25_SQL + ", hl AS (SELECT query_id, source AS grp, min(rank) AS best FROM r JOIN documents USING (doc_id) WHERE rank <= 25 GROUP BY ALL) SELECT query_id, grp, row_number() OVER (PARTITION BY query_id ORDER BY best, grp)::INTEGER AS rank FROM hl QUALIFY rank <= 5")
+def grouped_search(spark, d):
+    """Five groups of each query from five times as many documents."""
+    groups = table(spark, d, "documents").select("doc_id", F.col("source").alias("grp"))
+    return Q.overfetched(_bm25(spark, d, 25), "query_id", groups, "doc_id", "grp", 5)
 
 
 @R.add("SELECT o_orderkey, o_orderdate FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1995-06-01', 100) ORDER BY o_orderdate, o_orderkey LIMIT 26")

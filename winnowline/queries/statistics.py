@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from winnowline.functions import text as T
 from winnowline.operators import stats as A
 from winnowline.queries import Registry, table
 from winnowline.queries.records import QUALITY_SQL
+from winnowline.sources.scratch import shared_folder
 from winnowline.streaming import ingest
 
 R = Registry()
@@ -176,17 +175,13 @@ def session_health(spark, d):
     return ingest.sessions(table(spark, d, "events"))
 
 
-def _scratch(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-
-
 @R.add("SELECT event_id, user_id, event_type FROM events")
 def stream_ingest_dedup(spark, d):
     """A file stream of the events, deduplicated by id and run over what is there."""
     import uuid
 
     e = table(spark, d, "events")
-    base = f"{_scratch(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = ingest.dedup_stream(ingest.file_stream(spark, f"{d}/events*.parquet", e.schema), "event_id", "ts", "60 days")
     return ingest.run_available(stream.select("event_id", "user_id", "event_type"), f"{base}/out", f"{base}/state")
 
@@ -197,7 +192,7 @@ def stream_outbox(spark, d):
     import uuid
 
     e = table(spark, d, "events")
-    base = f"{_scratch(spark).rstrip('/')}/outbox-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/outbox-{uuid.uuid4().hex}"
     s = ingest.file_stream(spark, f"{d}/events*.parquet", e.schema).where("event_type = 'purchase'").select(F.sha2(F.concat_ws("|", "user_id", "event_type"), 256).alias("idempotency_key"))
     for run in range(2):  # the second run reads everything again and adds nothing
         s.writeStream.foreachBatch(ingest.outbox_writer(f"{base}/out", "idempotency_key")).option("checkpointLocation", f"{base}/state{run}").trigger(availableNow=True).start().awaitTermination()

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 RAW_ITEM = "source_kind string, source_name string, external_id string, url string, text string, metadata map<string,string>"
 
 
-def read_raw_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good items, quarantined lines with a reason) of a JSONL file."""
-    rows = spark.read.text(path).where(F.trim("value") != "").withColumn("item", F.from_json("value", RAW_ITEM + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+def parse_raw_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` (a column value of JSON text) with item and reason; the reason is null for good rows."""
+    rows = lines.where(F.trim("value") != "").withColumn("item", F.from_json("value", RAW_ITEM + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     reason = F.when(F.col("item").isNull() | F.col("item._corrupt").isNotNull(), "invalid_json").when(blank("item.source_name"), "blank_source").when(blank("item.external_id") & blank("item.url"), "no_identity").when(F.col("item.url").isNotNull() & ~F.col("item.url").rlike("^https?://[^/]+"), "bad_url")
-    rows = rows.withColumn("reason", reason)
+    return rows.withColumn("reason", reason)
+
+
+def read_raw_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good items, quarantined lines with a reason) of a JSONL file."""
+    rows = parse_raw_lines(spark.read.text(path))
     good = rows.where("reason IS NULL").select("item.*").drop("_corrupt")
     return good, rows.where("reason IS NOT NULL").select(F.col("value").alias("line"), "reason")
 
