@@ -116,29 +116,38 @@ def test_repeats(docs):
         assert bag(repeats.remove_repeats(docs, batch_bytes=size).collect()) == bag(want)
 
 
-def test_language_model(docs):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(docs, order):
     test = held_out(F.col("doc_id"), 7, 2)
     items = [(d, d is not None and zlib.crc32(str(d).encode()) % 7 == 2, [*words(lower(t)), None]) for d, t in collected(docs)]
-    count, pair, context = Counter(), Counter(), Counter()
+    count, gram, context = Counter(), Counter(), Counter()
+
+    def grams(w, n):
+        padded = ["<s>"] * (n - 1) + w
+        return [tuple(padded[i : i + n]) for i in range(len(w))]
+
     for _, h, w in items:
         if not h:
             count.update(w)
-            pair.update(zip(["<s>", *w], w))
-            context.update(["<s>", *w[:-1]])
-    n, v = sum(count.values()), len(count)
+            for n in range(2, order + 1):
+                gram.update(grams(w, n))
+                context.update(g[:-1] for g in grams(w, n))
+    total, v = sum(count.values()), len(count)
     want = {}
     for d, h, w in items:
-        base = [(count[x] + 1) / (n + v + 1) for x in w]
-        full = [(pair[a, x] + 50 * p) / (context[a] + 50) for a, x, p in zip(["<s>", *w], w, base)]
-        want.setdefault((d, h, len(w), sum(count[x] > 0 for x in w), n), []).append((sum(map(math.log10, base)), sum(map(math.log10, full)), len(w)))
+        base = [(count[x] + 1) / (total + v + 1) for x in w]
+        full = base
+        for n in range(2, order + 1):
+            full = [(gram[g] + 50 * p) / (context[g[:-1]] + 50) for g, p in zip(grams(w, n), full)]
+        want.setdefault((d, h, len(w), sum(count[x] > 0 for x in w), total), []).append((sum(map(math.log10, base)), sum(map(math.log10, full)), len(w)))
     got = defaultdict(list)
-    for r in language_model.score_documents(docs, test, batch_bytes=20_000).collect():
+    for r in language_model.score_documents(docs, test, batch_bytes=20_000, order=order).collect():
         got[tuple(r[:5])].append((r["base_score"], r["score"]))
     assert got.keys() == want.keys()
     for k, pairs in got.items():
         for (base, score), (b, s, size) in zip(sorted(pairs), sorted(want[k])):
             assert base == pytest.approx(b, rel=1e-9)
-            assert abs(score - s) <= 0.02 * size  # one byte for nine decades
+            assert abs(score - s) <= 0.02 * (order - 1) * size  # one byte for nine decades, at each level
 
 
 def test_token_files(spark, docs, tmp_path):

@@ -51,10 +51,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def batches_for(docs: DataFrame, text: str, batch_bytes: int) -> int:
-    """How many hash batches keep the text of one batch near ``batch_bytes`` on average."""
+def batches_for(docs: DataFrame, text: str, batch_bytes: int, least_bytes: int = 1 << 20) -> int:
+    """How many hash batches keep the text of one batch near ``batch_bytes`` on average; a small table is dealt to all cores in batches of ``least_bytes`` or more."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(1, math.ceil(total / batch_bytes))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(total / batch_bytes), min(2 * cores, total // least_bytes))
 
 
 def held_out(key: Column, modulus: int, remainder: int) -> Column:

@@ -1,12 +1,13 @@
 """N-gram language-model scoring with Elias-Fano tries.
 
-Words and one end token follow each other; a token's context is the word before it. Probabilities are
-Dirichlet-smoothed, P(w | h) = (c(h w) + m P1(w)) / (c(h) + m) with add-one P1, so they sum to one.
+Words and one end token follow each other; a token's context are the ``order`` - 1 words before it.
+Probabilities are Dirichlet-smoothed level by level, Pn(w | h) = (c(h w) + m Pn-1(w | h')) / (c(h) + m)
+with h' without the first word of h and add-one P1, so they sum to one.
 
 Counts and models are spread over the cluster, none is ever whole in one place. Row blocks (hash
 batches of documents) send their distinct words with training counts to word buckets and get the
-global counts back in the order asked. Then they send their distinct n-grams, below their contexts, to
-trie shards. A shard sums the counts and builds its trie: vocabulary, contexts, pointers and
+global counts back in the order asked (longer contexts are counted the same way). Then they send their
+distinct n-grams of each level, below their contexts, to trie shards. A shard sums the counts and builds its trie: vocabulary, contexts, pointers and
 context-relative successors are monotone sequences in Elias-Fano code, the smoothed log probabilities
 are quantised to one byte, and all levels lie in one memory-mapped file. Each n-gram asked for is found
 by successor search inside its context's range; one byte goes back. The row blocks add up.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnowline.llm.common import batches_for, cut
-from winnowline.llm.kernel import U64, mix, trimmed, word_hashes
+from winnowline.llm.kernel import U64, mix, pack_six, trimmed, unpack_six, word_hashes
 
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 SUB = 16
@@ -186,16 +187,30 @@ class Block:
         self.trains = np.repeat(~rows.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), self.sizes)
         self.words, self.index = np.unique(tokens, return_inverse=True)
 
-    def pairs(self, shards: int):
-        """(order of distinct pairs by shard, context, word; context and word indexes; training counts; pair of each token; shard ends)."""
+    def contexts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct contexts of n - 1 words, context of each token); those of one word are the words and, last, the beginning."""
         w = len(self.words)
-        previous = np.concatenate(([w], self.index[:-1]))
-        previous[np.concatenate(([0], self.ends[:-1]))] = w
-        pair, inverse = np.unique(previous * (w + 1) + self.index, return_inverse=True)
-        counts = np.bincount(inverse[self.trains], minlength=len(pair))
-        context, word = pair // (w + 1), pair % (w + 1)
-        hashes = np.append(self.words, BEGIN)
-        hc, hw = hashes[context] >> U64(1), hashes[word] >> U64(16)
+        starts = np.concatenate(([0], self.ends[:-1]))
+        if n == 2:
+            previous = np.concatenate(([w], self.index[:-1]))
+            previous[starts] = w
+            return np.append(self.words, BEGIN), previous
+        hashes, inside = np.append(self.words, BEGIN), np.arange(len(self.index)) - np.repeat(starts, self.sizes)
+        key = np.zeros(len(self.index), U64)
+        for k in range(1, n):
+            before = np.concatenate((np.full(k, w), self.index[:-k]))[: len(self.index)]
+            before[inside < k] = w
+            key += hashes[before] * mix(np.array([k], U64) * U64(0x9E3779B97F4A7C15))[0]
+        return np.unique(mix(key), return_inverse=True)
+
+    def grams(self, n: int, shards: int):
+        """(context hashes, word hashes, contexts, training counts of the distinct n-grams by shard, context and word; n-gram of each token; shard ends)."""
+        w = len(self.words)
+        keys, own = self.contexts(n)
+        gram, inverse = np.unique(own * (w + 1) + self.index, return_inverse=True)
+        counts = np.bincount(inverse[self.trains], minlength=len(gram))
+        context, word = gram // (w + 1), gram % (w + 1)
+        hc, hw = keys[context] >> U64(1), self.words[word] >> U64(16)
         spread = mix(hc + (hw >> U64(44)) * U64(0xD1342543DE82EF95)) >> U64(32)
         shard = ((spread * U64(shards)) >> U64(32)).astype(np.int64)
         order = np.lexsort((hw, hc, shard))
@@ -203,15 +218,17 @@ class Block:
         place[order] = np.arange(len(order))
         return hc[order], hw[order], context[order], counts[order], place[inverse], np.searchsorted(shard[order], np.arange(shards + 1))
 
-
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    def context_counts(self, reply: pa.Table, n: int) -> np.ndarray:
+        """How often each distinct context stands before a training token, over all blocks."""
+        if n > 2:
+            return _answers(reply, TOTALS + n, np.int64)
+        known = _answers(reply, WORDS, np.int64)
+        # A document begins as often as it ends.
+        return np.append(known, known[np.searchsorted(self.words, END)])
 
 
-def _from_six(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+#: Kinds of replies: counts of words, codes of level n (n), counts of the contexts of level n (TOTALS + n).
+WORDS, TOTALS = 0, 100
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -228,29 +245,31 @@ def _table(g: int, names: list[str], kinds: list, rows: list[tuple]) -> pa.Table
     return pa.table([columns[0], pa.array([g] * len(rows), pa.int32()), *columns[1:]], names=[names[0], "g", *names[1:]])
 
 
-def _ask_words(rows: pa.Table, buckets: int) -> pa.Table:
+def _ask_counts(rows: pa.Table, n: int, buckets: int) -> pa.Table:
+    """The distinct words of a row block (n = 1), or its contexts of level n, with their training counts."""
     b = Block(rows)
-    counts = np.bincount(b.index[b.trains], minlength=len(b.words)).astype(np.int64)
-    at = np.searchsorted(b.words, np.array([(k << 64) // buckets for k in range(1, buckets)], U64))
-    at = np.concatenate(([0], at, [len(b.words)]))
-    out = [(k, b.words[at[k] : at[k + 1]].tobytes(), counts[at[k] : at[k + 1]].tobytes()) for k in range(buckets) if at[k + 1] > at[k]]
+    keys, own = (b.words, b.index) if n == 1 else b.contexts(n)
+    counts = np.bincount(own[b.trains], minlength=len(keys)).astype(np.int64)
+    at = np.searchsorted(keys, np.array([(k << 64) // buckets for k in range(1, buckets)], U64))
+    at = np.concatenate(([0], at, [len(keys)]))
+    out = [(int(k), keys[at[k] : at[k + 1]].tobytes(), counts[at[k] : at[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(at))]
     return _table(rows.column("g")[0].as_py(), ["bucket", "words", "counts"], [pa.int32(), pa.binary(), pa.binary()], out)
 
 
 def _reply(block: pa.Table, kind: int, parts: list[bytes], words: int = 0, total: int = 0) -> pa.Table:
     n = len(parts)
-    column = block.column("bucket" if kind == 0 else "shard")
+    column = block.column("bucket" if "bucket" in block.column_names else "shard")
     return pa.table([block.column("g"), column, pa.array([kind] * n, pa.int32()), pa.array(parts, pa.binary()), pa.array([words] + [0] * (n - 1), pa.int64()), pa.array([total] + [0] * (n - 1), pa.int64())], names=["g", "bucket", "kind", "answers", "words", "total"])
 
 
-def _count_words(block: pa.Table) -> pa.Table:
+def _count(block: pa.Table, kind: int) -> pa.Table:
     parts = [np.frombuffer(x, U64) for x in block.column("words").to_pylist()]
     u, inverse = np.unique(np.concatenate(parts), return_inverse=True)
     counts = np.frombuffer(b"".join(block.column("counts").to_pylist()), np.int64)
     totals = np.zeros(len(u), np.int64)
     np.add.at(totals, inverse, counts)
     answers = np.split(totals[inverse], np.cumsum([len(p) for p in parts])[:-1])
-    return _reply(block, 0, [a.tobytes() for a in answers], int((totals > 0).sum()), int(totals.sum()))
+    return _reply(block, kind, [a.tobytes() for a in answers], int((totals > 0).sum()), int(totals.sum()))
 
 
 def _answers(reply: pa.Table, kind: int, dtype) -> np.ndarray:
@@ -259,25 +278,22 @@ def _answers(reply: pa.Table, kind: int, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(blobs[i] for _, i in order), dtype)
 
 
-def _ask_pairs(rows: pa.Table, reply: pa.Table, shards: int) -> pa.Table:
+def _ask_grams(rows: pa.Table, reply: pa.Table, n: int, shards: int) -> pa.Table:
     b = Block(rows)
-    known = _answers(reply, 0, np.int64)
-    # A document begins as often as it ends.
-    context_counts = np.append(known, known[np.searchsorted(b.words, END)])
-    hc, hw, context, counts, _, at = b.pairs(shards)
+    context_counts = b.context_counts(reply, n)
+    hc, hw, context, counts, _, at = b.grams(n, shards)
     out = []
-    for k in range(shards):
+    for k in np.flatnonzero(np.diff(at)).tolist():
         lo, hi = at[k], at[k + 1]
-        if hi > lo:
-            head = np.flatnonzero(np.concatenate(([True], hc[lo + 1 : hi] != hc[lo : hi - 1])))
-            sizes = np.diff(np.append(head, hi - lo))
-            out.append((k, hc[lo:hi][head].tobytes(), _narrow(context_counts[context[lo:hi][head]]), _narrow(sizes), _six(hw[lo:hi]), _narrow(counts[lo:hi])))
+        head = np.flatnonzero(np.concatenate(([True], hc[lo + 1 : hi] != hc[lo : hi - 1])))
+        sizes = np.diff(np.append(head, hi - lo))
+        out.append((k, hc[lo:hi][head].tobytes(), _narrow(context_counts[context[lo:hi][head]]), _narrow(sizes), pack_six(hw[lo:hi]), _narrow(counts[lo:hi])))
     return _table(rows.column("g")[0].as_py(), ["shard", "contexts", "context_counts", "sizes", "words", "counts"], [pa.int32(), *[pa.binary()] * 5], out)
 
 
-def _answer_pairs(block: pa.Table, smooth: float) -> pa.Table:
+def _answer_grams(block: pa.Table, kind: int, smooth: float) -> pa.Table:
     contexts = [np.frombuffer(x, U64) for x in block.column("contexts").to_pylist()]
-    words = [_from_six(x) for x in block.column("words").to_pylist()]
+    words = [unpack_six(x) for x in block.column("words").to_pylist()]
     context_counts, sizes = (_wide(block.column(c).to_pylist(), [len(x) for x in contexts]) for c in ("context_counts", "sizes"))
     counts = _wide(block.column("counts").to_pylist(), [len(x) for x in words])
     c = np.concatenate([np.repeat(x, s) for x, s in zip(contexts, sizes)])
@@ -291,35 +307,48 @@ def _answer_pairs(block: pa.Table, smooth: float) -> pa.Table:
     with tempfile.TemporaryFile() as file:
         trie = Trie(c[new], w[new], total, m[new], smooth).mapped(file)
         parts = [trie.code(x, s, v).tobytes() for x, s, v in zip(contexts, sizes, words)]
-    return _reply(block, 1, parts)
+    return _reply(block, kind, parts)
 
 
-def _score(rows: pa.Table, reply: pa.Table, shards: int, smooth: float, words: int, total: int) -> pa.Table:
+def _score(rows: pa.Table, reply: pa.Table, order: int, shards: int, smooth: float, words: int, total: int) -> pa.Table:
     b = Block(rows)
-    known = _answers(reply, 0, np.int64)
-    context_counts = np.append(known, known[np.searchsorted(b.words, END)])
-    _, _, context, _, place, _ = b.pairs(shards)
-    seen = restore(_answers(reply, 1, np.uint8))[place]
-    c = known[b.index]
+    c = _answers(reply, WORDS, np.int64)[b.index]
     base = (c + 1) / (total + words + 1)
-    p = seen + base * (smooth / (context_counts[context[place]] + smooth))
+    p = base
+    for n in range(2, order + 1):
+        _, _, context, _, place, _ = b.grams(n, shards)
+        seen = restore(_answers(reply, n, np.uint8))[place]
+        p = seen + p * (smooth / (b.context_counts(reply, n)[context[place]] + smooth))
     starts = b.ends - b.sizes
     add = lambda x: np.add.reduceat(x, starts)
     n = len(starts)
     return pa.table([rows.column("doc"), rows.column("held_out"), pa.array(b.sizes), pa.array(add((c > 0).astype(np.int64))), pa.array([total] * n, pa.int64()), pa.array(add(np.log10(base))), pa.array(add(np.log10(np.minimum(p, 1.0))))], names=["doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", smooth: float = 50.0, batch_bytes: int = 16 << 20) -> DataFrame:
-    """Learn from the rows that aren't held out and score all: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", smooth: float = 50.0, batch_bytes: int = 16 << 20, order: int = 2) -> DataFrame:
+    """Learn from the rows that aren't held out and score all: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``order`` is the length of the longest n-grams, 2 or more; each further level sends its own n-grams.
+    """
     blocks = batches_for(docs, text, batch_bytes)
     shards = 2 * blocks
     kind = docs.select(key).dtypes[0][1]
     d = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), held_out.alias("held_out"))
     by = d.withColumn("g", F.pmod(F.xxhash64("doc", F.length("text")), F.lit(blocks)).cast("int")).groupBy("g")
-    asked = by.applyInArrow(lambda rows: trimmed(_ask_words)(rows, blocks), "bucket int, g int, words binary, counts binary")
-    counted = cut(asked.groupBy("bucket").applyInArrow(lambda block: trimmed(_count_words)(block), REPLY))
-    words, total = counted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    pairs = by.cogroup(counted.groupBy("g")).applyInArrow(lambda rows, reply: trimmed(_ask_pairs)(rows, reply, shards), "shard int, g int, contexts binary, context_counts binary, sizes binary, words binary, counts binary")
-    codes = pairs.groupBy("shard").applyInArrow(lambda block: trimmed(_answer_pairs)(block, smooth), REPLY)
-    out = by.cogroup(counted.unionByName(codes).groupBy("g")).applyInArrow(lambda rows, reply: trimmed(_score)(rows, reply, shards, smooth, words, total), f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def counted(n: int, reply_kind: int) -> DataFrame:
+        asked = by.applyInArrow(lambda rows: trimmed(_ask_counts)(rows, n, blocks), "bucket int, g int, words binary, counts binary")
+        return cut(asked.groupBy("bucket").applyInArrow(lambda block: trimmed(_count)(block, reply_kind), REPLY))
+
+    def level(n: int, counts: DataFrame) -> DataFrame:
+        grams = by.cogroup(counts.groupBy("g")).applyInArrow(lambda rows, reply: trimmed(_ask_grams)(rows, reply, n, shards), "shard int, g int, contexts binary, context_counts binary, sizes binary, words binary, counts binary")
+        return grams.groupBy("shard").applyInArrow(lambda block: trimmed(_answer_grams)(block, n, smooth), REPLY)
+
+    known = counted(1, WORDS)
+    words, total = known.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    replies = known.unionByName(level(2, known))
+    for n in range(3, order + 1):
+        contexts = counted(n, TOTALS + n)
+        replies = replies.unionByName(contexts).unionByName(level(n, contexts))
+    out = by.cogroup(replies.groupBy("g")).applyInArrow(lambda rows, reply: trimmed(_score)(rows, reply, order, shards, smooth, words, total), f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc", key)

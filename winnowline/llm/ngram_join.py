@@ -48,7 +48,7 @@ def _requests(g: int, grams: np.ndarray, buckets: int) -> pa.Table:
     """Distinct n-grams of a row block and their counts in it, by column block."""
     u, c = np.unique(grams, return_counts=True)
     at, c = _bounds(u, buckets), np.minimum(c, 255).astype(np.uint8)
-    full = [k for k in range(buckets) if at[k + 1] > at[k]]
+    full = np.flatnonzero(np.diff(at)).tolist()
     return pa.table([pa.array(full, pa.int32()), pa.array([g] * len(full), pa.int32()), pa.array([u[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()), pa.array([c[at[k] : at[k + 1]].tobytes() for k in full], pa.binary())], names=["bucket", "g", "grams", "counts"])
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnowline.llm.common import batches_for
-from winnowline.llm.kernel import BASE, U64, byte_codes, mix, span_hashes, trimmed, utf8
+from winnowline.llm.kernel import BASE, U64, byte_codes, mix, pack_six, span_hashes, trimmed, unpack_six, utf8
 
 #: Long enough that few grams repeat by chance: their contexts would all meet in one index.
 GRAM = 24
@@ -120,24 +120,13 @@ class Block:
         return np.concatenate(([0], np.searchsorted(self.k, edges), [len(self.k)]))
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
 def _ask(rows: pa.Table, length: int, buckets: int) -> pa.Table:
     b = Block(rows, length)
     at, out = b.bounds(buckets), []
-    for n in range(buckets):
+    for n in np.flatnonzero(np.diff(at)).tolist():
         lo, hi = at[n], at[n + 1]
-        if hi > lo:
-            ids, own = np.unique(b.least[lo:hi], return_inverse=True)
-            out.append((n, _pack(b.k[lo:hi]), _pack(b.c[lo:hi]), ids.tobytes(), own.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes()))
+        ids, own = np.unique(b.least[lo:hi], return_inverse=True)
+        out.append((n, pack_six(b.k[lo:hi]), pack_six(b.c[lo:hi]), ids.tobytes(), own.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes()))
     g = rows.column("g")[0].as_py()
     column = lambda i, t: pa.array([o[i] for o in out], t)
     return pa.table([column(0, pa.int32()), pa.array([g] * len(out), pa.int32()), *[column(i, pa.binary()) for i in (1, 2, 3, 4)]], names=["bucket", "g", "grams", "contexts", "doc_ids", "docs"])
@@ -145,8 +134,8 @@ def _ask(rows: pa.Table, length: int, buckets: int) -> pa.Table:
 
 def _judge(block: pa.Table) -> pa.Table:
     """For each asked pair: 0 nothing repeats, 1 a smaller document has the context, 2 it needs the index."""
-    k = [_unpack(x) for x in block.column("grams").to_pylist()]
-    c = [_unpack(x) for x in block.column("contexts").to_pylist()]
+    k = [unpack_six(x) for x in block.column("grams").to_pylist()]
+    c = [unpack_six(x) for x in block.column("contexts").to_pylist()]
     ids = []
     for x, table, own in zip(k, block.column("doc_ids").to_pylist(), block.column("docs").to_pylist()):
         ids.append(np.frombuffer(table, np.int64)[np.frombuffer(own, np.uint16 if len(own) == 2 * len(x) else np.uint32)])
@@ -187,8 +176,9 @@ def _contexts(rows: pa.Table, reply: pa.Table, length: int, buckets: int) -> pa.
     b = Block(rows, length)
     need = np.flatnonzero(_status(b, reply) == 2)
     edges, out = b.bounds(buckets), []
-    for n in range(buckets):
-        pairs = need[np.searchsorted(need, edges[n]) : np.searchsorted(need, edges[n + 1])]
+    bounds = np.searchsorted(need, edges)
+    for n in np.flatnonzero(np.diff(bounds)).tolist():
+        pairs = need[bounds[n] : bounds[n + 1]]
         if len(pairs):
             a = b.first[pairs]
             size = b.end[a] - b.start[a]
