@@ -27,10 +27,24 @@ def threshold_curve(df: DataFrame, score: str, gold: str) -> DataFrame:
     return g.select("threshold", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp"), 6).alias("precision"), ratio(F.col("tp"), F.col("positives"), 6).alias("recall"), ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("positives"), 6).alias("f1"))
 
 
-def nearest_rank(df: DataFrame, by: str, value: str, quantiles: list[float]) -> DataFrame:
-    """Order statistics at round((n - 1) q)."""
-    ranked = df.select(by, value, (F.row_number().over(W.partitionBy(by).orderBy(value)) - 1).alias("i"), F.count("*").over(W.partitionBy(by)).alias("n"))
-    return ranked.groupBy(by).agg(*[F.max(F.when(F.col("i") == F.round((F.col("n") - 1) * q), F.col(value))).alias(f"q{int(q * 100)}") for q in quantiles])
+def nearest_rank(df: DataFrame, by: str, value: str, quantiles: list[float], buckets: int = 1024) -> DataFrame:
+    """Order statistics at round((n - 1) q).
+
+    Values are counted by range first; only those in the ranges that hold a wanted place are put in order, so a
+    large group isn't sorted in one task.
+    """
+    d = df.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    ends = d.groupBy(F.col("g").alias("eg")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    width = F.when(F.col("high") > F.col("low"), (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    d = d.join(ends, F.col("g").eqNullSafe(F.col("eg"))).select("g", "v", "n", F.floor(width * buckets).alias("b"))
+    counts = d.groupBy("g", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    before = F.coalesce(F.sum("c").over(W.partitionBy("g").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.round((F.col("n") - 1) * q).cast("long").alias("i")) for k, q in enumerate(quantiles)])
+    inside = F.filter(places, lambda x: (x["i"] >= F.col("before")) & (x["i"] < F.col("before") + F.col("c")))
+    wanted = counts.withColumn("before", before).select(F.col("g").alias("wg"), F.col("b").alias("wb"), "before", inside.alias("places")).where(F.size("places") > 0)
+    rows = d.join(wanted, F.col("g").eqNullSafe(F.col("wg")) & (F.col("b") == F.col("wb")))
+    ranked = rows.withColumn("i", F.col("before") + F.row_number().over(W.partitionBy("g", "b").orderBy("v")) - 1).select("g", "v", "i", F.explode("places").alias("p")).where("i = p.i")
+    return ranked.groupBy(F.col("g").alias(by)).agg(*[F.max(F.when(F.col("p.k") == k, F.col("v"))).alias(f"q{int(q * 100)}") for k, q in enumerate(quantiles)])
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:

@@ -125,11 +125,11 @@ PARAMS_SQL = "(VALUES " + ", ".join(f"('{c}', '{f}', {v}::DOUBLE)" for c, f, v i
 ASSESS_SQL = f"""{ATOMS_CTE}, keyed AS (SELECT item, claim, subject, profile, polarity, independence_key, max(strength * reliability) AS raw, min(family) AS family FROM atoms GROUP BY ALL),
 sums AS (SELECT item, claim, subject, profile, min(family) AS family, coalesce(sum(least(raw, 1.0)) FILTER (polarity = 'SUPPORTS'), 0) AS pro, coalesce(sum(least(raw, 1.0)) FILTER (polarity = 'CONTRADICTS'), 0) AS con FROM keyed GROUP BY ALL),
 params AS (SELECT sums.*, coalesce(prior, 0.5) AS prior, pro + con AS mass FROM sums LEFT JOIN {PARAMS_SQL} USING (claim, family)),
-claims AS (SELECT item, claim, subject, profile, round(1 / (1 + exp(-(ln(prior / (1 - prior)) + pro - con))), 8) AS belief, round((1 - exp(-1.6 * mass)) * (1 - 0.75 * least(pro, con) / (greatest(pro, con) + 1e-9)), 8) AS certainty, round(1 - exp(-1.6 * mass), 8) AS coverage, round(least(pro, con) / (greatest(pro, con) + 1e-9), 8) AS conflict FROM params)"""
+claims AS (SELECT item, claim, subject, profile, 1 / (1 + exp(-(ln(prior / (1 - prior)) + pro - con))) AS belief, (1 - exp(-1.6 * mass)) * (1 - 0.75 * least(pro, con) / (greatest(pro, con) + 1e-9)) AS certainty, 1 - exp(-1.6 * mass) AS coverage, least(pro, con) / (greatest(pro, con) + 1e-9) AS conflict FROM params)"""
 
 
 def _assessed(spark, d, atoms):
-    return D.assess(atoms, spark.createDataFrame(PARAMS, "claim string, family string, prior double"))
+    return D.assess(atoms, spark.createDataFrame(PARAMS, "claim string, family string, prior double"), digits=12)
 
 
 @R.add(ASSESS_SQL + " SELECT item, claim, subject, profile, round(belief, 5) AS belief, round(certainty, 5) AS certainty, round(coverage, 5) AS coverage, round(conflict, 5) AS conflict FROM claims")

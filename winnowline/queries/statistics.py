@@ -64,9 +64,9 @@ SCORED_SQL = f"SELECT doc_id, source, lang, {QUALITY_SQL} AS score, quality AS g
 
 
 def _scored(spark, d):
-    docs = table(spark, d, "documents")
-    s = docs.select("doc_id", "source", "lang", T.quality(F.col("text"), F.col("lang"), F.col("source"), T.risks(F.col("text"))).alias("score"))
-    return s.join(table(spark, d, "labels"), "doc_id").withColumnRenamed("quality", "gold")
+    # Only labelled documents are scored.
+    s = table(spark, d, "documents").select("doc_id", "source", "lang", "text").join(table(spark, d, "labels").withColumnRenamed("quality", "gold"), "doc_id")
+    return s.select("doc_id", "source", "lang", T.quality(F.col("text"), F.col("lang"), F.col("source"), T.risks(F.col("text"))).alias("score"), "gold", "toxic")
 
 
 CONFUSION_SQL = "SELECT {by} tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 4) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 4) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 4) ELSE 0 END AS f1 FROM (SELECT {by} count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (NOT p AND g) AS fn, count(*) FILTER (NOT p AND NOT g) AS tn FROM (SELECT *, score >= 0.6 AS p, gold = 1 AS g FROM ({scored})) {group})"
