@@ -112,8 +112,8 @@ def test_repeats(docs):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         want.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    for size in (5_000, 10 << 20):
-        assert bag(repeats.remove_repeats(docs, batch_bytes=size).collect()) == bag(want)
+    for size, hot in ((5_000, 4096), (10 << 20, 4096), (5_000, 0), (20_000, 3)):
+        assert bag(repeats.remove_repeats(docs, batch_bytes=size, hot=hot).collect()) == bag(want)
 
 
 @pytest.mark.parametrize("order", [2, 3, 4])

@@ -14,9 +14,12 @@ Every byte under a ``length``-byte string that also starts in a document of a sm
    head of each group of equal windows. Contexts are streamed through it from right to left: backward
    search over the runs keeps the row range of the last ``length`` bytes, which is the matching
    statistic capped at ``length``; its head names the smallest document with this window.
+   A gram with more than ``HOT`` contexts (a passage that very many documents share) would make an index of
+   its own size. Its windows are told apart by hash instead, each sent with the smallest document to window
+   buckets, which any number of documents divide among.
 4. The row blocks mark what the answers cover and cut it out.
 
-Edge cases: null counts as empty; texts shorter than ``length`` bytes lose nothing; rows that repeat a
+Ids are integers, or text that casts to them. Edge cases: null counts as empty; texts shorter than ``length`` bytes lose nothing; rows that repeat a
 doc_id are no repeats of each other, nor are repeats inside one document; a row with a null doc_id
 counts as the largest id and null ids don't repeat each other; an empty table gives an empty result;
 other columns are ignored.
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnowline.llm.common import batches_for
-from winnowline.llm.kernel import BASE, U64, byte_codes, mix, pack_six, span_hashes, trimmed, unpack_six, utf8
+from winnowline.llm.kernel import BASE, U64, byte_codes, mix, pack_six, span_hashes, spread, trimmed, unpack_six, utf8
 
 #: Long enough that few grams repeat by chance: their contexts would all meet in one index.
 GRAM = 24
@@ -40,9 +43,11 @@ TOP = U64(0xFFFFFFFFFFFFFFFF)
 NO_ID = np.iinfo(np.int64).max
 REQUEST = "bucket int, g int, grams binary, contexts binary, doc_ids binary, docs binary"
 REPLY = "g int, bucket int, kind int, at binary, answers binary"
-CONTEXT = "bucket int, g int, at binary, docs binary, sizes binary, lefts binary, body binary"
-#: Text of one index; only a single hot key can make a larger one.
+#: Kind 1: contexts for the index; kind 2: window hashes (in ``at``) of hot grams.
+CONTEXT = "bucket int, g int, kind int, at binary, docs binary, sizes binary, lefts binary, body binary"
+#: Text of one index; contexts of one gram that go to an index.
 INDEX_BYTES = 1 << 20
+HOT = 4096
 
 
 def _slide(x: np.ndarray, width: int, fold) -> np.ndarray:
@@ -132,8 +137,8 @@ def _ask(rows: pa.Table, length: int, buckets: int) -> pa.Table:
     return pa.table([column(0, pa.int32()), pa.array([g] * len(out), pa.int32()), *[column(i, pa.binary()) for i in (1, 2, 3, 4)]], names=["bucket", "g", "grams", "contexts", "doc_ids", "docs"])
 
 
-def _judge(block: pa.Table) -> pa.Table:
-    """For each asked pair: 0 nothing repeats, 1 a smaller document has the context, 2 it needs the index."""
+def _judge(block: pa.Table, hot: int) -> pa.Table:
+    """For each asked pair: 0 nothing repeats, 1 a smaller document has the context, 2 it needs the index, 3 its gram is hot."""
     k = [unpack_six(x) for x in block.column("grams").to_pylist()]
     c = [unpack_six(x) for x in block.column("contexts").to_pylist()]
     ids = []
@@ -152,9 +157,9 @@ def _judge(block: pa.Table) -> pa.Table:
     answer = np.where(d > d[head][which], 1, 0).astype(np.uint8)
     starts = np.flatnonzero(new_gram)
     gram = np.cumsum(new_gram) - 1
-    several = np.add.reduceat(new, starts) > 1
-    several &= np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
-    answer[head] = np.where(several[gram[head]], 2, answer[head])
+    contexts = np.add.reduceat(new, starts, dtype=np.int64)
+    several = (contexts > 1) & (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts))
+    answer[head] = np.where(several[gram[head]], np.where(contexts[gram[head]] > hot, 3, 2), answer[head])
     # A pair in two blocks under one id (rows that repeat it) is judged alike in both.
     same = (answer == 0) & ~new
     answer[same] = answer[head][which][same]
@@ -165,28 +170,64 @@ def _judge(block: pa.Table) -> pa.Table:
     return pa.table([block.column("g"), block.column("bucket"), pa.array([0] * n, pa.int32()), pa.array([b""] * n, pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["g", "bucket", "kind", "at", "answers"])
 
 
-def _status(b: Block, reply: pa.Table) -> np.ndarray:
+def _status(b: Block, reply: pa.Table, of: int = 0) -> np.ndarray:
+    """The answers of kind ``of`` in the order asked: 0 for pairs, 2 for windows."""
     kind, bucket, blobs = (reply.column(c).to_pylist() for c in ("kind", "bucket", "answers"))
-    order = sorted((bu, i) for i, (ki, bu) in enumerate(zip(kind, bucket)) if ki == 0)
+    order = sorted((bu, i) for i, (ki, bu) in enumerate(zip(kind, bucket)) if ki == of)
     return np.frombuffer(b"".join(blobs[i] for _, i in order), np.uint8)
 
 
+class HotWindows:
+    """The distinct windows of a block's anchors whose gram is hot, with the smallest document of each in the block."""
+
+    def __init__(self, b: Block, status: np.ndarray, length: int):
+        own = np.flatnonzero(status[b.pair] == 3) if len(b.pair) else np.zeros(0, np.int64)
+        own = own[b.end[own] - b.start[own] >= length]
+        n = b.end[own] - b.start[own] - length + 1
+        at = spread(b.start[own], n)
+        # Windows of neighbouring anchors are the same places.
+        self.at, first = np.unique(at, return_index=True)
+        doc = b.ids[np.repeat(b.doc[own], n)[first]]
+        hashes, self.which = np.unique(span_hashes(b.data, self.at, self.at + length), return_inverse=True)
+        self.doc, self.hashes = doc, hashes
+        self.least = np.full(len(hashes), NO_ID)
+        np.minimum.at(self.least, self.which, doc)
+
+    def bounds(self, buckets: int) -> np.ndarray:
+        edges = np.array([(k << 64) // buckets for k in range(1, buckets)], U64)
+        return np.concatenate(([0], np.searchsorted(self.hashes, edges), [len(self.hashes)]))
+
+
 def _contexts(rows: pa.Table, reply: pa.Table, length: int, buckets: int) -> pa.Table:
-    """The contexts that need the index, by bucket."""
+    """The contexts that need the index, and the windows of hot grams, by bucket."""
     b = Block(rows, length)
-    need = np.flatnonzero(_status(b, reply) == 2)
-    edges, out = b.bounds(buckets), []
-    bounds = np.searchsorted(need, edges)
+    status = _status(b, reply)
+    need, out = np.flatnonzero(status == 2), []
+    bounds = np.searchsorted(need, b.bounds(buckets))
     for n in np.flatnonzero(np.diff(bounds)).tolist():
         pairs = need[bounds[n] : bounds[n + 1]]
-        if len(pairs):
-            a = b.first[pairs]
-            size = b.end[a] - b.start[a]
-            flat = np.repeat(b.start[a] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            out.append((n, pairs.astype(np.int32).tobytes(), b.least[pairs].tobytes(), size.astype(np.uint16).tobytes(), (b.at[a] - b.start[a]).astype(np.uint8).tobytes(), b.data[flat].tobytes()))
-    g = rows.column("g")[0].as_py()
+        a = b.first[pairs]
+        size = b.end[a] - b.start[a]
+        out.append((n, 1, pairs.astype(np.int32).tobytes(), b.least[pairs].tobytes(), size.astype(np.uint16).tobytes(), (b.at[a] - b.start[a]).astype(np.uint8).tobytes(), b.data[spread(b.start[a], size)].tobytes()))
+    w = HotWindows(b, status, length)
+    at = w.bounds(buckets)
+    for n in np.flatnonzero(np.diff(at)).tolist():
+        out.append((n, 2, w.hashes[at[n] : at[n + 1]].tobytes(), w.least[at[n] : at[n + 1]].tobytes(), b"", b"", b""))
     column = lambda i, t: pa.array([o[i] for o in out], t)
-    return pa.table([column(0, pa.int32()), pa.array([g] * len(out), pa.int32()), *[column(i, pa.binary()) for i in (1, 2, 3, 4, 5)]], names=["bucket", "g", "at", "docs", "sizes", "lefts", "body"])
+    g = pa.array([rows.column("g")[0].as_py()] * len(out), pa.int32())
+    return pa.table([column(0, pa.int32()), g, column(1, pa.int32()), *[column(i, pa.binary()) for i in (2, 3, 4, 5, 6)]], names=["bucket", "g", "kind", "at", "docs", "sizes", "lefts", "body"])
+
+
+def _judge_windows(block: pa.Table) -> pa.Table:
+    """For each asked window whether a smaller document has it."""
+    parts = [np.frombuffer(x, U64) for x in block.column("at").to_pylist()]
+    docs = np.frombuffer(b"".join(block.column("docs").to_pylist()), np.int64)
+    u, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+    least = np.full(len(u), NO_ID)
+    np.minimum.at(least, inverse, docs)
+    answers = np.split((docs > least[inverse]).astype(np.uint8), np.cumsum([len(p) for p in parts])[:-1])
+    n = len(parts)
+    return pa.table([block.column("g"), block.column("bucket"), pa.array([2] * n, pa.int32()), pa.array([b""] * n, pa.binary()), pa.array([a.tobytes() for a in answers], pa.binary())], names=["g", "bucket", "kind", "at", "answers"])
 
 
 class RunIndex:
@@ -287,6 +328,13 @@ def _shared_windows(body: np.ndarray, begin: np.ndarray, size: np.ndarray, docs:
     return out
 
 
+def _settle(block: pa.Table, length: int) -> pa.Table:
+    """Both kinds of a bucket."""
+    kinds = np.array(block.column("kind").to_pylist())
+    parts = [f(block.filter(pa.array(kinds == k))) for k, f in ((1, lambda x: _stream(x, length)), (2, _judge_windows)) if (kinds == k).any()]
+    return pa.concat_tables(parts)
+
+
 def _stream(block: pa.Table, length: int) -> pa.Table:
     """For each context a mask of the windows (bit: offset) that a smaller document has.
 
@@ -336,7 +384,13 @@ def _cover(rows: pa.Table, reply: pa.Table, length: int, with_text: bool) -> pa.
 
     whole = (b.ids[b.doc] > b.least[b.pair]) if len(b.pair) else np.zeros(0, bool)
     if len(b.pair):
-        whole |= _status(b, reply)[b.pair] == 1
+        status = _status(b, reply)
+        whole |= status[b.pair] == 1
+        hot = HotWindows(b, status, length)
+        answers = _status(b, reply, 2)
+        if len(hot.at):
+            seen = hot.at[(hot.doc > hot.least[hot.which]) | (answers[hot.which] == 1)]
+            mark(seen, seen + length)
     whole &= b.end - b.start >= length
     mark(b.start[whole], b.end[whole])
     masks = np.zeros(len(b.k), U64)
@@ -364,18 +418,19 @@ def _cover(rows: pa.Table, reply: pa.Table, length: int, with_text: bool) -> pa.
     return pa.table(columns, names=names)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, with_text: bool = False, batch_bytes: int = 6 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, with_text: bool = False, batch_bytes: int = 6 << 20, hot: int = HOT) -> DataFrame:
     """Per document: key, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, if ``with_text``).
 
-    ``length`` may be 29 to 56: the suffix order needs at least 28 bytes and twice that at most.
+    ``length`` may be 29 to 56: the suffix order needs at least 28 bytes and twice that at most. A gram with more
+    than ``hot`` contexts is settled by window hashes.
     """
     buckets = batches_for(docs, text, batch_bytes)
-    d = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("g", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int"))
+    d = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).withColumn("g", F.pmod(F.xxhash64("doc", F.length("text")), F.lit(buckets)).cast("int"))
     by = d.groupBy("g")
     asked = by.applyInArrow(lambda rows: trimmed(_ask)(rows, length, buckets), REQUEST)
-    replies = asked.groupBy("bucket").applyInArrow(lambda block: trimmed(_judge)(block), REPLY)
+    replies = asked.groupBy("bucket").applyInArrow(lambda block: trimmed(_judge)(block, hot), REPLY)
     contexts = by.cogroup(replies.groupBy("g")).applyInArrow(lambda rows, reply: trimmed(_contexts)(rows, reply, length, 4 * buckets), CONTEXT)  # small indexes
-    masks = contexts.groupBy("bucket").applyInArrow(lambda block: trimmed(_stream)(block, length), REPLY)
+    masks = contexts.groupBy("bucket").applyInArrow(lambda block: trimmed(_settle)(block, length), REPLY)
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     out = by.cogroup(replies.unionByName(masks).groupBy("g")).applyInArrow(lambda rows, reply: trimmed(_cover)(rows, reply, length, with_text), schema)
     return out.withColumnRenamed("doc", key)
