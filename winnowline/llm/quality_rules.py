@@ -136,7 +136,7 @@ def remove_lines(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: s
     Only documents that lose a line are taken apart. Where there is a column ``length``, theirs is counted anew.
     """
     gone = found.groupBy("row").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("row", "__row")
-    d = docs.withColumn("__row", row_hash(key, text, host)).join(gone, "__row", "left")
+    d = docs.withColumn("__row", row_hash(key, text, host)).join(gone.hint("merge"), "__row", "left")  # grows with the documents: never broadcast
     left = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(F.col(host), normal_line(x))))
     d = d.withColumn(text, F.when(F.isnull("__gone"), F.col(text)).otherwise(F.array_join(left, "\n")))
     if length in docs.columns:
