@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from winnowline.llm.common import batches_for, cut
 from winnowline.llm.components import connected_components
-from winnowline.llm.kernel import U64, mix, shingle_sets
+from winnowline.llm.kernel import U64, mix, shingle_sets, trimmed
 
 #: Of 16 n-gram hashes so many have their frequency taken in the first pass, which only discards rows.
 FIRST_PASS = 6
@@ -99,8 +99,8 @@ def shingled(docs: DataFrame, key: str, text: str, width: int, percent: int, bat
         s1, s2 = ([int(part.sum(dtype=U64)) for part in np.split(x, ends[:-1])] for x in (grams, second))
         return pa.table([rows.column("doc"), pa.array(sizes), pa.array(np.array(s1, U64).view(np.int64)), pa.array(np.array(s2, U64).view(np.int64)), pa.array([s.tobytes() if m else None for s, m in zip(sets, may)], pa.binary())], names=["doc", "n", "s1", "s2", "items"])
 
-    replies = d.groupBy("g").applyInArrow(ask, REQUEST).groupBy("bucket").applyInArrow(_column_sums, REPLY)
-    rows = d.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(settle, f"doc {kind}, n long, s1 long, s2 long, items binary")
+    replies = d.groupBy("g").applyInArrow(lambda rows: trimmed(ask)(rows), REQUEST).groupBy("bucket").applyInArrow(lambda block: trimmed(_column_sums)(block), REPLY)
+    rows = d.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lambda rows, reply: trimmed(settle)(rows, reply), f"doc {kind}, n long, s1 long, s2 long, items binary")
     return cut(rows)
 
 
@@ -143,8 +143,8 @@ def postings(classes: DataFrame, percent: int, batch_bytes: int) -> DataFrame:
         row = row.astype(np.int64)
         return pa.table([pa.array(gram.view(np.int64)), rows.column("class").take(pa.array(row)), rows.column("n").take(pa.array(row)), pa.array(pos.astype(np.int64))], names=["gram", "class", "n", "pos"])
 
-    replies = d.groupBy("g").applyInArrow(ask, REQUEST).groupBy("bucket").applyInArrow(_column_sums, REPLY)
-    return cut(d.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(settle, "gram long, class long, n long, pos long"))
+    replies = d.groupBy("g").applyInArrow(lambda rows: trimmed(ask)(rows), REQUEST).groupBy("bucket").applyInArrow(lambda block: trimmed(_column_sums)(block), REPLY)
+    return cut(d.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lambda rows, reply: trimmed(settle)(rows, reply), "gram long, class long, n long, pos long"))
 
 
 def overlaps(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
