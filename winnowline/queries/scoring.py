@@ -53,22 +53,6 @@ def lexical_evidence(spark, d):
     return table(spark, d, "documents").select("doc_id", total.alias("lexical"))
 
 
-COEF = {"the": 0.8, "and": 0.4, "of": 0.3, "idiot": -2.0, "scum": -2.0, "der": 0.5, "les": 0.5, "del": 0.5}
-COEF_SQL = "(VALUES " + ", ".join(f"('{t}', {w}::DOUBLE)" for t, w in COEF.items()) + ") c(term, coef)"
-
-
-@R.add(rf"""WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1)) AS term FROM documents),
-f AS (SELECT doc_id, term, 1 + ln(count(*)) AS tf FROM t GROUP BY ALL), s AS (SELECT doc_id, sum(coalesce(coef, 0) * tf) / sqrt(sum(tf * tf)) AS z FROM f LEFT JOIN {COEF_SQL} USING (term) GROUP BY doc_id)
-SELECT doc_id, round(1 / (1 + exp(-(coalesce(z, 0) - 0.1))), 4) AS score FROM documents LEFT JOIN s USING (doc_id)""")
-def tfidf_logreg_score(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    coef = spark.createDataFrame(list(COEF.items()), "term string, coef double")
-    t = docs.select("doc_id", F.explode(F.filter(Q.tokens(F.col("text")), lambda x: F.length(x) > 1)).alias("term"))
-    f = t.groupBy("doc_id", "term").agg((1 + F.ln(F.count("*"))).alias("tf")).join(F.broadcast(coef), "term", "left")  # eight constant rows
-    z = f.groupBy("doc_id").agg((F.sum(F.coalesce("coef", F.lit(0.0)) * F.col("tf")) / F.sqrt(F.sum(F.col("tf") * F.col("tf")))).alias("z"))
-    return docs.select("doc_id").join(z, "doc_id", "left").select("doc_id", F.round(1 / (1 + F.exp(-(F.coalesce("z", F.lit(0.0)) - 0.1))), 4).alias("score"))
-
-
 COS_SQL = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[]) / sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[]) * list_inner_product({1}::DOUBLE[], {1}::DOUBLE[]))"
 ANCHORS_SQL = "SELECT embedding AS anchor, label < 2 AS positive FROM embeddings WHERE label < 2 OR label = 9"
 SIMS_SQL = f"SELECT vec_id, positive, {COS_SQL.format('embedding', 'anchor')} AS sim FROM embeddings, ({ANCHORS_SQL})"

@@ -148,12 +148,6 @@ def term_stats(spark, d):
     return t.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "term"))).where("rank <= 20")  # a top-k report
 
 
-@R.add("SELECT doc_id, CASE WHEN b < 60 THEN 'train' WHEN b < 80 THEN 'dev' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(sha256(lower(text)), 1, 8))::BIGINT % 100 AS b FROM documents)")
-def leakfree_split(spark, d):
-    b = F.conv(F.substring(F.sha2(F.lower("text"), 256), 1, 8), 16, 10).cast("long") % 100
-    return table(spark, d, "documents").select("doc_id", F.when(b < 60, "train").when(b < 80, "dev").otherwise("test").alias("split"))
-
-
 @R.add("SELECT event_id, max_by(price, length(name)) AS price FROM (SELECT event_id, event_type || '-' || (user_id % 3) AS used FROM events) JOIN (VALUES ('view', 0.5::DOUBLE), ('view-1', 0.7::DOUBLE), ('click', 0.2::DOUBLE), ('purchase-2', 2.0::DOUBLE)) p(name, price) ON used = name OR starts_with(used, name || '-') GROUP BY event_id")
 def cost_prefix_lookup(spark, d):
     prices = spark.createDataFrame([("view", 0.5), ("view-1", 0.7), ("click", 0.2), ("purchase-2", 2.0)], "name string, price double")
@@ -175,15 +169,16 @@ def session_health(spark, d):
     return ingest.sessions(table(spark, d, "events"))
 
 
-@R.add("SELECT event_id, user_id, event_type FROM events")
+@R.add("SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
 def stream_ingest_dedup(spark, d):
-    """A file stream of the events, deduplicated by id and run over what is there."""
+    """A file stream of the events, one row kept of each user, type and day, run over what is there."""
     import uuid
 
     e = table(spark, d, "events")
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream = ingest.dedup_stream(ingest.file_stream(spark, f"{d}/events*.parquet", e.schema), "event_id", "ts", "60 days")
-    return ingest.run_available(stream.select("event_id", "user_id", "event_type"), f"{base}/out", f"{base}/state")
+    stream = ingest.file_stream(spark, f"{d}/events*.parquet", e.schema).select("user_id", "event_type", "ts", F.concat_ws("|", "user_id", "event_type", F.to_date("ts")).alias("key"))
+    stream = ingest.dedup_stream(stream, "key", "ts", "60 days")
+    return ingest.run_available(stream.select("user_id", "event_type", F.to_date("ts").alias("day")), f"{base}/out", f"{base}/state")
 
 
 @R.add("SELECT DISTINCT sha256(concat_ws('|', user_id, event_type)) AS idempotency_key FROM events WHERE event_type = 'purchase'")
@@ -196,7 +191,7 @@ def stream_outbox(spark, d):
     s = ingest.file_stream(spark, f"{d}/events*.parquet", e.schema).where("event_type = 'purchase'").select(F.sha2(F.concat_ws("|", "user_id", "event_type"), 256).alias("idempotency_key"))
     for run in range(2):  # the second run reads everything again and adds nothing
         s.writeStream.foreachBatch(ingest.outbox_writer(f"{base}/out", "idempotency_key")).option("checkpointLocation", f"{base}/state{run}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("bucket")
 
 
 QUERIES, ORACLE = R.queries, R.oracle

@@ -17,20 +17,24 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def outbox_writer(out: str, key: str):
-    """A foreachBatch function that appends only rows whose idempotency key isn't in ``out`` yet."""
+def outbox_writer(out: str, key: str, buckets: int = 64):
+    """A foreachBatch function that appends only rows whose idempotency key isn't in ``out`` yet.
+
+    The outbox is partitioned by a hash of the key; a batch reads the keys of the partitions that it touches.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # ``buckets`` at most
         try:
-            known = spark.read.parquet(out).select(key)
+            known = spark.read.parquet(out).where(F.col("bucket").isin(touched)).select(key)
         except Exception as e:  # nothing delivered yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         else:
             fresh = fresh.join(known, key, "left_anti")
-        fresh.write.mode("append").parquet(out)
+        fresh.write.mode("append").partitionBy("bucket").parquet(out)
 
     return write
 
