@@ -166,6 +166,56 @@ def local_fixture(spark, d):
     return parse_raw_lines(lines).select("doc_id", F.coalesce("reason", F.lit("good")).alias("outcome"))
 
 
+@R.add("SELECT term, max(weight) AS weight, arg_max(polarity, made) AS polarity FROM (SELECT p_type AS term, p_size / 50.0::DOUBLE AS weight, CASE WHEN p_partkey % 2 = 0 THEN 'positive' ELSE 'negative' END AS polarity, p_partkey AS made FROM part) GROUP BY term")
+def ontology_upsert(spark, d):
+    """Terms of two versions: the later polarity counts, a weight never falls."""
+    p = table(spark, d, "part").select(F.col("p_type").alias("term"), F.col("p_partkey").alias("made"), (F.col("p_size") / 50).alias("weight"), F.when(F.col("p_partkey") % 2 == 0, "positive").otherwise("negative").alias("polarity"))
+    greatest = p.groupBy("term", F.col("made") % 2).agg(F.max("weight").alias("weight"), F.max("made").alias("made"), F.max_by("polarity", "made").alias("polarity"))
+    old = greatest.where("polarity = 'positive'").select("term", "weight", "polarity", "made")
+    new = greatest.where("polarity = 'negative'").select("term", "weight", "polarity", "made")
+    late = S.upsert(old.select("term", "weight", "polarity"), new.select("term", "weight", "polarity", "made"), ["term"], ["made"], ("weight",))
+    # Of a term in both versions the one made later decides.
+    both = old.select("term", F.col("made").alias("m0"), F.col("polarity").alias("p0")).join(new.select("term", F.col("made").alias("m1")), "term", "full")
+    return late.join(both, "term").select("term", "weight", F.when(F.coalesce("m0", F.lit(-1)) > F.coalesce("m1", F.lit(-1)), F.col("p0")).otherwise(F.col("polarity")).alias("polarity"))
+
+
+@R.add("SELECT run, max(n) AS fetched FROM (SELECT CAST(ts AS DATE) AS run, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT CAST(ts AS DATE), count(*) FILTER (event_type <> 'error') FROM events GROUP BY 1) GROUP BY run")
+def run_stats_upsert(spark, d):
+    """Statistics of runs written twice, the second time complete."""
+    e = table(spark, d, "events").withColumn("run", F.to_date("ts"))
+    first = e.where("event_type <> 'error'").groupBy("run").agg(F.count("*").alias("fetched"))
+    second = e.groupBy("run").agg(F.count("*").alias("fetched"))
+    return S.upsert(first, second.withColumn("at", F.lit(2)), ["run"], ["at"], ("fetched",))
+
+
+@R.add("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def group_replacement(spark, d):
+    """Of each group and source the newest member replaces those before it."""
+    from winnowline.operators.identity import latest_of_group
+
+    return latest_of_group(table(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@R.add("SELECT event_id, CASE WHEN n <= 3 THEN 1 WHEN n <= 6 THEN 2 ELSE 3 END AS batch FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)")
+def deferred_work(spark, d):
+    """What a budget defers is read again by the next batch: three batches over the same rows."""
+    rest, done = table(spark, d, "events").select("event_id", "user_id", "ts"), None
+    for batch in (1, 2):
+        marked = S.spread_budget(rest, "user_id", ["ts", "event_id"], 3)
+        now = marked.where("work = 'now'").select("event_id", F.lit(batch).alias("batch"))
+        done, rest = now if done is None else done.unionByName(now), marked.where("work = 'deferred'").drop("work")
+    return done.unionByName(rest.select("event_id", F.lit(3).alias("batch")))
+
+
+@R.add("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'structured' WHEN n <= 10 THEN 'model' ELSE 'deferred' END AS route FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, doc_id % 5 = 0 ORDER BY n_chars DESC, doc_id) AS n FROM documents)")
+def extraction_routing(spark, d):
+    """Structured rows take the fast path; of the others so many a source go to a model, the rest waits."""
+    t = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    rest = S.spread_budget(t.where("doc_id % 5 > 0"), "source", [F.desc("n_chars"), "doc_id"], 10)
+    fast = t.where("doc_id % 5 = 0").select("doc_id", F.lit("structured").alias("route"))
+    return fast.unionByName(rest.select("doc_id", F.when(F.col("work") == "now", "model").otherwise("deferred").alias("route")))
+
+
 # --- publishing -----------------------------------------------------------------------------------------
 
 
