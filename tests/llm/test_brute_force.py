@@ -402,3 +402,17 @@ def test_languages(spark, awkward):
     assert [r["lang_pred"] for r in found[1:]] == ["und"] * 3
     for x in (awkward, awkward.limit(0)):
         assert languages.detect_languages(x).count() == x.count()
+
+
+def test_queries_follow_their_sql(spark):
+    import duckdb
+
+    from winnowline.llm.queries import ORACLE, QUERIES
+
+    for name, sql in ORACLE.items():
+        duck = duckdb.connect()
+        for t in ("documents", "conversations"):
+            duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+        got, cursor = QUERIES[name](spark, SMALL), duck.execute(sql)
+        assert [x[0] for x in cursor.description] == got.columns
+        assert bag(got.collect()) == bag(cursor.fetchall()), name

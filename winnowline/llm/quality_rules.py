@@ -160,3 +160,25 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     n, repeated = F.size(words), repeated_window_words(words)
     ok = docs.where((n >= 50) & (100 * repeated <= 50 * n))
     return remove_lines(ok.join(gone, ok[key].eqNullSafe(gone["__depleted"]), "left_anti"), found, key, text, host)
+
+
+#: The rows of quality_verdicts over ``documents``, from the definitions: lines as text, not as hashes.
+SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM d),
+tri AS (SELECT r, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+spots AS (SELECT r, count(DISTINCT s) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS s FROM (SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, g) > 1)) GROUP BY r),
+m AS (SELECT w.r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN spots USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+x AS (SELECT r, doc_id, source, list_sort(list_distinct(list_filter(list_transform(string_split(t, chr(10)), lambda y: trim(regexp_replace(regexp_replace(lower(y), '\d', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda y: y <> ''))) AS s FROM d),
+tx AS (SELECT row_number() OVER () AS k, source, s, docs FROM (SELECT source, s, count(*) AS docs FROM x WHERE len(s) > 0 GROUP BY ALL)),
+ln AS (SELECT k, source, docs, unnest(s) AS line FROM tx),
+often AS (SELECT source, line FROM ln GROUP BY ALL HAVING sum(docs) > 20 AND count(*) > 10),
+lo AS (SELECT ln.k, ln.source, ln.line, o.line IS NOT NULL AS often, string_split(ln.line, ' ') AS w FROM ln LEFT JOIN often o ON ln.source IS NOT DISTINCT FROM o.source AND ln.line = o.line),
+lines AS (SELECT k, source, line, often, CASE WHEN len(w) >= 12 THEN list_transform([0, 1, 2, 3], lambda j: j || '|' || array_to_string(w[1:((len(w) + 1) // 4) * j], ' ') || '|' || array_to_string(w[len(w) - ((len(w) + 1) // 4) * (3 - j) + 1:], ' ')) ELSE [] END AS loose FROM lo WHERE k IN (SELECT k FROM lo WHERE often)),
+varied AS (SELECT source, key FROM (SELECT DISTINCT k, source, unnest(loose) AS key FROM lines WHERE NOT often) GROUP BY ALL HAVING count(*) > 10 UNION SELECT source, unnest(loose) AS key FROM lines WHERE often),
+variant AS (SELECT DISTINCT k, line FROM (SELECT k, source, line, unnest(loose) AS key FROM lines WHERE NOT often) n JOIN varied v ON n.key = v.key AND n.source IS NOT DISTINCT FROM v.source),
+rest AS (SELECT k, coalesce(list_sort(list(line) FILTER (len(loose) = 0 OR (NOT often AND known IS NULL))), []) AS rest FROM (SELECT lines.*, variant.line AS known FROM lines LEFT JOIN variant ON lines.k = variant.k AND lines.line = variant.line) GROUP BY k),
+frequent AS (SELECT source, line FROM lines JOIN rest USING (k) WHERE often GROUP BY ALL HAVING count(DISTINCT rest) > 10),
+xl AS (SELECT r, doc_id, source, unnest(s) AS line, list_sum(list_transform(s, lambda y: len(string_split(y, ' ')))) AS total FROM x),
+gone AS (SELECT doc_id, true AS gone FROM xl JOIN frequent f ON xl.source IS NOT DISTINCT FROM f.source AND xl.line = f.line GROUP BY doc_id HAVING sum(len(string_split(xl.line, ' '))) > 0.7 * max(total))
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone IS NULL AS kept FROM b LEFT JOIN gone ON b.doc_id IS NOT DISTINCT FROM gone.doc_id"""

@@ -59,4 +59,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_format_preferences, op3_quality_classifier, op4_ngram_jaccard_join, op5_remove_repeats, op6_benchmark_decontamination, op7_language_id, op8_lm_scoring, op9_token_files, op10_quality_rules)}
 
 #: SQL that returns the same rows; the other queries are held against brute force in tests/llm.
-ORACLE: dict[str, str] = {"op2_format_preferences": chat_format.SQL}
+ORACLE: dict[str, str] = {"op2_format_preferences": chat_format.SQL, "op10_quality_rules": quality_rules.SQL}
