@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnowline.llm import chat_format, decontamination, language_model, languages, lexical, minhash, mixing, ngram_join, quality_model, quality_rules, repeats, token_files
+from winnowline.llm import chat_format, collocations, decontamination, language_model, languages, lexical, minhash, mixing, ngram_join, quality_model, quality_rules, repeats, token_files
 from winnowline.llm.common import held_out, table
 
 
@@ -64,7 +64,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_format_preferences, op3_quality_classifier, op4_ngram_jaccard_join, op5_remove_repeats, op6_benchmark_decontamination, op7_language_id, op8_lm_scoring, op9_token_files, op10_quality_rules, op11_minhash_near_dedup, op12_ranked_search)}
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_format_preferences, op3_quality_classifier, op4_ngram_jaccard_join, op5_remove_repeats, op6_benchmark_decontamination, op7_language_id, op8_lm_scoring, op9_token_files, op10_quality_rules, op11_minhash_near_dedup, op12_ranked_search, op13_phrase_mining)}
 
 #: SQL that returns the same rows; the other queries are held against brute force in tests/llm.
-ORACLE: dict[str, str] = {"op2_format_preferences": chat_format.SQL, "op10_quality_rules": quality_rules.SQL, "op11_minhash_near_dedup": minhash.SQL, "op12_ranked_search": lexical.SQL}
+ORACLE: dict[str, str] = {"op2_format_preferences": chat_format.SQL, "op10_quality_rules": quality_rules.SQL, "op11_minhash_near_dedup": minhash.SQL, "op12_ranked_search": lexical.SQL, "op13_phrase_mining": collocations.SQL}
