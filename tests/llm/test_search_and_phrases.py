@@ -85,6 +85,26 @@ def test_bands_and_sketches_miss_less_than_asked():
     assert sum(math.comb(124, i) * 0.85**i * 0.15 ** (124 - i) for i in range(k)) <= 1e-7 < sum(math.comb(124, i) * 0.85**i * 0.15 ** (124 - i) for i in range(k + 1))
 
 
+def test_parity_sketches_refute_no_link():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    sets = [np.unique(pool[at : at + size]) for size in (1, 3, 40, 60, 300, 330, 900) for at in rng.integers(0, 4000 - size, 12)]
+    sets += [np.unique(np.concatenate((s[: len(s) - len(s) // cut], rng.integers(0, 1 << 63, len(s) // cut, dtype=np.uint64)))) for s in sets for cut in (9, 10, 12, 30)]
+    n = np.array([len(s) for s in sets])
+    i, j = minhash.unrefuted(n, np.arange(len(sets)), [minhash.parity_sketch(s) for s in sets], np.zeros(len(sets), np.int64), 80)
+    may = {frozenset(x) for x in zip(i.tolist(), j.tolist())}
+    assert len(may) == len(i)
+    shared = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    links = {frozenset((a, b)) for a in range(len(sets)) for b in range(a) if 180 * shared(a, b) >= 80 * (n[a] + n[b])}
+    assert len(links) > 50 and links <= may and len(may) < 2 * len(links)
+
+
+def test_large_bands_are_compared_in_slices(awkward, monkeypatch):
+    want = bag(minhash.near_copies(awkward, width=4).collect())
+    monkeypatch.setattr(minhash, "SLICE", 3)
+    assert bag(minhash.near_copies(awkward, width=4).collect()) == want
+
+
 def test_a_family_of_copies_of_one_original_makes_few_pairs(spark):
     """Copies edited in other places are further apart than the threshold; the original links them all."""
     rng = random.Random(2)

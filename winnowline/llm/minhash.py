@@ -11,12 +11,17 @@ share none below ``miss`` (31 bands of 62 permutations for 0.8 and 1e-7).
 2. Bands that only one class has end in a grouped count. In each other band the hub is the class whose
    bands hold most classes in all (the original of a family of edited copies meets more of them than a
    copy does); every class is paired with its bands' hubs, links are confirmed and contracted.
-3. Bands that still hold several components give the pairs across them, so no link between classes is
-   lost to the hubs, and a family of n near copies makes about n pairs.
-
-Pairs first compare sizes and two-bit sketches of the signature (XOR and bit counts inside the join),
-with a threshold that a linked pair misses with a chance below ``miss``. What is left is confirmed on
-full n-gram sets, which are made again from the texts of the classes in question only.
+3. Bands that still hold several components are searched for links across them, so no link between
+   classes is lost to the hubs. Families of copies that are a little too far apart to link would make
+   pairs with the square of their number here, so pairs are first refuted where they meet: a class has a
+   parity sketch, one bit for each value of its n-grams' hashes modulo a power of two above twice their
+   number. N-grams that only one of two sets has flip one bit each at most, so sketches that differ in
+   more bits than a link allows prove that there is none. A band of many classes is cut into slices that
+   meet in pairs, so no task holds it whole.
+
+Pairs with a hub first compare sizes and two-bit sketches of the signature (XOR and bit counts inside
+the join), with a threshold that a linked pair misses with a chance below ``miss``. What is left is
+confirmed on full n-gram sets, which are made again from the texts of the classes in question only.
 
 Edge cases: null, empty and blank texts have no n-grams and link with nothing; a text with fewer words
 than the width is one n-gram; rows that repeat a doc_id are rows of their own; a null doc_id stays null,
@@ -43,6 +48,8 @@ from winnowline.llm.ngram_join import overlaps
 ROWS = 2
 #: n-gram hashes that one pass over the permutations takes at a time, so they stay in the cache.
 CACHED = 1 << 15
+#: Classes of a band that one task compares with one another or with as many others.
+SLICE = 1024
 
 
 def band_count(percent: int, miss: float) -> int:
@@ -154,10 +161,61 @@ def _alike(left: str, right: str, words: int, values: int, percent: int, miss: f
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= values - least_agreement(values, percent, miss))
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(class, items): the packed n-gram sets of the classes in the pairs, made again from one text each."""
+def parity_sketch(grams: np.ndarray) -> bytes:
+    """Whether an odd number of the hashes falls on each place of a table with a power of two of places, at least twice as many as hashes."""
+    places = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((grams & U64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def unrefuted(n: np.ndarray, label: np.ndarray, sketch: list[bytes], part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different labels whose sizes and parity sketches allow a link; of rows of two parts only pairs across them."""
+    level, out = np.array([len(x) for x in sketch]), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    rows = {int(k): np.flatnonzero(level == k) for k in np.unique(level)}
+    two_parts = len(np.unique(part)) > 1
+    bits = {k: np.frombuffer(b"".join(sketch[i] for i in own), U64).reshape(len(own), -1) for k, own in rows.items()}
+    for k, own in rows.items():
+        for other in (k, 2 * k):
+            if other in rows:
+                x, y, with_ = bits[k], bits[other], rows[other]
+                y = y if other == k else y[:, : k // 8] ^ y[:, k // 8 :]
+                step = max(1, (1 << 22) // (len(with_) * (k // 8)))
+                for at in range(0, len(own), step):
+                    here = own[at : at + step]
+                    differ = np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                    both, small = n[here][:, None] + n[with_][None, :], np.minimum(n[here][:, None], n[with_][None, :])
+                    may = ((100 + percent) * differ <= (100 - percent) * both) & ((100 + percent) * small >= percent * both) & (label[here][:, None] != label[with_][None, :])
+                    may &= (here[:, None] < with_[None, :]) | (other != k)
+                    if two_parts:
+                        may &= part[here][:, None] != part[with_][None, :]
+                    i, j = np.nonzero(may)
+                    out.append((here[i], with_[j]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def across_components(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes of different components that share a band and that sketches do not refute."""
+
+    def sketch(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column("class"), pa.array([parity_sketch(np.frombuffer(x, U64)) for x in batch.column("items").to_pylist()], pa.binary())], names=["class", "sketch"])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        name = rows.column("class").to_numpy()
+        i, j = unrefuted(rows.column("n").to_numpy(), rows.column("label").to_numpy(), rows.column("sketch").to_pylist(), rows.column("part").to_numpy(), percent)
+        trim()
+        return pa.table([pa.array(np.minimum(name[i], name[j])), pa.array(np.maximum(name[i], name[j]))], names=["a", "b"])
+
+    size = still.groupBy(F.col("band").alias("of")).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts"))
+    dealt = still.join(size, F.col("band") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    met = dealt.select("band", "class", "n", "label", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    met = met.join(sets.mapInArrow(sketch, "class long, sketch binary"), "class")
+    cells = met.groupBy("band", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"))
+    return cells.applyInArrow(compare, "a long, b long").distinct()
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, named: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(class, items): the packed n-gram sets of the classes named, made again from one text each."""
     kind = docs.select(key).dtypes[0][1]
-    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     wanted = cut(classes.select("class", "low", "n", "s1", "s2").join(named, "class"))
 
     def make(batches):
@@ -189,17 +247,17 @@ def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, width:
     hubs = met.groupBy("band").agg(F.max(F.struct("degree", "class", "n", *sketch)).alias("h")).select("band", "h.*")
     x, y = met.alias("x"), hubs.alias("y")
     first = cut(x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.class") != F.col("y.class")) & alike).select(*pair).distinct())
-    links = cut(overlaps(first, full_sets(docs, classes, first, key, text, width), percent))
+    named = first.select(F.col("a").alias("class")).union(first.select("b")).distinct()
+    links = cut(overlaps(first, full_sets(docs, classes, named, key, text, width), percent))
     labels = cut(connected_components(links))
-    marked = met.join(labels, met["class"] == labels["node"], "left").select("band", "class", "n", *sketch, F.coalesce("label", "class").alias("label"))
+    marked = met.join(labels, met["class"] == labels["node"], "left").select("band", "class", "n", F.coalesce("label", "class").alias("label"))
     split = marked.groupBy(F.col("band").alias("of")).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("of")
     still = cut(marked.join(split, F.col("band") == F.col("of"), "left_semi"))
-    x, y = still.alias("x"), still.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & alike).select(*pair).distinct()
-    second = cut(across.join(first, ["a", "b"], "left_anti"))
+    sets = full_sets(docs, classes, still.select("class").distinct(), key, text, width)
+    second = cut(across_components(still, sets, percent).join(first, ["a", "b"], "left_anti"))
     if second.isEmpty():
         return labels
-    more = cut(overlaps(second, full_sets(docs, classes, second, key, text, width), percent))
+    more = cut(overlaps(second, sets, percent))
     return labels if more.isEmpty() else cut(connected_components(links.unionByName(more)))
 
 
