@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,39 +22,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def anchor_margin(vectors: DataFrame, anchors: DataFrame, k: int = 5, block_rows: int = 500) -> DataFrame:
-    """Mean of the k largest similarities to positive anchors less the same for negative ones, and of the largest.
-
-    Anchors are taken block by block; of each block only the k best similarities of a row go on.
-    """
-    n = max(1, -(-anchors.count() // block_rows))
-    a = anchors.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n))).groupBy("block", "positive").agg(F.collect_list("anchor").alias("anchors"))
-    best = F.slice(F.sort_array(F.transform("anchors", lambda x: cosine(F.col("embedding"), x)), False), 1, k)
-    s = vectors.crossJoin(a).select("vec_id", "positive", best.alias("best"))
-    top = s.groupBy("vec_id", "positive").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), False), 1, k).alias("top"))
-    top = top.select("vec_id", "positive", (F.aggregate("top", F.lit(0.0), lambda x, y: x + y) / F.size("top")).alias("mean"), F.col("top")[0].alias("most"))
-    side = lambda c, p: F.max(F.when(F.col("positive") == p, F.col(c)))
-    g = top.groupBy("vec_id").agg(side("mean", True).alias("p"), side("mean", False).alias("n"), side("most", True).alias("pm"), side("most", False).alias("nm"))
-    return g.select("vec_id", F.round(F.col("p") - F.col("n"), 6).alias("margin"), F.round(F.col("pm") - F.col("nm"), 6).alias("max_margin"))
-
-
 def fuse(margin: Column, k: float = 20.0) -> Column:
     return 1 / (1 + F.exp(-k * margin))
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int, block_rows: int = 2_000) -> DataFrame:
-    """The k nearest of each query vector by cosine, ties by id.
-
-    Queries are packed into blocks of about ``block_rows`` rows, and each vector meets each block once.
-    """
-    n = max(1, -(-query.count() // block_rows))
-    packed = query.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
-    sims = F.transform("queries", lambda x: F.struct(F.round(cosine(F.col("embedding"), x["query"]), 6).alias("sim"), x["query_id"].alias("query_id")))
-    s = vectors.crossJoin(packed).select("vec_id", F.explode(sims).alias("s")).select("s.query_id", "vec_id", "s.sim").where("vec_id <> query_id")
-    # Spark limits each group before the shuffle, so k rows a query and task go on.
-    return s.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))).where(F.col("rank") <= k)
-
-
 def evidence(atoms: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
     """Claim assessments from signed atoms.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from winnowline.operators import scoring as S
 from winnowline.operators import search as Q
+from winnowline.operators import vectors as V
 from winnowline.queries import Registry, table
 from winnowline.sources.scratch import stored
 
@@ -62,7 +63,7 @@ MARGIN_SQL = f"SELECT vec_id, round(max(CASE WHEN positive THEN m END) - max(CAS
 def _margins(spark, d):
     e = table(spark, d, "embeddings")
     anchors = e.where("label < 2 OR label = 9").select(F.col("embedding").alias("anchor"), (F.col("label") < 2).alias("positive"))
-    return S.anchor_margin(e, anchors)
+    return V.anchor_margin(e, anchors)
 
 
 @R.add(MARGIN_SQL)
@@ -79,7 +80,15 @@ def parallel_fusion(spark, d):
 def cosine_topk(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return S.nearest(e, q, 10).select("query_id", "vec_id", "sim", "rank")
+    return V.nearest(e, q, 10).select("query_id", "vec_id", "sim", "rank")
+
+
+@R.add(f"SELECT query_id, vec_id, sim, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round({COS_SQL.format('e.embedding', 'q.embedding')}, 6) AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id AND e.label IN (1, 3, 5))) WHERE rank <= 5")
+def filtered_topk(spark, d):
+    """The nearest among the vectors with some labels: the payload filter goes before the search."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return V.nearest(e, q, 5, where=F.col("label").isin(1, 3, 5)).select("query_id", "vec_id", "sim", "rank")
 
 
 PARAMS = [("active", 0.4, 3.0, 0.5, 0.5), ("risky", 0.2, 2.0, 1.0, 0.8)]
@@ -153,7 +162,7 @@ def hybrid_search(spark, d):
     """Text and vector lists of each query as groups of documents, fused by reciprocal rank."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = e.join(_queries(spark, d).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    vectors = S.nearest(e, asked, 30).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    vectors = V.nearest(e, asked, 30).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     ids = table(spark, d, "documents").select("doc_id").union(e.select("vec_id")).distinct()
     groups = ids.select("doc_id", F.floor(F.col("doc_id") / 5).alias("grp"))
     return Q.hybrid(_bm25(spark, d, 30), vectors, "query_id", "doc_id", groups, "grp", 10)
