@@ -1,43 +1,11 @@
-"""Ranked text search, rank fusion and keyset pages."""
+"""Rank fusion, grouped results and keyset pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from winnowline.sources.scratch import stored
-
-
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-
-
-def term_counts(docs: DataFrame, queries: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, length, term, tf) of the queries' terms, (query_id, term), and the totals n and mean.
-
-    Documents are taken apart once. Where the queries have no more than ``most`` distinct terms, words that no
-    query has are dropped by a broadcast join in the same pass.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.limit(most + 1).count() <= most else wanted
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-    tf = words.select("doc_id", "length", F.explode("words").alias("term")).join(wanted, "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    return tf, terms, words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, shared) from an inverted index; ``shared`` is how many of the query's terms a document has."""
-    counted, terms, stats = term_counts(docs, queries)
-    tf = stored(counted)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    joined = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # one row of totals
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("shared"))
-
-
 def top_ranked(scored: DataFrame, by: str, item: str, score: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), item))).where(F.col("rank") <= k)
 

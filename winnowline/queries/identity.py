@@ -120,7 +120,7 @@ def money_display(spark, d):
 
 @R.add(r"""SELECT doc_id, n_grams, overlap FROM (SELECT doc_id, 2 * len(w) - 1 + CASE WHEN len(w) = 0 THEN 1 ELSE 0 END AS n_grams, CASE WHEN len(w) > 0 THEN round(len(list_intersect(list_distinct(w), ['the', 'und', 'de', 'of'])) / least(4, len(list_distinct(w))), 6) ELSE 0.0 END AS overlap FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents))""")
 def grams_and_overlap(spark, d):
-    from winnowline.operators.search import tokens
+    from winnowline.operators.inverted import tokens
 
     w = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("w"))
     return w.select("doc_id", F.size(N.grams(F.col("w"))).cast("long").alias("n_grams"), F.round(N.word_overlap(F.col("w"), F.array(*map(F.lit, ("the", "und", "de", "of")))), 6).alias("overlap"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from winnowline.operators import scoring as S
+from winnowline.operators import inverted as X
 from winnowline.operators import search as Q
 from winnowline.operators import vectors as V
 from winnowline.queries import Registry, table
-from winnowline.sources.scratch import stored
 
 R = Registry()
 
@@ -139,7 +139,7 @@ def _queries(spark, d):
 
 
 def _bm25(spark, d, k):
-    return Q.top_ranked(Q.bm25(table(spark, d, "documents"), _queries(spark, d)), "query_id", "doc_id", "score", k)
+    return X.top_documents(X.build_index(table(spark, d, "documents")), _queries(spark, d), k)
 
 
 @R.add(BM25_SQL + "SELECT query_id, doc_id, round(score, 3) AS score FROM r WHERE rank <= 10")
@@ -150,8 +150,8 @@ def bm25_search(spark, d):
 @R.add(BM25_SQL + ", lists AS (SELECT query_id, doc_id, rank FROM r WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY tfs DESC, doc_id)::INTEGER AS rank FROM (SELECT query_id, doc_id, count(*) AS tfs FROM tf JOIN q USING (term) GROUP BY ALL) QUALIFY rank <= 30) SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 8) AS rrf FROM lists GROUP BY ALL")
 def rrf_fusion(spark, d):
     """Two text lists, by weight and by shared terms, fused by reciprocal rank."""
-    scored = stored(Q.bm25(table(spark, d, "documents"), _queries(spark, d)))
-    return Q.fuse_ranks([Q.top_ranked(scored, "query_id", "doc_id", c, 30) for c in ("score", "shared")], "query_id", "doc_id")
+    index = X.build_index(table(spark, d, "documents"))
+    return Q.fuse_ranks([X.top_documents(index, _queries(spark, d), 30, shared) for shared in (False, True)], "query_id", "doc_id")
 
 
 VECTOR_SQL = f"SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round({COS_SQL.format('e.embedding', 'q.embedding')}, 6) AS sim FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND e.vec_id <> q.vec_id)"

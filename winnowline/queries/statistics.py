@@ -142,7 +142,7 @@ def release_gates(spark, d):
 
 @R.add(r"SELECT lang, term, n, rank::INTEGER AS rank FROM (SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM (SELECT lang, term, count(DISTINCT doc_id) AS n FROM (SELECT lang, doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents) GROUP BY ALL)) WHERE rank <= 20")
 def term_stats(spark, d):
-    from winnowline.operators.search import tokens
+    from winnowline.operators.inverted import tokens
 
     t = table(spark, d, "documents").select("lang", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
     return t.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "term"))).where("rank <= 20")  # a top-k report
