@@ -21,7 +21,7 @@ share none below ``miss`` (31 bands of 62 permutations for 0.8 and 1e-7).
 
 Pairs with a hub first compare sizes and two-bit sketches of the signature (XOR and bit counts inside
 the join), with a threshold that a linked pair misses with a chance below ``miss``. What is left is
-confirmed on full n-gram sets, which are made again from the texts of the classes in question only.
+confirmed on full n-gram sets, which are made again from the texts of the classes that share a band only.
 
 Edge cases: null, empty and blank texts have no n-grams and link with nothing; a text with fewer words
 than the width is one n-gram; rows that repeat a doc_id are rows of their own; a null doc_id stays null,
@@ -121,14 +121,14 @@ def signed(docs: DataFrame, key: str, text: str, width: int, permutations: int)
     return cut(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(sign, f"doc {kind}, n long, s1 long, s2 long, items binary"))
 
 
-def with_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with a set, with ``class``; the classes: class, low, n, s1, s2, items). A class is named by a hash that no other class has."""
+def with_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with a set, with ``class``; the classes: class, low, n, s1, s2, items; the seed of their names). A class is named by a hash that no other class has."""
     some = rows.where("items IS NOT NULL")
     grouped = cut(some.groupBy("n", "s1", "s2").agg(F.min("doc").alias("low"), F.first("items").alias("items")))
     for seed in range(8):
         name = F.xxhash64(F.lit(seed), "n", "s1", "s2")
         if grouped.groupBy(name.alias("class")).count().where("count > 1").isEmpty():
-            return some.withColumn("class", name), grouped.withColumn("class", name)
+            return some.withColumn("class", name), grouped.withColumn("class", name), seed
     raise RuntimeError("no seed tells the classes apart")
 
 
@@ -208,15 +208,14 @@ def across_components(still: DataFrame, sets: DataFrame, percent: int) -> DataFr
     size = still.groupBy(F.col("band").alias("of")).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts"))
     dealt = still.join(size, F.col("band") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     met = dealt.select("band", "class", "n", "label", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    met = met.join(sets.mapInArrow(sketch, "class long, sketch binary"), "class")
+    met = met.join(cut(sets.mapInArrow(sketch, "class long, sketch binary")).hint("merge"), "class")
     cells = met.groupBy("band", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"))
     return cells.applyInArrow(compare, "a long, b long").distinct()
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, named: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(class, items): the packed n-gram sets of the classes named, made again from one text each."""
+def full_sets(docs: DataFrame, classes: DataFrame, seed: int, named: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(class, items): the packed n-gram sets of the classes named, made again from one text each; other classes whose texts have the same id may come with them."""
     kind = docs.select(key).dtypes[0][1]
-    wanted = cut(classes.select("class", "low", "n", "s1", "s2").join(named, "class"))
 
     def make(batches):
         for rows in text_blocks(batches, "text", 4 << 20):
@@ -225,13 +224,14 @@ def full_sets(docs: DataFrame, classes: DataFrame, named: DataFrame, key: str, t
             yield from pa.table([pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "s1", "s2", "items"]).to_batches()
         trim()
 
+    # Merged at every size: what is broadcast for a small table would be shuffled for a large one.
     d = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    ids = wanted.select(F.col("low").cast(kind).alias("id")).distinct()
-    sets = d.join(ids, d["doc"].eqNullSafe(ids["id"]), "left_semi").select("text").mapInArrow(make, "n long, s1 long, s2 long, items binary")
-    return cut(sets.join(wanted.select("class", "n", "s1", "s2"), ["n", "s1", "s2"]).groupBy("class").agg(F.first("items").alias("items")))
+    ids = classes.join(named, "class").select(F.col("low").cast(kind).alias("id")).distinct()
+    sets = d.join(ids.hint("merge"), d["doc"].eqNullSafe(ids["id"]), "left_semi").select("text").mapInArrow(make, "n long, s1 long, s2 long, items binary")
+    return cut(sets.groupBy(F.xxhash64(F.lit(seed), "n", "s1", "s2").alias("class")).agg(F.first("items").alias("items")))
 
 
-def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int, miss: float) -> DataFrame:
+def class_links(docs: DataFrame, classes: DataFrame, seed: int, key: str, text: str, width: int, percent: int, miss: float) -> DataFrame:
     """(node, label) over the classes that link."""
     bands = band_count(percent, miss)
     values, words = 2 * ROWS * bands, -(-ROWS * bands // 16)
@@ -247,25 +247,24 @@ def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, width:
     hubs = met.groupBy("band").agg(F.max(F.struct("degree", "class", "n", *sketch)).alias("h")).select("band", "h.*")
     x, y = met.alias("x"), hubs.alias("y")
     first = cut(x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.class") != F.col("y.class")) & alike).select(*pair).distinct())
-    named = first.select(F.col("a").alias("class")).union(first.select("b")).distinct()
-    links = cut(overlaps(first, full_sets(docs, classes, named, key, text, width), percent))
+    sets = full_sets(docs, classes, seed, met.select("class").distinct(), key, text, width)
+    links = cut(overlaps(first.hint("merge"), sets.hint("merge"), percent))
     labels = cut(connected_components(links))
     marked = met.join(labels, met["class"] == labels["node"], "left").select("band", "class", "n", F.coalesce("label", "class").alias("label"))
     split = marked.groupBy(F.col("band").alias("of")).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("of")
     still = cut(marked.join(split, F.col("band") == F.col("of"), "left_semi"))
-    sets = full_sets(docs, classes, still.select("class").distinct(), key, text, width)
     second = cut(across_components(still, sets, percent).join(first, ["a", "b"], "left_anti"))
     if second.isEmpty():
         return labels
-    more = cut(overlaps(second, sets, percent))
+    more = cut(overlaps(second.hint("merge"), sets.hint("merge"), percent))
     return labels if more.isEmpty() else cut(connected_components(links.unionByName(more)))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
     """Per document: key, n_shingles, component_id (the smallest key reachable by links of Jaccard >= percent / 100) and kept (the key is its component's)."""
     rows = signed(docs, key, text, width, ROWS * band_count(percent, miss))
-    some, classes = with_classes(rows)
-    labels = class_links(docs, classes, key, text, width, percent, miss)
+    some, classes, seed = with_classes(rows)
+    labels = class_links(docs, classes, seed, key, text, width, percent, miss)
     named = classes.select("class", "low").join(labels, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("label", "class").alias("label"))
     least = named.groupBy(F.col("label").alias("of")).agg(F.min("low").alias("component"))
     component = named.join(least, F.col("label") == F.col("of")).select(F.col("class").alias("c"), "component")
