@@ -50,12 +50,14 @@ def _multipliers() -> np.ndarray:
     return mix(np.arange(101, 133, dtype=U64)) | U64(1)
 
 
-def phrase_keys(words: np.ndarray) -> np.ndarray:
-    """The key of each row of word hashes; a word's own hash is its key."""
-    if words.shape[1] == 1:
-        return words[:, 0]
-    with np.errstate(over="ignore"):
-        return mix((words * _multipliers()[: words.shape[1]]).sum(axis=1, dtype=U64) + U64(words.shape[1]))
+def phrase_keys(words: list[np.ndarray]) -> np.ndarray:
+    """The keys of phrases from the hashes of their first words, of their second words, ...; a word's own hash is its key."""
+    if len(words) == 1:
+        return words[0]
+    out = np.full(len(words[0]), len(words), U64)
+    for word, factor in zip(words, _multipliers()):
+        out += word * factor
+    return mix(out)
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,33 +65,47 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.unique(x, return_index=True, return_counts=True)
 
 
+def _words(rows: pa.Table) -> tuple:
+    """(the words' hashes in order, 0 where a piece ends; the distinct hashes, their strings and languages; the languages and how many words each has)."""
+    langs = rows.column("lang").combine_chunks().fill_null("und").dictionary_encode()
+    names = langs.dictionary.cast(pa.string())
+    data, starts = ended(*utf8(rows.column("text")))
+    data = tables()[1][data]
+    word, piece = _kinds()
+    begin, end = spans_of(data, word)
+    of = langs.indices.to_numpy().astype(np.int64)[np.searchsorted(starts, begin, side="right") - 1] if len(begin) else np.zeros(0, np.int64)
+    lang_data, lang_at = utf8(names)
+    hashes = mix(span_hashes(data, begin, end) ^ mix(span_hashes(lang_data, lang_at[:-1], lang_at[1:]))[of])
+    keys, first = np.unique(hashes, return_index=True)
+    sizes = end[first] - begin[first]
+    strings = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)), pa.py_buffer(data[spread(begin[first], sizes)])]).cast(pa.string())
+    gaps = np.flatnonzero(np.diff(np.cumsum(piece[data])[begin])) + 1 if len(begin) else begin
+    sequence = np.append(np.insert(hashes, gaps, 0), np.zeros(1, U64))
+    return sequence, keys, strings, names.take(pa.array(of[first])), names, pa.array(np.bincount(of, minlength=len(names)).astype(np.int64))
+
+
+def _numbered(sequence: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each hash among the keys, from 1; 0 for a gap."""
+    return np.where(sequence > 0, np.searchsorted(keys, sequence) + 1, 0).astype(np.uint32)
+
+
 def sequences(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """A row for each block: ids (the words in order by number from 1, 0 where a piece ends), keys, counts, names and languages by number, and each language's words."""
 
     def read(batches):
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         for block, rows in zip(block_names(), text_blocks(batches, "text")):
-            langs = rows.column("lang").combine_chunks().fill_null("und").dictionary_encode()
-            data, starts = ended(*utf8(rows.column("text")))
-            data = tables()[1][data]
-            word, piece = _kinds()
-            begin, end = spans_of(data, word)
-            of = langs.indices.to_numpy().astype(np.int64)[np.searchsorted(starts, begin, side="right") - 1] if len(begin) else np.zeros(0, np.int64)
-            lang_data, lang_at = utf8(langs.dictionary)
-            seeds = mix(span_hashes(lang_data, lang_at[:-1], lang_at[1:])) if len(langs.dictionary) else np.zeros(0, U64)
-            hashes = mix(span_hashes(data, begin, end) ^ seeds[of])
-            keys, first, number, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            pieces = np.cumsum(piece[data])[begin] if len(begin) else begin
-            gaps = np.flatnonzero(np.diff(pieces)) + 1
-            ids = np.insert((number + 1).astype(np.uint32), gaps, 0)
-            sizes = end[first] - begin[first]
-            names = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)), pa.py_buffer(data[spread(begin[first], sizes)])]).cast(pa.string())
-            spoken = np.bincount(of, minlength=len(langs.dictionary))
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            yield pa.record_batch([pa.array([block]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, keys, counts.astype(np.uint32))), one(names), one(langs.dictionary.take(pa.array(of[first]))), one(langs.dictionary.cast(pa.string())), one(pa.array(spoken.astype(np.int64)))], names=["block", "ids", "keys", "counts", "names", "langs", "spoken", "words"])
+            parts = [_words(part) for part in text_blocks(rows.to_batches(), "text", 2 << 20)]
+            keys, first = np.unique(np.concatenate([p[1] for p in parts]), return_index=True)
+            ids = np.concatenate([_numbered(p[0], keys) for p in parts])
+            counts = np.bincount(ids, minlength=len(keys) + 1)[1:]
+            names, langs = (pa.concat_arrays([p[c] for p in parts]).take(pa.array(first)) for c in (2, 3))
+            spoken = [pa.concat_arrays([p[c] for p in parts]) for c in (4, 5)]
+            yield pa.record_batch([pa.array([block]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, keys, counts.astype(np.uint32))), *map(one, (names, langs, *spoken))], names=["block", "ids", "keys", "counts", "names", "langs", "spoken", "words"])
             trim()
 
     d = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    return cut(d.mapInArrow(read, "block long, ids binary, keys binary, counts binary, names array<string>, langs array<string>, spoken array<string>, words array<long>"))
+    return cut(d.mapInArrow(read, "block long, ids binary, keys binary, counts binary, names array<string>, langs array<string>, spoken array<string>, words array<long>"), "zstd")
 
 
 STATE = "block long, ids binary, keys binary, alive binary, own binary"
@@ -107,12 +123,11 @@ def _compact(ids: np.ndarray, alive: np.ndarray, length: int) -> tuple[np.ndarra
     return ids[keep], alive[keep]
 
 
-def _phrases(row: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, words, keys) of the candidates of this length: both parts one word shorter are in the lists."""
+def _phrases(row: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, keys) of the candidates of this length: both parts one word shorter are in the lists."""
     ids, dictionary, alive = np.frombuffer(row["ids"], np.uint32), np.frombuffer(row["keys"], U64), np.frombuffer(row["alive"], np.uint8) > 0
     at = np.flatnonzero(alive[:-1] & alive[1:]) if len(alive) > 1 else np.zeros(0, np.int64)
-    words = dictionary[ids[at[:, None] + np.arange(length)] - 1] if len(at) else np.zeros((0, length), U64)
-    return at, words, phrase_keys(words)
+    return at, phrase_keys([dictionary[ids[at + k] - 1] for k in range(length)])
 
 
 def _candidates(state: DataFrame, length: int, counted: bool) -> DataFrame:
@@ -121,7 +136,7 @@ def _candidates(state: DataFrame, length: int, counted: bool) -> DataFrame:
     def count(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, _, counts = _distinct(np.frombuffer(row["keys"], U64) if length == 1 else _phrases(row, length)[2])
+                keys, _, counts = _distinct(np.frombuffer(row["keys"], U64) if length == 1 else _phrases(row, length)[1])
                 counts = np.frombuffer(row["counts"], np.uint32) if length == 1 else counts
                 found = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), row["block"], np.int64))]
                 yield pa.record_batch(found + [pa.array(counts.astype(np.int64))] * counted, names=["key", "block", "count"][: 2 + counted])
@@ -164,7 +179,7 @@ def _first_lists(state: DataFrame, frequent: DataFrame) -> DataFrame:
         return out
 
     told = _told(state, frequent, 1)
-    return cut(state.select("block", "ids", "keys", "names", "langs").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE + ", names array<string>, langs array<string>"))
+    return cut(state.select("block", "ids", "keys", "names", "langs").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE + ", names array<string>, langs array<string>"), "zstd")
 
 
 def _next_lists(state: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
@@ -174,7 +189,7 @@ def _next_lists(state: DataFrame, frequent: DataFrame, length: int) -> DataFrame
         if not rows.num_rows:
             return _state(0, *(np.zeros(0, t) for t in (np.uint32, U64, np.uint8, U64))).slice(0, 0)
         row = rows.to_pylist()[0]
-        at, _, keys = _phrases(row, length)
+        at, keys = _phrases(row, length)
         ids = np.frombuffer(row["ids"], np.uint32)
         alive = np.zeros(len(ids), bool)
         alive[at[np.isin(keys, told.column("key").to_numpy().view(U64))]] = True
@@ -184,7 +199,7 @@ def _next_lists(state: DataFrame, frequent: DataFrame, length: int) -> DataFrame
         return _state(row["block"], ids, np.frombuffer(row["keys"], U64), alive, own)
 
     told = _told(state, frequent, length)
-    return cut(state.select("block", "ids", "keys", "alive").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE))
+    return cut(state.select("block", "ids", "keys", "alive").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE), "zstd")
 
 
 def _cuts(state: DataFrame, length: int) -> DataFrame:
@@ -195,11 +210,11 @@ def _cuts(state: DataFrame, length: int) -> DataFrame:
             for row in batch.to_pylist():
                 ids, dictionary = np.frombuffer(row["ids"], np.uint32), np.frombuffer(row["keys"], U64)
                 at = np.flatnonzero(np.frombuffer(row["alive"], np.uint8))
-                words = dictionary[ids[at[:, None] + np.arange(length)] - 1] if len(at) else np.zeros((0, length), U64)
-                keys, first = np.unique(phrase_keys(words), return_index=True)
+                keys, first = np.unique(phrase_keys([dictionary[ids[at + k] - 1] for k in range(length)]), return_index=True)
                 own = np.isin(keys, np.frombuffer(row["own"], U64))
-                keys, words = keys[own], words[first[own]]
-                lists = [words, np.stack([phrase_keys(words[:, :k]) for k in range(1, length)], 1), np.stack([phrase_keys(words[:, k:]) for k in range(1, length)], 1)]
+                keys, at = keys[own], at[first[own]]
+                words = [dictionary[ids[at + k] - 1] for k in range(length)]
+                lists = [np.stack(x, 1) for x in (words, [phrase_keys(words[:k]) for k in range(1, length)], [phrase_keys(words[k:]) for k in range(1, length)])]
                 wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64)))
                 yield pa.record_batch([pa.array(keys.view(np.int64)), *map(wide, lists)], names=["key", "words", "lefts", "rights"])
 

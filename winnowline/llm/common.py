@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs a reread and not a recomputation, and the files
@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnowline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
