@@ -5,6 +5,7 @@ Nothing here drops a row: each step adds a label, a reason or a lane, so a funne
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,23 +28,28 @@ def any_of(text: Column, tokens: tuple[str, ...]) -> Column:
 
 # --- what kind of post a row is -------------------------------------------------------------------------
 
-ROLE = r"(?i)\b(?:engineer|developer|architect|analyst|scientist|manager|lead|director|specialist)\b"
-CONTEXT = r"(?i)\b(?:company|team|salary|remote|office|hybrid|requirements?|responsibilities|apply|contact|location)\b"
+
+def worded(tokens: tuple[str, ...]) -> str:
+    """A pattern for one of the tokens as a whole word, in either case."""
+    return r"(?i)(?:^|[^\p{L}\p{N}])(?:" + "|".join(re.escape(t) for t in tokens) + r")(?:$|[^\p{L}\p{N}])"
 
 
 def post_type(text: Column, confirmed: Column, open_family: Column, tokens: dict[str, tuple[str, ...]], model: tuple[Column, Column] | None = None, least: float = 0.8) -> Column:
     """label, confidence and model_id by the first rule that holds.
 
     A source's own word comes first, then candidates, strong vacancy tokens, a role in hiring context (on
-    open channels and career pages only), spam, a confident model, announcements and weak tokens.
+    open channels and career pages only), spam, a confident model, announcements and weak tokens. The words
+    of each kind, ``role`` and ``context`` among them, are the caller's; a kind without words never holds.
     """
     made = lambda label, confidence, model_id: F.struct(F.lit(label).alias("label"), F.lit(confidence).cast("double").alias("confidence"), F.lit(model_id).alias("model_id"))
     has = lambda name: any_of(text, tokens[name]) if tokens.get(name) else F.lit(False)
+    word = lambda name: text.rlike(worded(tokens[name])) if tokens.get(name) else F.lit(False)
+    # Labels and model ids, by which other tools know the rules.
     rules = [
         (confirmed, made("job_posting", 0.99, "source_contract")),
         (has("candidate"), made("candidate_seeking", 0.95, "rules")),
         (has("strong"), made("job_posting", 0.9, "rules")),
-        (open_family & text.rlike(ROLE) & text.rlike(CONTEXT), made("job_posting", 0.92, "shape")),
+        (open_family & word("role") & word("context"), made("job_posting", 0.92, "shape")),
         (has("spam"), made("spam", 0.95, "rules")),
     ]
     if model is not None:
@@ -54,6 +60,7 @@ def post_type(text: Column, confirmed: Column, open_family: Column, tokens: dict
 
 def hard_filter_reasons(label: Column, text: Column, language: Column, allowed: tuple[str, ...], blocked: tuple[str, ...], override: Column) -> Column:
     """Constraint reasons in order; evidence only. An unknown or unlisted allow-list passes every language."""
+    # Reason names.
     kinds = label.isin("candidate_seeking", "announcement", "spam")
     over = (label == "announcement") & override
     language_bad = F.lit(False) if not allowed else ~language.isin(*allowed) & (language != "unknown")
@@ -72,6 +79,7 @@ def jobness_atom(label: Column, confidence: Column) -> tuple[Column, Column]:
 
 # --- evidence ----------------------------------------------------------------------------------------------
 
+# Names of claims, polarities, provenances and features.
 ATOM = "item string, evidence_id string, claim string, subject string, profile string, polarity string, strength double, reliability double, provenance string, family string, independence_key string, evidence_ref string, expires_at timestamp"
 FEATURES = ("title", "skills", "domain", "seniority", "region", "salary", "culture", "vector")
 

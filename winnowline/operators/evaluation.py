@@ -175,6 +175,7 @@ def violations(df: DataFrame) -> DataFrame:
     """Every release blocker of each row, one row each."""
     c = F.col
     yes = lambda x: F.coalesce(x, F.lit(False))
+    # The codes and their order.
     codes = [
         ("accepted_hard_constraint", (c("decision") == "accept") & yes(c("hard_constraint"))),
         ("accepted_high_risk", (c("decision") == "accept") & (c("risk_level") == "high")),

@@ -11,7 +11,11 @@ from winnowline.queries.records import QUALITY_SQL, RISKS_SQL
 
 R = Registry()
 
-TOKENS = {"candidate": ("scum", "moron"), "strong": ("and the the",), "spam": ("idiot", "***"), "announcement": (" und ", " les "), "weak": ("tion of", " el ")}
+TOKENS = {"candidate": ("scum", "moron"), "strong": ("and the the",), "spam": ("idiot", "***"), "announcement": (" und ", " les "), "weak": ("tion of", " el "), "role": ("oning", "their", "leau"), "context": ("ering", "las", "une")}
+
+
+# Braces are doubled, for the SQL is halved below.
+_WORDS = {k: D.worded(TOKENS[k]).replace('{', '{{').replace('}', '}}') for k in ('role', 'context')}
 
 
 def _any_sql(name: str) -> str:
@@ -21,7 +25,7 @@ def _any_sql(name: str) -> str:
 JOINED_SQL = "SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS item, d.text, d.lang, d.source AS family, d.source, d.n_chars, l.quality AS gold, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)"
 POST_SQL = f"""SELECT *, r.label, r.confidence, r.model_id FROM (SELECT *, CASE WHEN doc_id % 50 = 0 THEN {{{{'label': 'job_posting', 'confidence': 0.99::DOUBLE, 'model_id': 'source_contract'}}}}
 WHEN {_any_sql('candidate')} THEN {{{{'label': 'candidate_seeking', 'confidence': 0.95::DOUBLE, 'model_id': 'rules'}}}} WHEN {_any_sql('strong')} THEN {{{{'label': 'job_posting', 'confidence': 0.9::DOUBLE, 'model_id': 'rules'}}}}
-WHEN doc_id % 2 = 0 AND regexp_matches(text, '{D.ROLE}') AND regexp_matches(text, '{D.CONTEXT}') THEN {{{{'label': 'job_posting', 'confidence': 0.92::DOUBLE, 'model_id': 'shape'}}}}
+WHEN doc_id % 2 = 0 AND regexp_matches(text, '{_WORDS['role']}') AND regexp_matches(text, '{_WORDS['context']}') THEN {{{{'label': 'job_posting', 'confidence': 0.92::DOUBLE, 'model_id': 'shape'}}}}
 WHEN {_any_sql('spam')} THEN {{{{'label': 'spam', 'confidence': 0.95::DOUBLE, 'model_id': 'rules'}}}} WHEN 0.5 + 0.4 * gold >= 0.8 THEN {{{{'label': 'job_posting', 'confidence': (0.5::DOUBLE + 0.4::DOUBLE * gold), 'model_id': 'model'}}}}
 WHEN {_any_sql('announcement')} THEN {{{{'label': 'announcement', 'confidence': 0.9::DOUBLE, 'model_id': 'rules'}}}} WHEN {_any_sql('weak')} THEN {{{{'label': 'job_posting', 'confidence': 0.85::DOUBLE, 'model_id': 'rules'}}}}
 ELSE {{{{'label': 'unknown', 'confidence': 0.5::DOUBLE, 'model_id': 'rules'}}}} END AS r FROM ({JOINED_SQL}))""".replace("{{", "{").replace("}}", "}")
