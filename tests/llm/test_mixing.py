@@ -78,3 +78,11 @@ def test_small_buckets_change_nothing(spark):
     d = spark.createDataFrame(rows(), SCHEMA)
     a, b = (Counter(map(str, mixing.mix_report(d, bucket_rows=n).collect())) for n in (1 << 20, 1))
     assert a == b
+
+
+def test_sums_before(spark):
+    rows = [(s, p, (p * 7 + len(s or "")) % 11) for s in ("a", "bb", None) for p in range(0, 900, 3)]
+    d = spark.createDataFrame(rows, "s string, p long, v long")
+    for by in (["s"], []):
+        got = {(r["s"], r["p"]): r["before"] for r in mixing.sums_before(d.where("s = 'a'") if not by else d, by, "p", "v", 900).collect()}
+        assert got == {(s, p): sum(v for t, q, v in rows if t == s and q < p) for s, p, _ in rows if by or s == "a"}

@@ -6,6 +6,7 @@ from collections import Counter
 import plain
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_mixing import queue
 from tokenizers import Tokenizer
 
@@ -77,3 +78,16 @@ def test_stages(spark, docs):
     assert Counter(map(tuple, STAGES["token_files"](spark, found, SMALL).collect())) == Counter(want)
     if docs.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count():
         assert Counter(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == Counter(want)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_columns_with_names_of_an_operators_own(spark, name):
+    """Further columns pass through unchanged, whatever they are called."""
+    docs = awkward(spark)
+    clashing = ["__h", "__t", "__rows", "__gone", "__id", "__row", "__depleted", "__finish", "__n", "key", "row", "line", "epoch", "target", "doc", "class", "text_", "budget"]
+    wide = docs.select("*", *[F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in clashing])
+    got, want = (STAGES[name](spark, d, SMALL) for d in (wide, docs))
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(map(tuple, want.collect()))
+    if name != "token_files":
+        assert got.columns == wide.columns
+        assert all(r[c] == c + str(r["doc_id"] if r["doc_id"] is not None else "-") for r in got.collect() for c in clashing)

@@ -41,6 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_aside(docs: DataFrame, *named: str):
+    """(docs with every column but those named under a name that no operator uses; a function that gives the names back).
+
+    So columns that an operator adds for itself can't clash with the caller's, whatever these are called.
+    """
+    own = docs.columns
+    return docs.toDF(*[c if c in named else f"winnowline_aside_{i}" for i, c in enumerate(own)]), lambda out: out.toDF(*own)
+
+
 def word_array(text: Column) -> Column:
     """The words of a text in order; an empty array for null or blank text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -4,7 +4,7 @@ Each source's documents queue in hash order, the whole queue again for each furt
 document's virtual finish time is the source's tokens so far divided by the source's target, so all
 sources reach 1 together; sorting by finish time and stopping at the total budget leaves each source
 near its target. Running sums are taken in two levels (sums of hash buckets, then within one bucket),
-so neither a hot source nor the whole mix passes through one task.
+so neither a hot source nor the whole mix passes through one task; ranges are summed by ranges of ranges.
 
 A document's place depends on its key, source and text only, so reruns and other layouts give the same
 mix. The number of buckets grows with the rows: none holds more than a few thousand on average. Only the
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from winnowline.llm.common import cut, word_array
+from winnowline.llm.common import cut, set_aside, word_array
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0) -> DataFrame:
@@ -66,12 +66,29 @@ def queue_order() -> list:
     return ["h", F.col("key").asc_nulls_last(), "t", "size", "row"]
 
 
+def sums_before(df: DataFrame, by: list[str], place: str, value: str, places: int) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the group's rows at smaller places (0 for none).
+
+    Ranges of the square root of ``places`` are summed first, so no window orders more than about so many rows.
+    """
+    width = math.isqrt(places) + 1
+    d = df.withColumn("range", F.floor(F.col(place) / width))
+    ranges = d.groupBy(*by, "range").agg(F.sum(value).alias("in_range"))
+    start = F.sum("in_range").over(W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    ranges = ranges.select(*[F.col(c).alias(f"of_{c}") for c in (*by, "range")], F.coalesce(start, F.lit(0)).alias("start"))
+    same = F.lit(True)
+    for c in (*by, "range"):
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    inside = F.sum(value).over(W.partitionBy(*by, "range").orderBy(place).rowsBetween(W.unboundedPreceding, -1))
+    d = d.withColumn("inside", F.coalesce(inside, F.lit(0))).join(ranges, same)
+    return d.withColumn("before", F.col("start") + F.col("inside")).drop("range", "inside", "start", *[f"of_{c}" for c in (*by, "range")])
+
+
 def queue_positions(sizes: DataFrame, buckets: int) -> DataFrame:
     """Adds ``through``: the source's words in hash order up to and with the document."""
     d = sizes.withColumn("bucket", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * buckets))
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    offsets = sums.withColumn("offset", F.sum("in_bucket").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
-    offsets = offsets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce("offset", F.lit(0)).alias("offset"))
+    offsets = sums_before(sums, ["source"], "bucket", "in_bucket", buckets).select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("before").alias("offset"))
     inside = W.partitionBy("source", "bucket").orderBy(*queue_order()).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("inside", F.sum("size").over(inside))
     d = d.join(offsets, d["source"].eqNullSafe(offsets["s"]) & (d["bucket"] == offsets["b"]))
@@ -90,7 +107,7 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     # Global range sort and truncation: sums of finish-time ranges first, exact order only in the range where the budget ends.
     queued = cut(queued.withColumn("slot", F.when(F.col("finish") <= 2, F.floor(F.col("finish") * 2 * buckets)).otherwise(4 * buckets + F.floor(F.log2("finish") * buckets / 16))))
     sums = queued.groupBy("slot").agg(F.sum("size").alias("in_slot"), F.max("budget").alias("budget"))
-    ends = sums.withColumn("before", F.coalesce(F.sum("in_slot").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ends = sums_before(sums, [], "slot", "in_slot", 4 * buckets)
     ends = ends.select(F.col("slot").alias("b"), "before", (F.col("before") + F.col("in_slot") <= F.col("budget")).alias("whole"), (F.col("before") < F.col("budget")).alias("some"))
     d = queued.join(ends, queued["slot"] == ends["b"]).where("whole or some")
     edge = d.where("not whole")
@@ -111,6 +128,7 @@ def mix_report(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", ordered: bool = True, seed: int = 42, **options) -> DataFrame:
     """The documents of the mix with their columns, one row for each taken copy, range-sorted by finish time if ``ordered``."""
+    docs, named = set_aside(docs, key, text, source)
     taken, sizes = mixture(docs, key, text, source, seed=seed, **options)
     same = ["h", "t"]
     picked = taken.groupBy(*same, "epoch").agg(F.min("finish").alias("__finish"), F.count("*").alias("__taken"))
@@ -126,4 +144,4 @@ def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
         out = out.unionByName(some)
     if ordered:
         out = out.repartitionByRange(F.col("__finish"), F.col("__h")).sortWithinPartitions("__finish", "__h")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named(out.select(*[F.col(f"`{c}`") for c in docs.columns]))

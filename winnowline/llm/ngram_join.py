@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnowline.llm.common import batches_for, cut
+from winnowline.llm.common import batches_for, cut, set_aside
 from winnowline.llm.components import connected_components
 from winnowline.llm.kernel import U64, mix, shingle_sets, trimmed
 
@@ -212,10 +212,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, **options) -> DataFrame:
     """The document with the smallest key of each component, with its columns as they came; of equal rows one."""
+    docs, named = set_aside(docs, key, text)
     found = jaccard_components(docs, key, text, width, percent, **options)
     first = found.where(F.col(key).eqNullSafe(F.col("component_id")))
     ids = cut(first.groupBy(F.col(key).alias("__id")).agg(F.count("*").alias("__rows")))
     kept = docs.join(ids, docs[key].eqNullSafe(ids["__id"]))
     once = kept.where("__rows = 1").select(*docs.columns)
     again = kept.where("__rows > 1").select(*docs.columns).dropDuplicates([key, text])
-    return once.unionByName(again)
+    return named(once.unionByName(again))

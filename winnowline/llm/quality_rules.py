@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnowline.llm.common import cut, let, word_array
+from winnowline.llm.common import cut, let, set_aside, word_array
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -154,12 +154,13 @@ def quality_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", h
 
 def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_lost: float = 0.7, **limits) -> DataFrame:
     """The documents that the rules keep, judged by the text as it came, without their host's frequent lines."""
+    docs, named = set_aside(docs, key, text, host, "n_chars")
     found = lines_to_remove(docs, key, text, host, **limits)
     gone = depleted(found, max_lost)
     words = word_array(F.col(text))
     n, repeated = F.size(words), repeated_window_words(words)
     ok = docs.where((n >= 50) & (100 * repeated <= 50 * n))
-    return remove_lines(ok.join(gone, ok[key].eqNullSafe(gone["__depleted"]), "left_anti"), found, key, text, host)
+    return named(remove_lines(ok.join(gone, ok[key].eqNullSafe(gone["__depleted"]), "left_anti"), found, key, text, host))
 
 
 #: The rows of quality_verdicts over ``documents``, from the definitions: lines as text, not as hashes.
