@@ -199,8 +199,8 @@ def phrases(found, least, longest, top):
 
 @pytest.mark.parametrize("least,longest,top", [(100, 5, 2000), (4, 5, 30), (2, 3, 2000)])
 def test_collocations(docs, least, longest, top, monkeypatch):
-    blocks = collocations.text_blocks
-    monkeypatch.setattr(collocations, "text_blocks", lambda b, text, most=0: blocks(b, text, 700 if most else 2000))
+    monkeypatch.setattr(collocations, "BLOCK", 2000)
+    monkeypatch.setattr(collocations, "PART", 700)
     got = collocations.collocations(docs, least=least, longest=longest, top=top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     assert bag(got.collect()) == phrases(items(docs), least, longest, top)
 

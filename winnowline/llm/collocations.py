@@ -34,6 +34,9 @@ from winnowline.llm.blocks import block_names, ended, spans_of, text_blocks
 from winnowline.llm.common import cut
 from winnowline.llm.kernel import U64, mix, span_hashes, spread, tables, trim, utf8
 
+#: Bytes of text in a block, and in the parts that are taken apart at once.
+BLOCK, PART = 8 << 20, 2 << 20
+
 
 @functools.cache
 def _kinds() -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +63,9 @@ def phrase_keys(words: list[np.ndarray]) -> np.ndarray:
     return mix(out)
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct values, the first place of each, how often each occurs)."""
-    return np.unique(x, return_index=True, return_counts=True)
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def _words(rows: pa.Table) -> tuple:
@@ -94,8 +97,8 @@ def sequences(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
     def read(batches):
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        for block, rows in zip(block_names(), text_blocks(batches, "text")):
-            parts = [_words(part) for part in text_blocks(rows.to_batches(), "text", 2 << 20)]
+        for block, rows in zip(block_names(), text_blocks(batches, "text", BLOCK)):
+            parts = [_words(part) for part in text_blocks(rows.to_batches(), "text", PART)]
             keys, first = np.unique(np.concatenate([p[1] for p in parts]), return_index=True)
             ids = np.concatenate([_numbered(p[0], keys) for p in parts])
             counts = np.bincount(ids, minlength=len(keys) + 1)[1:]
@@ -136,11 +139,14 @@ def _candidates(state: DataFrame, length: int, counted: bool) -> DataFrame:
     def count(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, _, counts = _distinct(np.frombuffer(row["keys"], U64) if length == 1 else _phrases(row, length)[1])
-                counts = np.frombuffer(row["counts"], np.uint32) if length == 1 else counts
+                if length == 1:
+                    keys, counts = np.frombuffer(row["keys"], U64), np.frombuffer(row["counts"], np.uint32)
+                else:
+                    keys, counts = np.unique(_phrases(row, length)[1], return_counts=True)
                 found = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), row["block"], np.int64))]
                 yield pa.record_batch(found + [pa.array(counts.astype(np.int64))] * counted, names=["key", "block", "count"][: 2 + counted])
-            trim()
+                del keys, counts, found
+                trim()
 
     columns = ["block", "keys", "counts"] if length == 1 else ["block", "ids", "keys", "alive"]
     return state.select(*columns).mapInArrow(count, "key long, block long, count long" if counted else "key long, block long")
@@ -167,10 +173,10 @@ def _first_lists(state: DataFrame, frequent: DataFrame) -> DataFrame:
         ids, keys = np.frombuffer(row["ids"], np.uint32), np.frombuffer(row["keys"], U64)
         often = np.sort(told.column("key").to_numpy().view(U64))
         own = np.sort(told.filter(told.column("own")).column("key").to_numpy().view(U64))
-        number = np.concatenate(([0], np.where(good := np.isin(keys, often), np.cumsum(good), 0))).astype(np.uint32)
+        number = np.concatenate(([0], np.where(good := _among(keys, often), np.cumsum(good), 0))).astype(np.uint32)
         ids = number[ids]
         ids, alive = _compact(ids, ids > 0, 1)
-        home = pa.array(np.flatnonzero(np.isin(keys, own)))
+        home = pa.array(np.flatnonzero(_among(keys, own)))
         out = _state(row["block"], ids, keys[good], alive, own)
         for c in ("names", "langs"):
             a = rows.column(c).combine_chunks().flatten().take(home)
@@ -192,7 +198,7 @@ def _next_lists(state: DataFrame, frequent: DataFrame, length: int) -> DataFrame
         at, keys = _phrases(row, length)
         ids = np.frombuffer(row["ids"], np.uint32)
         alive = np.zeros(len(ids), bool)
-        alive[at[np.isin(keys, told.column("key").to_numpy().view(U64))]] = True
+        alive[at[_among(keys, np.sort(told.column("key").to_numpy().view(U64)))]] = True
         ids, alive = _compact(ids, alive, length)
         own = np.sort(told.filter(told.column("own")).column("key").to_numpy().view(U64))
         trim()
@@ -211,7 +217,7 @@ def _cuts(state: DataFrame, length: int) -> DataFrame:
                 ids, dictionary = np.frombuffer(row["ids"], np.uint32), np.frombuffer(row["keys"], U64)
                 at = np.flatnonzero(np.frombuffer(row["alive"], np.uint8))
                 keys, first = np.unique(phrase_keys([dictionary[ids[at + k] - 1] for k in range(length)]), return_index=True)
-                own = np.isin(keys, np.frombuffer(row["own"], U64))
+                own = _among(keys, np.frombuffer(row["own"], U64))
                 keys, at = keys[own], at[first[own]]
                 words = [dictionary[ids[at + k] - 1] for k in range(length)]
                 lists = [np.stack(x, 1) for x in (words, [phrase_keys(words[:k]) for k in range(1, length)], [phrase_keys(words[k:]) for k in range(1, length)])]
@@ -245,7 +251,7 @@ def _names(state: DataFrame) -> DataFrame:
         for batch in batches:
             for k, row in enumerate(batch.select(["keys", "own"]).to_pylist()):
                 keys = np.frombuffer(row["keys"], U64)
-                home = keys[np.isin(keys, np.frombuffer(row["own"], U64))]
+                home = keys[_among(keys, np.frombuffer(row["own"], U64))]
                 strings = (pa.array(batch.column(c)[k].as_py(), pa.string()) for c in ("names", "langs"))
                 yield pa.record_batch([pa.array(home.view(np.int64)), *strings], names=["word", "name", "lang"])
 
