@@ -10,7 +10,7 @@ from winnowline.operators import stats as A
 from winnowline.queries import Registry, table
 from winnowline.queries.records import QUALITY_SQL
 from winnowline.sources.scratch import shared_folder
-from winnowline.streaming import ingest
+from winnowline.streaming import ingest, stateful
 
 R = Registry()
 
@@ -194,4 +194,46 @@ def stream_outbox(spark, d):
     return spark.read.parquet(f"{base}/out").drop("bucket")
 
 
+CLAIMS_SQL = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS row, CASE event_type WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'release' ELSE 'other' END AS action, CAST(CAST(ts AS DATE) AS VARCHAR) AS claim, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS row, NULL::VARCHAR AS outcome, NULL::VARCHAR AS held, NULL::BIGINT AS since, NULL::BIGINT AS marked FROM (SELECT DISTINCT key FROM e)
+UNION ALL SELECT key, n, row, outcome, CASE outcome WHEN 'granted' THEN claim WHEN 'committed' THEN NULL WHEN 'released' THEN NULL ELSE held END, CASE outcome WHEN 'granted' THEN ms WHEN 'committed' THEN NULL WHEN 'released' THEN NULL ELSE since END, CASE outcome WHEN 'committed' THEN ms ELSE marked END
+FROM (SELECT e.key, e.n, e.row, e.claim, e.ms, r.held, r.since, r.marked, CASE WHEN e.action = 'claim' THEN CASE WHEN r.marked IS NOT NULL AND e.ms < r.marked + 432000000 THEN 'duplicate' WHEN r.held IS NOT NULL AND e.ms < r.since + 43200000 AND r.held <> e.claim THEN 'busy' ELSE 'granted' END
+WHEN e.action = 'other' THEN 'ignored' WHEN r.held IS NOT NULL AND e.ms < r.since + 43200000 AND r.held = e.claim THEN CASE e.action WHEN 'commit' THEN 'committed' ELSE 'released' END ELSE 'stale' END AS outcome FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
+SELECT key, row, outcome FROM r WHERE n > 0"""
+
+
+def _claim_rows(events):
+    action = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "error", "release").otherwise("other")
+    return events.select(F.col("user_id").alias("key"), F.col("event_id").alias("row"), action.alias("action"), F.to_date("ts").cast("string").alias("claim"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@R.add(CLAIMS_SQL)
+def claim_settlement(spark, d):
+    """Views claim a user's day for twelve hours, purchases commit it for five days, errors release it."""
+    return stateful.claims_batch(_claim_rows(table(spark, d, "events")), "5 days", "12 hours")
+
+
+@R.add(CLAIMS_SQL)
+def stream_claims(spark, d):
+    """The same as a stream over the file, with its state in a checkpoint."""
+    import uuid
+
+    base = f"{shared_folder(spark)}/claims-{uuid.uuid4().hex}"
+    stream = _claim_rows(ingest.file_stream(stateful.with_state_store(spark), f"{d}/events*.parquet", table(spark, d, "events").schema))
+    return ingest.run_available(stateful.claims_stream(stream, "5 days", "12 hours", "60 days"), f"{base}/out", f"{base}/state")
+
+
+@R.add("SELECT o_custkey AS parent, count(*) AS children FROM orders GROUP BY o_custkey HAVING bool_and(o_orderstatus <> 'P')")
+def stream_parents(spark, d):
+    """Customers whose orders have all ended, each once, from a stream of orders."""
+    import uuid
+
+    orders = table(spark, d, "orders")
+    base = f"{shared_folder(spark)}/parents-{uuid.uuid4().hex}"
+    expected = orders.groupBy("o_custkey").agg(F.count("*").alias("expected"))
+    stream = ingest.file_stream(stateful.with_state_store(spark), f"{d}/orders*.parquet", orders.schema).join(expected, "o_custkey")
+    rows = stream.select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("child"), (F.col("o_orderstatus") != "P").alias("final"), "expected")
+    return ingest.run_available(stateful.finished_parents(rows), f"{base}/out", f"{base}/state")
+
+
 QUERIES, ORACLE = R.queries, R.oracle
