@@ -88,28 +88,3 @@ def linear_text_score(docs: DataFrame, counts: DataFrame, vocabulary: DataFrame,
     d = docs.select(key).join(z, key, "left").select(key, F.round(score, 4).alias("score"))
     below = F.col("score") < threshold
     return d.withColumn("drop", F.lit(False) if shadow else below).withColumn("would_drop", below)
-
-
-def train_text_prefilter(docs: DataFrame, key: str, text: str, label: str, features: int = 1 << 16, regularise: float = 0.25 / 4) -> tuple[DataFrame, float]:
-    """(vocabulary of (term, idf, coef), intercept) from labelled rows: balanced class weights, logistic regression in Spark ML."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
-    from pyspark.ml import Pipeline
-
-    d = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label")).where("label IS NOT NULL")
-    n = {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}  # two classes
-    total = sum(n.values())
-    d = d.withColumn("weight", F.when(F.col("label") == 1, total / (2 * max(1, n.get(1.0, 0)))).otherwise(total / (2 * max(1, n.get(0.0, 0)))))
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=features, minDF=2),
-        IDF(inputCol="counts", outputCol="weighted"),
-        Normalizer(inputCol="weighted", outputCol="features"),
-        LogisticRegression(weightCol="weight", regParam=regularise, maxIter=50),
-    ]
-    model = Pipeline(stages=stages).fit(d)
-    vocabulary, idf, fitted = model.stages[3].vocabulary, model.stages[4].idf.toArray(), model.stages[6]
-    rows = [(t, float(i), float(c)) for t, i, c in zip(vocabulary, idf, fitted.coefficients.toArray())]  # ``features`` rows at most
-    return docs.sparkSession.createDataFrame(rows, "term string, idf double, coef double"), float(fitted.intercept)

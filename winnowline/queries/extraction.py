@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from winnowline.operators import extraction as X
 from winnowline.operators.identity import components
+from winnowline.operators.prefilter import TextPrefilter
 from winnowline.queries import Registry, table
+from winnowline.sources.scratch import stored
 
 R = Registry()
 
@@ -51,22 +53,19 @@ z AS (SELECT doc_id, sum(tf * idf * coef) / sqrt(sum((tf * idf) * (tf * idf))) A
 def tfidf_logreg_score(spark, d):
     """One- and two-word grams with inverse frequencies over all documents; coefficients are a rule on the term."""
     docs = table(spark, d, "documents")
-    counts = X.gram_counts(docs, "doc_id", "text")
+    counts = stored(X.gram_counts(docs, "doc_id", "text"))
     vocabulary = X.inverse_frequencies(counts, docs.count()).withColumn("coef", (F.length("term") % 7 - 3) / 2)
     return X.linear_text_score(docs, counts, vocabulary, "doc_id", -0.1, 0.45).select("doc_id", "score", "drop")
 
 
 @R.add()
 def prefilter_training(spark, d):
-    """Held-out counts of a prefilter that is trained on four fifths of the labelled documents; accuracy is tested."""
-    from winnowline.sources.scratch import stored
-
+    """Held-out counts of a prefilter that is trained on four fifths of the labelled documents; tests hold its accuracy and weights."""
     docs = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     test = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    vocabulary, intercept = X.train_text_prefilter(docs.where(~test), "doc_id", "text", "quality")
-    held = stored(docs.where(test))
-    scored = X.linear_text_score(held, X.gram_counts(held, "doc_id", "text"), vocabulary, "doc_id", intercept, 0.5)
-    return scored.join(held, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(~F.col("drop")).alias("kept"))
+    model = TextPrefilter(label="quality", least_retention=0.0).fit(docs.where(~test))
+    scored = model.transform(docs.where(test))
+    return scored.groupBy("quality").agg(F.count("*").alias("n"), F.count_if(~F.col("drop")).alias("kept"))
 
 
 @R.add("""WITH RECURSIVE h AS (SELECT doc_id, doc_id // 4 AS author, sha256(lower(text)) AS h FROM documents), e AS (SELECT DISTINCT author AS a, min(author) OVER (PARTITION BY h) AS b FROM h), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
