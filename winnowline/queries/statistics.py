@@ -6,10 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnowline.functions import text as T
+from winnowline.operators import source_quality
 from winnowline.operators import stats as A
+from winnowline.plans.counters import NodeCounters
 from winnowline.queries import Registry, table
 from winnowline.queries.records import QUALITY_SQL
-from winnowline.sources.scratch import shared_folder
+from winnowline.sources.scratch import shared_folder, stored
 from winnowline.streaming import ingest, stateful
 
 R = Registry()
@@ -236,4 +238,52 @@ def stream_parents(spark, d):
     return ingest.run_available(stateful.finished_parents(rows), f"{base}/out", f"{base}/state")
 
 
+STATUS_SQL = "CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'failed' ELSE 'Rate_Limited ' END WHEN 'signup' THEN 'skipped' WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'partial' ELSE '' END ELSE 'done' END"
+ERROR_SQL = "CASE WHEN event_id % 11 = 0 THEN 'ConnectTimeout after 3 s' WHEN event_id % 13 = 0 THEN 'source_hard_deadline_exceeded' END"
+
+
+def _outcome(events):
+    k = F.col("event_id")
+    status = F.when(F.col("event_type") == "error", F.when(k % 2 == 0, "failed").otherwise("Rate_Limited ")).when(F.col("event_type") == "signup", "skipped").when(F.col("event_type") == "click", F.when(k % 3 == 0, "partial").otherwise("")).otherwise("done")
+    error = F.when(k % 11 == 0, "ConnectTimeout after 3 s").when(k % 13 == 0, "source_hard_deadline_exceeded")
+    return events.withColumns({"status": status, "error": error})
+
+
+@R.add(f"""SELECT category, count(*) AS n FROM (SELECT CASE WHEN s = 'partial' THEN 'partial' WHEN contains(e, 'connecttimeout') THEN 'transport_error' WHEN s IN ('failed', 'rate_limited') OR contains(e, 'source_hard_deadline_exceeded') THEN 'hard_failure' WHEN s = 'skipped' THEN 'skipped' WHEN s = '' THEN 'unknown' ELSE 'ok' END AS category
+FROM (SELECT lower(trim({STATUS_SQL})) AS s, lower(coalesce({ERROR_SQL}, '')) AS e FROM events)) GROUP BY category""")
+def status_categories(spark, d):
+    """Events as source outcomes, by category."""
+    e = _outcome(table(spark, d, "events"))
+    return e.groupBy(source_quality.status_category(F.col("status"), F.col("error")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@R.add(f"""WITH o AS (SELECT CAST(ts AS DATE) AS run, CAST(user_id // 3 AS VARCHAR) AS key, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS sent, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS yielded, {STATUS_SQL} IN ('failed', 'Rate_Limited ') AND {STATUS_SQL} = 'failed' AS bad FROM events),
+w AS (SELECT run FROM (SELECT run, count(*) AS n FROM o GROUP BY run) WHERE n >= 10 AND NOT day(run) IN (5, 15) ORDER BY run DESC LIMIT 20),
+p AS (SELECT run, key, sum(yielded) AS y, sum(sent) AS m, bool_and(bad) AS failed FROM o WHERE run IN (SELECT run FROM w) GROUP BY ALL),
+g AS (SELECT key, count(*) AS attempted, count(*) FILTER (failed) AS fail, count(*) FILTER (y > 0) AS yield_hits, count(*) FILTER (m > 0) AS relevant_hits, sum(y)::BIGINT AS yield_sum, sum(m)::BIGINT AS emitted_sum FROM p GROUP BY key)
+SELECT g.*, (SELECT count(*) FROM w) AS window_runs, attempted - fail AS ok, attempted >= greatest(8, floor(0.8 * (SELECT count(*) FROM w))) AND fail / attempted <= 0.15 AND (attempted - fail) / attempted >= 0.8 AS reliable, attempted >= 4 AND yield_hits / attempted >= 0.5 AS rich, attempted >= 4 AND relevant_hits / attempted >= 0.5 AS high_relevance,
+round((attempted - fail) / attempted, 4) AS ok_rate, round(yield_hits / attempted, 4) AS yield_rate, round(relevant_hits / attempted, 4) AS relevant_rate FROM g""")
+def source_quality_rules(spark, d):
+    """Days as runs (two of a month skipped), users as keyword clones of a third as many sources."""
+    e = _outcome(table(spark, d, "events")).withColumn("run", F.to_date("ts"))
+    clone = F.concat(F.lit("site:"), F.floor(F.col("user_id") / 3).cast("string"), F.lit("_kw"), (F.col("user_id") % 3).cast("string"))
+    runs = e.groupBy("run").agg(F.max("ts").alias("at"), F.count("*").alias("fetched")).withColumn("skipped", F.dayofmonth("run").isin(5, 15))
+    outcomes = e.select("run", clone.alias("source_id"), F.lit(None).cast("string").alias("source_name"), "status", F.when(F.col("event_type") == "view", 1).otherwise(0).alias("yielded"))
+    emitted = e.where("event_type = 'purchase'").groupBy("run", clone.alias("source_id")).agg(F.count("*").alias("emitted"))
+    return source_quality.rolling_quality(runs, outcomes, emitted).select("key", "attempted", "fail", "yield_hits", "relevant_hits", "yield_sum", "emitted_sum", "window_runs", "ok", "reliable", "rich", "high_relevance", "ok_rate", "yield_rate", "relevant_rate")
+
+
+@R.add("""WITH a AS (SELECT *, CASE event_type WHEN 'error' THEN 'errors' WHEN 'signup' THEN 'skipped' ELSE 'passed' END AS o FROM events), b AS (SELECT *, CASE WHEN value < 20 THEN 'dropped' ELSE 'passed' END AS p FROM a WHERE o = 'passed'), n AS (SELECT 'parse' AS node, o, value FROM a UNION ALL SELECT 'relevance', p, value FROM b UNION ALL SELECT 'deliver', 'passed', value FROM b WHERE p = 'passed')
+SELECT node, count(*) AS entered, count(*) FILTER (o = 'passed') AS passed, count(*) FILTER (o = 'dropped') AS dropped, count(*) FILTER (o = 'skipped') AS skipped, count(*) FILTER (o = 'errors') AS errors, round(count(*) FILTER (o = 'passed') / count(*), 4) AS conversion, round(avg(value), 4) AS mean_cost FROM n GROUP BY node""")
+def node_counters(spark, d):
+    """Three nodes counted while their result is written, in one pass."""
+    c = NodeCounters()
+    parsed = F.when(F.col("event_type") == "error", "errors").when(F.col("event_type") == "signup", "skipped").otherwise("passed")
+    kept = c.watch(table(spark, d, "events"), "parse", parsed, F.col("value")).where(parsed == "passed")
+    relevant = F.when(F.col("value") < 20, "dropped").otherwise("passed")
+    kept = c.watch(kept, "relevance", relevant, F.col("value")).where(relevant == "passed")
+    stored(c.watch(kept, "deliver", F.lit("passed"), F.col("value")))
+    return c.rows(spark).withColumn("mean_cost", F.round("mean_cost", 4))
+
+
 QUERIES, ORACLE = R.queries, R.oracle
