@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnowline.functions import html as H
+from winnowline.functions import paths
 from winnowline.functions import urls as U
 from winnowline.queries import Registry, table
 
@@ -113,4 +114,32 @@ def json_board(spark, d):
     return boards.select(F.col("o_orderkey").cast("string").alias("board"), F.explode(jobs).alias("j")).select("board", F.col("j.n").alias("place"), F.col("j.job.id").alias("job_id"), F.col("j.job.office.name").alias("office"))
 
 
+#: Where three kinds of boards have their jobs, and what their fields are called.
+BOARDS = {
+    0: ("$.jobs[*]", {"job_id": "job.id", "office": "job.offices[*].name", "place": "n"}),
+    1: ("data.sections[?kind=open].positions[*]", {"job_id": "key", "office": "where[?primary=true].label", "place": "meta[0]"}),
+    2: ("[?type!=draft]", {"job_id": "attributes.ref", "office": "attributes.location", "place": "position"}),
+}
+
+
+@R.add("""SELECT o_orderkey AS board, CAST(l_partkey AS VARCHAR) AS job_id, CASE o_orderkey % 3 WHEN 0 THEN l_returnflag || CASE WHEN l_linestatus <> l_returnflag THEN ', ' || l_linestatus ELSE '' END WHEN 1 THEN l_returnflag ELSE l_linestatus END AS office, CAST(l_linenumber AS VARCHAR) AS place
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE CASE o_orderkey % 3 WHEN 1 THEN l_linenumber % 2 = 0 WHEN 2 THEN l_linenumber <> 3 ELSE true END""")
+def json_boards(spark, d):
+    """Orders as board pages of three shapes, read by paths with projections and filters from VARIANT."""
+    line, c = table(spark, d, "lineitem"), F.col
+    part, n = c("l_partkey"), c("l_linenumber")
+    one = F.struct(n.alias("n"), F.struct(part.alias("id"), F.array(F.struct(c("l_returnflag").alias("name")), F.struct(c("l_linestatus").alias("name"))).alias("offices")).alias("job"))
+    two = F.struct(F.when(n % 2 == 0, "open").otherwise("closed").alias("kind"), F.array(F.struct(part.alias("key"), F.array(n).alias("meta"), F.array(F.struct(F.lit(False).alias("primary"), F.lit("x").alias("label")), F.struct(F.lit(True).alias("primary"), c("l_returnflag").alias("label"))).alias("where"))).alias("positions"))
+    three = F.struct(F.when(n == 3, "draft").when(n == 2, "job").alias("type"), n.alias("position"), F.struct(part.alias("ref"), c("l_linestatus").alias("location")).alias("attributes"))
+    pages = line.groupBy("l_orderkey").agg(*[F.collect_list(x).alias(f"x{k}") for k, x in enumerate((one, two, three))])
+    pages = pages.join(table(spark, d, "orders").select("o_orderkey"), c("l_orderkey") == c("o_orderkey")).withColumn("shape", c("o_orderkey") % 3)
+    body = F.when(c("shape") == 0, F.to_json(F.struct(c("x0").alias("jobs")))).when(c("shape") == 1, F.to_json(F.struct(F.struct(c("x1").alias("sections")).alias("data")))).otherwise(F.to_json("x2"))
+    read = pages.select(c("o_orderkey").alias("board"), "shape", F.try_parse_json(body).alias("page"))
+    jobs = None
+    for shape, (items, fields) in BOARDS.items():
+        own = paths.records(c("page"), items, fields)
+        jobs = F.when(c("shape") == shape, own) if jobs is None else jobs.when(c("shape") == shape, own)
+    return read.select("board", F.explode(jobs).alias("j")).select("board", "j.job_id", "j.office", "j.place")
+
+
 QUERIES, ORACLE = R.queries, R.oracle
