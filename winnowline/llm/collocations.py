@@ -7,10 +7,9 @@ well (so both parts of the longer phrase are frequent), that is, the occurrence
 the postings of the adjacent word. Blocks hold whole documents, so lists are merged inside a block; the
 length of a phrase's list over all blocks, which is its exact frequency, is a grouped sum.
 
-What is frequent goes back to the blocks by a join of the block's distinct phrases with the frequent
-ones, so messages are one row for each distinct candidate of a block: they grow with the data and no
-table of all phrases is sent to every task. Spark broadcasts the frequent ones by its own size check.
-One block is named the home of a phrase, and only the home hands its words on.
+A block sends its distinct candidates and their counts, packed, to ranges of the key space and gets a bit
+for each back in the order asked, so nothing of the corpus is sent to every task and a common phrase is
+one entry for each block. One block is named the home of a phrase, and only the home hands its words on.
 
 Phrases are told apart by 64-bit hashes of language and words; strings come from the home block of each
 word. Scores are exact: products are 38-digit decimals.
@@ -36,6 +35,8 @@ from winnowline.llm.kernel import U64, mix, span_hashes, spread, tables, trim, u
 
 #: Bytes of text in a block, and in the parts that are taken apart at once.
 BLOCK, PART = 8 << 20, 2 << 20
+#: Blocks whose candidates one bucket takes on average.
+BLOCKS_TO_A_BUCKET = 4
 
 
 @functools.cache
@@ -133,78 +134,112 @@ def _phrases(row: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, phrase_keys([dictionary[ids[at + k] - 1] for k in range(length)])
 
 
-def _candidates(state: DataFrame, length: int, counted: bool) -> DataFrame:
-    """(key, block, count) for the distinct candidates of each block."""
+def _asked(row: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the sorted distinct candidates of a block, how often each occurs there)."""
+    if length == 1:
+        return np.frombuffer(row["keys"], U64), np.frombuffer(row["counts"], np.uint32)
+    return np.unique(_phrases(row, length)[1], return_counts=True)
 
-    def count(batches):
+
+def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the ranges of the buckets start among sorted keys, and where the last ends."""
+    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], U64)
+    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+
+
+def _needed(length: int) -> list[str]:
+    return ["block", "keys", "counts"] if length == 1 else ["block", "ids", "keys", "alive"]
+
+
+def _settled(state: DataFrame, length: int, least: int, buckets: int) -> DataFrame:
+    """Replies (block, bucket, often, home: bits in the order of the block's candidates) and, where block is null, the frequent phrases of a bucket (keys, sums)."""
+
+    def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                if length == 1:
-                    keys, counts = np.frombuffer(row["keys"], U64), np.frombuffer(row["counts"], np.uint32)
-                else:
-                    keys, counts = np.unique(_phrases(row, length)[1], return_counts=True)
-                found = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), row["block"], np.int64))]
-                yield pa.record_batch(found + [pa.array(counts.astype(np.int64))] * counted, names=["key", "block", "count"][: 2 + counted])
-                del keys, counts, found
+                keys, counts = _asked(row, length)
+                counts = counts.astype(np.uint8 if not len(counts) or counts.max() < 256 else np.uint32)
+                at = _bounds(keys, buckets)
+                full = np.flatnonzero(np.diff(at)).tolist()
+                yield pa.record_batch([pa.array(full, pa.int32()), pa.array([row["block"]] * len(full), pa.int64()), *(pa.array([x[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()) for x in (keys, counts))], names=["bucket", "block", "keys", "counts"])
+                del keys, counts
                 trim()
 
-    columns = ["block", "keys", "counts"] if length == 1 else ["block", "ids", "keys", "alive"]
-    return state.select(*columns).mapInArrow(count, "key long, block long, count long" if counted else "key long, block long")
+    def settle(rows: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(k, U64) for k in rows.column("keys").to_pylist()]
+        counts = [np.frombuffer(c, np.uint8 if len(c) == len(k) else np.uint32) for c, k in zip(rows.column("counts").to_pylist(), parts)]
+        keys, first, number = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        sums = np.bincount(number, np.concatenate(counts)).astype(np.int64)
+        good = sums >= least
+        often, home = good[number], np.zeros(len(number), bool)
+        home[first[good]] = True
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        bits = [[np.packbits(x).tobytes() for x in np.split(y, ends)] + [None] for y in (often, home)]
+        n = len(parts)
+        found = [[None] * n + [x.tobytes()] for x in (keys[good], sums[good])]
+        trim()
+        return pa.table([pa.array(rows.column("block").to_pylist() + [None], pa.int64()), pa.array(rows.column("bucket").to_pylist() + [None], pa.int32()), *(pa.array(x, pa.binary()) for x in bits + found)], names=["block", "bucket", "often", "home", "keys", "sums"])
+
+    requests = state.select(*_needed(length)).mapInArrow(ask, "bucket int, block long, keys binary, counts binary")
+    return cut(requests.groupBy("bucket").applyInArrow(settle, "block long, bucket int, often binary, home binary, keys binary, sums binary"))
+
 
+def _frequencies(settled: DataFrame) -> DataFrame:
+    """(key, f) of the frequent phrases."""
+
+    def take(batches):
+        for batch in batches:
+            for keys, sums in zip(batch.column("keys").to_pylist(), batch.column("sums").to_pylist()):
+                yield pa.record_batch([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(sums, np.int64))], names=["key", "f"])
 
-def _frequent(state: DataFrame, length: int, least: int) -> DataFrame:
-    """(key, f, home) of the phrases of this length that occur ``least`` times or more."""
-    return cut(_candidates(state, length, True).groupBy("key").agg(F.sum("count").alias("f"), F.max("block").alias("home")).where(F.col("f") >= least))
+    return settled.where("block IS NULL").select("keys", "sums").mapInArrow(take, "key long, f long")
 
 
-def _told(state: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
-    """(block, key, own): each block's candidates that are frequent, and whether the block is their home."""
-    f = frequent.select(F.col("key").alias("k"), "home")
-    return _candidates(state, length, False).join(f, F.col("key") == F.col("k")).select(F.col("block").alias("at"), "key", (F.col("block") == F.col("home")).alias("own"))
+def _answers(keys: np.ndarray, told: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the block's candidates are frequent, of which the block is the home)."""
+    sizes = np.diff(_bounds(keys, buckets))
+    told = told.select(["bucket", "often", "home"]).sort_by("bucket")
+    sizes = sizes[sizes > 0].tolist()
+    return tuple(np.concatenate([*(np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(told.column(c).to_pylist(), sizes)), np.zeros(0, np.uint8)]) > 0 for c in ("often", "home"))
 
 
-def _first_lists(state: DataFrame, frequent: DataFrame) -> DataFrame:
+def _first_lists(state: DataFrame, settled: DataFrame, buckets: int) -> DataFrame:
     """The lists of frequent words, with the strings and languages of those at home."""
 
     def settle(rows: pa.Table, told: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _state(0, *(np.zeros(0, t) for t in (np.uint32, U64, np.uint8, U64))).append_column("names", pa.array([[]], pa.list_(pa.string()))).append_column("langs", pa.array([[]], pa.list_(pa.string()))).slice(0, 0)
-        row = rows.select(["block", "ids", "keys"]).to_pylist()[0]
+        row = rows.select(["block", "ids", "keys", "counts"]).to_pylist()[0]
         ids, keys = np.frombuffer(row["ids"], np.uint32), np.frombuffer(row["keys"], U64)
-        often = np.sort(told.column("key").to_numpy().view(U64))
-        own = np.sort(told.filter(told.column("own")).column("key").to_numpy().view(U64))
-        number = np.concatenate(([0], np.where(good := _among(keys, often), np.cumsum(good), 0))).astype(np.uint32)
-        ids = number[ids]
+        often, own = _answers(keys, told, buckets)
+        ids = np.concatenate(([0], np.where(often, np.cumsum(often), 0))).astype(np.uint32)[ids]
         ids, alive = _compact(ids, ids > 0, 1)
-        home = pa.array(np.flatnonzero(_among(keys, own)))
-        out = _state(row["block"], ids, keys[good], alive, own)
+        home = pa.array(np.flatnonzero(own))
+        out = _state(row["block"], ids, keys[often], alive, keys[own])
         for c in ("names", "langs"):
             a = rows.column(c).combine_chunks().flatten().take(home)
             out = out.append_column(c, pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a))
         trim()
         return out
 
-    told = _told(state, frequent, 1)
-    return cut(state.select("block", "ids", "keys", "names", "langs").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE + ", names array<string>, langs array<string>"), "zstd")
+    told = settled.where("block IS NOT NULL").select(F.col("block").alias("at"), "bucket", "often", "home")
+    return cut(state.select("block", "ids", "keys", "counts", "names", "langs").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE + ", names array<string>, langs array<string>"), "zstd")
 
 
-def _next_lists(state: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
+def _next_lists(state: DataFrame, settled: DataFrame, length: int, buckets: int) -> DataFrame:
     """The lists extended to ``length`` words: positions at which a frequent phrase starts."""
 
     def settle(rows: pa.Table, told: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _state(0, *(np.zeros(0, t) for t in (np.uint32, U64, np.uint8, U64))).slice(0, 0)
         row = rows.to_pylist()[0]
         at, keys = _phrases(row, length)
+        asked = np.unique(keys)
+        often, own = _answers(asked, told, buckets)
         ids = np.frombuffer(row["ids"], np.uint32)
         alive = np.zeros(len(ids), bool)
-        alive[at[_among(keys, np.sort(told.column("key").to_numpy().view(U64)))]] = True
+        alive[at[_among(keys, asked[often])]] = True
         ids, alive = _compact(ids, alive, length)
-        own = np.sort(told.filter(told.column("own")).column("key").to_numpy().view(U64))
         trim()
-        return _state(row["block"], ids, np.frombuffer(row["keys"], U64), alive, own)
+        return _state(row["block"], ids, np.frombuffer(row["keys"], U64), alive, asked[own])
 
-    told = _told(state, frequent, length)
+    told = settled.where("block IS NOT NULL").select(F.col("block").alias("at"), "bucket", "often", "home")
     return cut(state.select("block", "ids", "keys", "alive").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE), "zstd")
 
 
@@ -231,14 +266,15 @@ def mined(docs: DataFrame, text: str, lang: str, least: int, longest: int) -> tu
     """(frequencies of all frequent phrases: key, f; phrases of two words or more with their cuts; word, name and lang of the frequent words; words of each language)."""
     state = sequences(docs, text, lang)
     spoken = cut(state.select(F.explode(F.arrays_zip("spoken", "words")).alias("x")).groupBy(F.col("x.spoken").alias("lang")).agg(F.sum("x.words").alias("n")))
-    frequent = _frequent(state, 1, least)
-    counts, phrases = frequent.select("key", "f"), None
-    state = _first_lists(state, frequent)
+    buckets = max(1, -(-state.count() // BLOCKS_TO_A_BUCKET))
+    settled = _settled(state, 1, least, buckets)
+    counts, phrases = _frequencies(settled), None
+    state = _first_lists(state, settled, buckets)
     names = cut(_names(state))
     for length in range(2, longest + 1):
-        frequent = _frequent(state, length, least)
-        state = _next_lists(state, frequent, length)
-        counts = counts.unionByName(frequent.select("key", "f"))
+        settled = _settled(state, length, least, buckets)
+        state = _next_lists(state, settled, length, buckets)
+        counts = counts.unionByName(_frequencies(settled))
         own = _cuts(state, length)
         phrases = own if phrases is None else phrases.unionByName(own)
     return counts, phrases, names, spoken
