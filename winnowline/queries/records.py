@@ -154,12 +154,12 @@ def segment_explode(spark, d):
 
 
 @R.add(r"""WITH d AS (SELECT doc_id, replace(text, '. ', chr(10) || '- ') AS t FROM documents), c AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '\n[ \t]*([0-9]+[.)][ \t]|[-*•][ \t])', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS p FROM d),
-s AS (SELECT doc_id, CASE WHEN len(list_filter(p, lambda x: regexp_matches(x, '(?i)\b(the|und|les|las)\b'))) >= 2 THEN p ELSE [t] END AS p FROM c), e AS (SELECT doc_id, len(p) AS n, unnest(p) AS segment, generate_subscripts(p, 1) - 1 AS ordinal FROM s)
+s AS (SELECT doc_id, CASE WHEN len(list_filter(p, lambda x: regexp_matches(x, '(?i)(^|[^\p{L}\p{N}])(the|und|les|las)($|[^\p{L}\p{N}])'))) >= 2 THEN p ELSE [t] END AS p FROM c), e AS (SELECT doc_id, len(p) AS n, unnest(p) AS segment, generate_subscripts(p, 1) - 1 AS ordinal FROM s)
 SELECT doc_id, ordinal::INTEGER AS ordinal, segment, CASE WHEN n > 1 THEN 'digest_boundary' ELSE 'whole_observation' END AS evidence, sha256(doc_id || '|' || ordinal || '|' || segment) AS segment_id FROM e""")
 def digest_segments(spark, d):
     """Documents as digests, a bullet for each sentence: parts where two or more have a hint."""
     docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("\n- ")).alias("text"))
-    return segments.explode_segments(docs, "doc_id", "text", r"(?i)\b(the|und|les|las)\b")
+    return segments.explode_segments(docs, "doc_id", "text", r"(?i)(^|[^\p{L}\p{N}])(the|und|les|las)($|[^\p{L}\p{N}])")
 
 
 @R.add(rf"SELECT doc_id, CASE WHEN length(c) <= 20000 THEN c WHEN contains(c[1:20000], ' ') THEN regexp_replace(c[1:20000], ' [^ ]*$', '') ELSE c[1:20000] END AS clean FROM (SELECT doc_id, {CLEAN_SQL} AS c FROM (SELECT doc_id, nfc_normalize(replace(replace(text, chr(65279), ''), chr(8203), '')) AS text FROM documents))")
