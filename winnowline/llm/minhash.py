@@ -274,16 +274,21 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.col("doc").eqNullSafe(F.coalesce("component", "doc")).alias("kept"))
 
 
-#: The same rows for the table documents, four words and 80 percent.
-SQL = r"""
+def components_sql(percent: int) -> str:
+    """SQL for the rows of ``near_copies`` over the table documents, with shingles of four words."""
+    return r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END)) AS gram FROM d),
+g AS (SELECT doc_id, hash(unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END))) AS gram FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
-link AS (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+link AS (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= PERCENT * (x.n + y.n - shared)),
 step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach(doc_id, other) AS (SELECT DISTINCT a, a FROM step UNION SELECT reach.doc_id, step.b FROM reach JOIN step ON reach.other = step.a),
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
-"""
+""".replace("PERCENT", str(percent))
+
+
+#: The rows of the query with 80 percent.
+SQL = components_sql(80)

@@ -71,4 +71,4 @@ def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_format_preferences, op3_quality_classifier, op4_ngram_jaccard_join, op5_remove_repeats, op6_benchmark_decontamination, op7_language_id, op8_lm_scoring, op9_token_files, op10_quality_rules, op11_minhash_near_dedup, op12_ranked_search, op13_phrase_mining)}
 
 #: SQL that returns the same rows; the other queries are held against brute force in tests/llm.
-ORACLE: dict[str, str] = {"op2_format_preferences": chat_format.SQL, "op10_quality_rules": quality_rules.SQL, "op11_minhash_near_dedup": minhash.SQL, "op12_ranked_search": lexical.SQL, "op13_phrase_mining": collocations.SQL}
+ORACLE: dict[str, str] = {"op2_format_preferences": chat_format.SQL, "op4_ngram_jaccard_join": f"SELECT doc_id, n_shingles, component_id FROM ({minhash.components_sql(85)})", "op10_quality_rules": quality_rules.SQL, "op11_minhash_near_dedup": minhash.SQL, "op12_ranked_search": lexical.SQL, "op13_phrase_mining": collocations.SQL}
