@@ -19,6 +19,12 @@ def confusion(df: DataFrame, predicted: Column, gold: Column, by: list[str] = ()
     return g.select(*by, "tp", "fp", "fn", "tn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
+def confusion_adjusted(df: DataFrame, predicted: Column, gold: Column, exit_stage: Column, dedup_stage: str, by: list[str] = ()) -> DataFrame:
+    """As ``confusion``, but a gold row that left at the deduplication stage counts as found: its first copy stands for it."""
+    as_copy = F.coalesce(exit_stage == dedup_stage, F.lit(False)) & gold
+    return confusion(df, predicted | as_copy, gold, by)
+
+
 def threshold_curve(df: DataFrame, score: str, gold: str) -> DataFrame:
     """tp, fp, precision, recall and f1 at each distinct score; counts by score first, then running sums over those."""
     g = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(gold).alias("p"), F.count("*").alias("n"))
