@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from winnowline.operators.ranges import ranked
+
 
 def mark_duplicates(df: DataFrame, key: Column, order: list[Column | str], id_col: str) -> DataFrame:
     """Adds ``first_id``, the id of the first row with the same key, and ``is_duplicate``.
@@ -47,9 +49,8 @@ def merge_by_priority(df: DataFrame, group: str, priority: str, id_col: str, fir
 
 
 def interleave(df: DataFrame, bucket: list[str], order: list[str]) -> DataFrame:
-    """Round-robin position: turn within the bucket first, then bucket."""
-    turn = F.row_number().over(W.partitionBy(*bucket).orderBy(*order))
-    return df.withColumn("turn", turn)
+    """Round-robin position: turn within the bucket first, then bucket. A hot bucket is ranked in ranges."""
+    return ranked(df, order, bucket, "turn")
 
 
 def latest_per(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

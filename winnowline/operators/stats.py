@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from winnowline.operators.ranges import running
+
 
 def ratio(a: Column, b: Column, digits: int = 4) -> Column:
     return F.when(b > 0, F.round(a / b, digits)).otherwise(0.0)
@@ -26,11 +28,14 @@ def confusion_adjusted(df: DataFrame, predicted: Column, gold: Column, exit_stag
 
 
 def threshold_curve(df: DataFrame, score: str, gold: str) -> DataFrame:
-    """tp, fp, precision, recall and f1 at each distinct score; counts by score first, then running sums over those."""
+    """tp, fp, precision, recall and f1 at each distinct score; counts by score first, then running sums over ranges of scores."""
     g = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(gold).alias("p"), F.count("*").alias("n"))
-    down, whole = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    g = g.select("threshold", F.sum("p").over(down).alias("tp"), (F.sum("n").over(down) - F.sum("p").over(down)).alias("fp"), F.sum("p").over(whole).alias("positives"))
-    return g.select("threshold", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp"), 6).alias("precision"), ratio(F.col("tp"), F.col("positives"), 6).alias("recall"), ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("positives"), 6).alias("f1"))
+    g = running(g, [F.desc("threshold")], {"tp": F.col("p"), "seen": F.col("n")})
+    positives = df.agg(F.sum(gold).alias("positives"))
+    g = g.crossJoin(F.broadcast(positives)).select("threshold", "tp", (F.col("seen") - F.col("tp")).alias("fp"), "positives")  # one row
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp"), 6), ratio(F.col("tp"), F.col("positives"), 6)
+    f1 = ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("positives"), 6)
+    return g.select("threshold", "tp", "fp", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
 def nearest_rank(df: DataFrame, by: str, value: str, quantiles: list[float], buckets: int = 1024) -> DataFrame:
@@ -54,10 +59,9 @@ def nearest_rank(df: DataFrame, by: str, value: str, quantiles: list[float], buc
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, rank): tied values share their mean rank; ranks come from counts of distinct values."""
-    g = df.groupBy(value).agg(F.count("*").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return g.select(value, (before + (F.col("ties") + 1) / 2).alias("rank"))
+    """(value, rank): tied values share their mean rank; ranks come from counts of distinct values, summed over ranges of them."""
+    g = running(df.groupBy(value).agg(F.count("*").alias("ties")), [value], {"upto": F.col("ties")})
+    return g.select(value, (F.col("upto") - F.col("ties") + (F.col("ties") + 1) / 2).alias("rank"))
 
 
 def bootstrap_means(df: DataFrame, id_col: str, value: str, rounds: int) -> DataFrame:

@@ -8,6 +8,7 @@ from winnowline.functions import segments, unicode
 from winnowline.functions import text as T
 from winnowline.functions import urls as U
 from winnowline.operators import dedup as D
+from winnowline.operators.ranges import ranked
 from winnowline.plans.conditions import apply_gates
 from winnowline.queries import Registry, table
 
@@ -193,10 +194,8 @@ RULES = [("^https:", 2), ("[0-9]+$", 3), ("/(?:page|p|a)", 5), (r"\?", -4), ("//
 
 @R.add("SELECT page_id, score, row_number() OVER (PARTITION BY host ORDER BY score DESC, url, page_id)::INTEGER AS rank FROM (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) AS host, " + " + ".join(f"(CASE WHEN regexp_matches(url, '{p}') THEN {w} ELSE 0 END)" for p, w in RULES) + " AS score FROM pages)")
 def job_url_score(spark, d):
-    from pyspark.sql import Window as W
-
     t = table(spark, d, "pages").select("page_id", "url", U.host(F.col("url")).alias("host"), U.additive_score(F.col("url"), RULES).alias("score"))
-    return t.select("page_id", "score", F.row_number().over(W.partitionBy("host").orderBy(F.desc("score"), "url", "page_id")).alias("rank"))
+    return ranked(t, [F.desc("score"), "url", "page_id"], ["host"]).select("page_id", "score", "rank")
 
 
 @R.add("SELECT doc_id, 'Doc ' || doc_id AS title, source AS org, n_chars * 2 AS max_amount FROM documents")
