@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from winnowline.operators.ranges import ranked
+
 
 def select_for_channel(cards: DataFrame, published: DataFrame, recent: DataFrame, order: list[Column | str], limit: int) -> DataFrame:
     """The next ``limit`` cards: not published by id or URL, not like one of this batch before it or a recent one of another source.
@@ -22,13 +24,13 @@ def select_for_channel(cards: DataFrame, published: DataFrame, recent: DataFrame
 def interleave_position(df: DataFrame, bucket: Column, order: list[Column | str]) -> DataFrame:
     """Adds ``position`` (from 1): first rows of all buckets, then second rows and so on; buckets in the order of their first row.
 
-    Rows are numbered inside a bucket; the rounds before a turn are counted from the buckets' sizes, so no
-    task sees more than one bucket's rows.
+    Rows are numbered inside a bucket by ranges of the order; the rounds before a turn are counted from the
+    buckets' sizes, so no task sees all rows of a large bucket.
     """
     d = df.withColumn("__b", bucket)
     sizes = d.groupBy("__b").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
     sizes = sizes.withColumn("__rank", F.row_number().over(W.orderBy("first")))  # one row a bucket
-    d = d.withColumn("__turn", F.row_number().over(W.partitionBy("__b").orderBy(*order)))
+    d = ranked(d, order, ["__b"], "__turn")
     # Rows of a turn are as many as buckets of that size or more: by size, from the largest.
     by_size = sizes.groupBy("n").agg(F.count("*").alias("c"))
     turns = by_size.select(F.explode(F.sequence(F.lit(1), "n")).alias("__turn"), "c").groupBy("__turn").agg(F.sum("c").alias("rows"))
