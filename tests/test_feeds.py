@@ -63,3 +63,13 @@ def test_boards(spark, tmp_path):
     items = feeds.board_items(F.col("value"), "jobs[*]", {"guid": "id", "link": "url", "published": "at"})
     good, apart = run(spark, tmp_path, items)
     assert good == [("a", "7", "http://x/7")] and apart == [("a", "-", "no_identity"), ("b", "-", "invalid_file")]
+
+
+def test_many_ids_are_remembered(spark, tmp_path):
+    ids = [str(i) for i in range(10_500)]
+    for n in range(2):
+        land(tmp_path, "a", f"{n}.xml", rss(*[(i, f"http://x/{i}", DAY) for i in ids], ("u", "http://x/u", None)))
+        files = feeds.landed(spark, f"file://{tmp_path}/in")
+        good, apart = feeds.poll(feeds.unseen(feeds.entries(files, feeds.feed_items(F.col("value")), "2024-01-10")), f"file://{tmp_path}/out", f"file://{tmp_path}/cursor")
+    assert sorted(r["id"] for r in good.collect()) == sorted(ids)
+    assert [(r["id"], r["reason"]) for r in apart.collect()] == [("u", "undated")] * 2

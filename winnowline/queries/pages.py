@@ -144,6 +144,10 @@ def json_boards(spark, d):
     return read.select("board", F.explode(jobs).alias("j")).select("board", "j.job_id", "j.office", "j.place")
 
 
+#: Pages whose entries land in one file of their feed.
+FILED = 32_768
+
+
 @R.add("""SELECT CASE WHEN page_id % 10 = 0 THEN 'apart' ELSE 'entry' END AS kind, 's' || CAST(page_id % 8 AS VARCHAR) AS source, CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 10 > 0 THEN url END AS link, CASE WHEN page_id % 10 = 0 THEN 'undated' END AS reason FROM pages, range(0, 2) t(copy)
 WHERE (page_id % 10 = 0 OR copy = 0) AND (page_id % 10 = 0 OR page_id % 60 >= 14)
 UNION ALL SELECT 'apart', 's' || CAST(page_id % 8 AS VARCHAR), CAST(page_id AS VARCHAR), NULL, 'old' FROM pages, range(0, 2) t(copy) WHERE page_id % 10 > 0 AND page_id % 60 < 14""")
@@ -156,10 +160,11 @@ def feed_poll(spark, d):
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 60).cast("int")), "d MMM yyyy")
     link = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
     item = F.concat(F.lit("<item><guid>"), k.cast("string"), F.lit("</guid><link>"), link, F.lit("</link><title>t</title>"), F.when(k % 10 > 0, F.concat(F.lit("<pubDate>"), day, F.lit(" 00:00:00 +0000</pubDate>"))).otherwise(""), F.lit("</item>"))
-    feeds = table(spark, d, "pages").groupBy(F.concat(F.lit("s"), (k % 8).cast("string")).alias("source")).agg(F.array_join(F.collect_list(item), "").alias("items"))
+    # A feed lands in files of a few thousand entries.
+    feeds = table(spark, d, "pages").groupBy(F.concat(F.lit("s"), (k % 8).cast("string")).alias("source"), F.floor(k / FILED)).agg(F.array_join(F.collect_list(item), "").alias("items"))
     feeds = feeds.select("source", F.concat(F.lit("<rss><channel>"), F.col("items"), F.lit("</channel></rss>")).alias("value"))
     for _ in range(2):
-        feeds.write.mode("append").partitionBy("source").text(f"{base}/in")
+        feeds.write.mode("append").option("maxRecordsPerFile", 1).partitionBy("source").text(f"{base}/in")
         rows = feed_source.unseen(feed_source.entries(feed_source.landed(spark, f"{base}/in"), feed_source.feed_items(F.col("value")), "2024-01-15"))
         good, apart = feed_source.poll(rows, f"{base}/out", f"{base}/cursor")
     none = F.lit(None).cast("string")

@@ -87,8 +87,15 @@ class _Seen(StatefulProcessor):
         pass
 
 
-def unseen(rows: DataFrame, most: int = 10_000) -> DataFrame:
-    """Entries whose id their source has not had among its ``most`` latest ids, in this run or an earlier one; rows set apart stay."""
+def unseen(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Entries whose id their source has not had, in this run or an earlier one; rows set apart stay.
+
+    Each (source, id) is a key of Spark's state, so a large source is shared by all tasks. With ``most`` a source
+    knows only its latest so many ids, which one task holds together.
+    """
+    if most is None:
+        fresh = rows.where("reason IS NULL").dropDuplicates(["source", "id"])
+        return fresh.unionByName(rows.where("reason IS NOT NULL"))
     shape = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     return rows.groupBy("source").transformWithStateInPandas(_Seen(most), shape, "Append", "None")
 
