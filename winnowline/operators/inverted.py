@@ -54,6 +54,12 @@ class Index(NamedTuple):
     b: float
 
 
+def _rows(batch: pa.RecordBatch):
+    """A batch's rows one after the other, binary columns as views of the batch: blocks are large, and copies of all of them are not made."""
+    for at in range(batch.num_rows):
+        yield {c: v[at].as_buffer() if pa.types.is_binary(v.type) else v[at] for c, v in zip(batch.schema.names, batch.columns)}
+
+
 def _groups(batches, most_terms: int):
     """Batches cut where a block would hold more than ``most_terms`` terms or 65,535 documents."""
     for batch in batches:
@@ -72,33 +78,33 @@ def build_index(docs: DataFrame, k1: float = 1.2, b: float = 0.75, block_terms:
         for rows in _groups(batches, block_terms):
             column = rows.column("terms")
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            terms = column.flatten().to_numpy().astype(np.int64)
-            order = np.lexsort((doc, terms))
+            missing, doc = column.null_count, np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            terms = column.flatten().to_numpy()
+            order = np.argsort(terms, kind="stable")  # documents ascend already
             t, d = terms[order], doc[order]
+            del doc, terms, order, column
             head = np.flatnonzero(np.concatenate((np.ones(min(1, len(t)), bool), (t[1:] != t[:-1]) | (d[1:] != d[:-1]))))
             tfs = np.diff(np.append(head, len(t))).astype(np.uint32)
-            t, d = t[head], d[head].astype(np.uint16)
+            t, d = t[head], d[head]
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(t)), bool), t[1:] != t[:-1])))
             ids = rows.column("doc_id")
             blobs = {"terms": t[first], "starts": np.append(first, len(t)).astype(np.uint32), "ords": d, "tfs": tfs, "lens": sizes.astype(np.uint32)}
-            yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in blobs.values()), pa.array([len(ids)]), pa.array([len(ids) - column.null_count]), pa.array([int(sizes.sum())])], names=["ids", *blobs, "docs", "texts", "total"])
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in blobs.values()), pa.array([len(ids)]), pa.array([len(ids) - missing]), pa.array([int(sizes.sum())])], names=["ids", *blobs, "docs", "texts", "total"])
 
     raw = stored(docs.select("doc_id", term_hashes(F.col("text")).alias("terms")).mapInArrow(lay_out, f"ids array<{kind}>, terms binary, starts binary, ords binary, tfs binary, lens binary, docs long, texts long, total long"))
     n, mean = raw.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("total") / F.nullif(F.sum("texts"), F.lit(0)), F.lit(0.0))).first()
 
     def order(batches):
         for batch in batches:
-            most, at, champions = [], [], []
-            for row in batch.select(["starts", "ords", "tfs", "lens"]).to_pylist():
+            for place, row in enumerate(_rows(batch.select(["starts", "ords", "tfs", "lens"]))):
                 starts, impact = np.frombuffer(row["starts"], np.uint32).astype(np.int64), impacts(np.frombuffer(row["tfs"], np.uint32), np.frombuffer(row["lens"], np.uint32)[np.frombuffer(row["ords"], np.uint16)], mean, k1, b)
-                most.append((np.maximum.reduceat(impact, starts[:-1]) if len(starts) > 1 else impact).tobytes())
+                most = np.maximum.reduceat(impact, starts[:-1]) if len(starts) > 1 else impact
                 best = [s + np.argpartition(-impact[s:e], CHAMPIONS)[:CHAMPIONS] for s, e in zip(starts[:-1], starts[1:]) if e - s > CHAMPIONS]
                 best = [x[np.argsort(-impact[x], kind="stable")] for x in best]
                 has = np.diff(starts) > CHAMPIONS
-                at.append((np.cumsum(has) * has).astype(np.uint32).tobytes())
-                champions.append(np.concatenate([*best, np.zeros(0, np.int64)]).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.binary()) for x in (most, at, champions))], names=[*batch.schema.names, "most", "at", "champions"])
+                at = (np.cumsum(has) * has).astype(np.uint32)
+                champions = np.concatenate([*best, np.zeros(0, np.int64)]).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([*batch.slice(place, 1).columns, *(pa.array([x.tobytes()], pa.binary()) for x in (most, at, champions))], names=[*batch.schema.names, "most", "at", "champions"])
 
     shape = ", ".join(f"{c} {t}" for c, t in raw.drop("docs", "texts", "total").dtypes)
     return Index(stored(raw.drop("docs", "texts", "total").mapInArrow(order, f"{shape}, most binary, at binary, champions binary")), n, mean, k1, b)
@@ -172,7 +178,7 @@ def _frequencies(index: Index, terms: np.ndarray) -> dict[int, int]:
     def count(batches):
         total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 own, starts = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["starts"], np.uint32).astype(np.int64)
                 if len(own):
                     at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
@@ -204,7 +210,7 @@ def top_documents(index: Index, queries: DataFrame, k: int, shared: bool = False
         def find(batches, wanted=wanted, weights=weights, model=(index.mean, index.k1, index.b)):
             best = [np.zeros(0) for _ in wanted]
             for batch in batches:
-                for ids, row in zip(batch.column("ids"), batch.drop_columns(["ids"]).to_pylist()):
+                for ids, row in zip(batch.column("ids"), _rows(batch.drop_columns(["ids"]))):
                     block = Block(row, model, shared)
                     for q, (terms, idf) in enumerate(zip(wanted, weights)):
                         docs, score = block.best(terms, idf, k, best[q].min() if len(best[q]) == k else 0.0)
