@@ -99,3 +99,27 @@ def test_versions(spark, fitted, tmp_path):
     assert got == pytest.approx(want)
     with pytest.raises(Exception):
         registry.promote("absent")
+
+
+def test_blocks_send_a_term_once_and_get_known_terms_back(spark):
+    from pyspark.sql import functions as F
+
+    from winnowline.operators import extraction as X
+
+    texts = [(i % 40, f"Alpha beta w{i % 7} alpha x{i}") for i in range(60)] + [(None, "alpha beta"), (99, None), (100, ""), (101, "only_here")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for block_bytes in (1, 16 << 20):
+        blocks = X.TextBlocks(docs, "doc_id", "text", block_bytes)
+        terms = blocks.terms().collect()
+        assert len(terms) == len({(r["block"], r["term"]) for r in terms})
+        counts = {}
+        for k, t in texts:
+            counts[k] = counts.get(k, Counter()) + grams(t)
+        df = Counter(t for c in counts.values() for t in c)
+        assert {t: sum(r["df"] for r in terms if r["term"] == t) for t in df} == df and (len({r["block"] for r in terms}) > 1) == (block_bytes == 1)
+        known = X.inverse_frequencies(blocks.terms(), len(texts)).withColumn("coef", F.length("term") - 4.5)
+        got = blocks.scores(known).collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in texts)
+        for r in got:
+            x = {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in counts[r["doc_id"]].items() if df[t] >= 2} if r["doc_id"] is not None else {}
+            assert r["z"] == pytest.approx(sum(v * (len(t) - 4.5) for t, v in x.items()) / (math.sqrt(sum(v * v for v in x.values())) or 1))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnowline.functions.normalize import blank_to_null, first_match, grams
@@ -70,21 +75,81 @@ def gram_counts(docs: DataFrame, key: str, text: str, most: int = 2) -> DataFram
     return docs.select(key, F.explode(grams(words, most)).alias("term")).groupBy(key, "term").agg((1 + F.ln(F.count("*"))).alias("tf"))
 
 
-def inverse_frequencies(counts: DataFrame, documents: int, least: int = 2) -> DataFrame:
-    """(term, idf) of terms in ``least`` documents or more, smoothed."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    return df.select("term", (F.ln((1 + F.lit(float(documents))) / (1 + F.col("df"))) + 1).alias("idf"))
+class _Grams:
+    """Words and pairs of words of a block of rows: ``terms`` (distinct, ascending), and for each (key, term) how often."""
+
+    def __init__(self, rows: pa.Table):
+        words, keys = rows.column("words").combine_chunks(), rows.column("key").combine_chunks().dictionary_encode(null_encoding="encode")
+        sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = words.flatten().dictionary_encode()
+        order = pc.sort_indices(flat.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        own, at, n = rank[flat.indices.to_numpy()], np.repeat(np.arange(len(sizes)), sizes), max(1, len(order))
+        self.keys, self.of = len(keys.dictionary), keys.indices.to_numpy().astype(np.int64)
+        follows = np.flatnonzero(at[1:] == at[:-1])
+        distinct, place = np.unique(np.concatenate((own, n + own[follows] * n + own[follows + 1])), return_inverse=True)
+        pair, self.times = np.unique(self.of[np.concatenate((at, at[follows]))] * max(1, len(distinct)) + place, return_counts=True)
+        self.key, self.term = pair // max(1, len(distinct)), pair % max(1, len(distinct))
+        word, two = flat.dictionary.take(pa.array(order)), distinct[distinct >= n] - n
+        self.terms = pa.concat_arrays([word, pc.binary_join_element_wise(word.take(pa.array(two // n)), word.take(pa.array(two % n)), " ")])
+
+
+def _block_terms(rows: pa.Table) -> pa.Table:
+    b = _Grams(rows)
+    df, times = np.bincount(b.term, minlength=len(b.terms)), np.bincount(b.term, b.times, minlength=len(b.terms))
+    return pa.table({"block": pa.array(np.full(len(df), rows.column("block")[0].as_py(), np.int32)), "term": b.terms, "df": df.astype(np.int64), "times": times.astype(np.int64)})
+
+
+def _block_scores(rows: pa.Table, known: pa.Table) -> pa.Table:
+    if not rows.num_rows:
+        return pa.table({"key": rows.column("key"), "z": pa.array([], pa.float64())})
+    b = _Grams(rows)
+    found = pc.index_in(b.terms, value_set=known.column("term").combine_chunks())
+    place = found.fill_null(-1).to_numpy().astype(np.int64)[b.term]
+    has = np.flatnonzero(place >= 0)
+    idf, coef = (known.column(c).to_numpy()[place[has]] for c in ("idf", "coef"))
+    x = (1 + np.log(b.times[has])) * idf
+    z, square = (np.bincount(b.key[has], v, minlength=b.keys) for v in (x * coef, x * x))
+    z = np.divide(z, np.sqrt(square), out=np.zeros(b.keys), where=square > 0)
+    return pa.table({"key": rows.column("key"), "z": pa.array(np.where(rows.column("key").is_null().to_numpy(), 0.0, z[b.of]))})
+
+
+class TextBlocks:
+    """Rows of key and text, dealt by key to blocks of about ``block_bytes`` of text; a key's rows are one document.
+
+    Terms are words of two letters or more and their pairs. Blocks send each of their distinct terms once, and only terms of the
+    vocabulary come back, so that what is shuffled follows the distinct terms of a block and not those of every document.
+    """
+
+    def __init__(self, docs: DataFrame, key: str, text: str, block_bytes: int = 16 << 20):
+        total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        blocks = max(1, math.ceil(total / block_bytes), min(2 * cores, total >> 20))
+        self.key, self.kind = key, docs.select(key).schema[0].dataType.simpleString()
+        dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
+        self.rows = dealt.select("block", "key", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0).alias("words")).groupBy("block")
+
+    def terms(self) -> DataFrame:
+        """(block, term, df, times): in how many of a block's documents a term is, and how often."""
+        return self.rows.applyInArrow(_block_terms, "block int, term string, df long, times long")
+
+    def scores(self, known: DataFrame) -> DataFrame:
+        """(key, z) of every row: the product of a vector of length one over its block's (block, term, idf, coef) with the coefficients; 0 without known terms."""
+        return self.rows.cogroup(known.groupBy("block")).applyInArrow(_block_scores, f"key {self.kind}, z double").withColumnRenamed("key", self.key)
+
+
+def inverse_frequencies(terms: DataFrame, documents: int, least: int = 2) -> DataFrame:
+    """(block, term, idf) of terms in ``least`` documents or more of all blocks together, smoothed; a term has one row for each block at most."""
+    df = terms.select("block", "term", F.sum("df").over(Window.partitionBy("term")).alias("df")).where(F.col("df") >= least)
+    return df.select("block", "term", (F.ln((1 + F.lit(float(documents))) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def linear_text_score(docs: DataFrame, counts: DataFrame, vocabulary: DataFrame, key: str, intercept: float, threshold: float, shadow: bool = False) -> DataFrame:
-    """score and drop of every row: a logistic score of tf-idf vectors of length one over (term, idf, coef).
+def linear_text_score(z: DataFrame, key: str, intercept: float, threshold: float, shadow: bool = False) -> DataFrame:
+    """score and drop of every row of (key, z): a logistic score of ``z`` and the intercept.
 
-    Terms that the vocabulary lacks don't count; a row without any has the intercept's score. In shadow mode
-    nothing is dropped, only marked.
+    In shadow mode nothing is dropped, only marked.
     """
-    w = counts.join(vocabulary, "term").withColumn("x", F.col("tf") * F.col("idf"))
-    z = w.groupBy(key).agg((F.sum(F.col("x") * F.col("coef")) / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("z"))
-    score = 1 / (1 + F.exp(-(F.coalesce("z", F.lit(0.0)) + intercept)))
-    d = docs.select(key).join(z, key, "left").select(key, F.round(score, 4).alias("score"))
+    d = z.select(key, F.round(1 / (1 + F.exp(-(F.col("z") + intercept))), 4).alias("score"))
     below = F.col("score") < threshold
     return d.withColumn("drop", F.lit(False) if shadow else below).withColumn("would_drop", below)

@@ -53,9 +53,9 @@ z AS (SELECT doc_id, sum(tf * idf * coef) / sqrt(sum((tf * idf) * (tf * idf))) A
 def tfidf_logreg_score(spark, d):
     """One- and two-word grams with inverse frequencies over all documents; coefficients are a rule on the term."""
     docs = table(spark, d, "documents")
-    counts = stored(X.gram_counts(docs, "doc_id", "text"))
-    vocabulary = X.inverse_frequencies(counts, docs.count()).withColumn("coef", (F.length("term") % 7 - 3) / 2)
-    return X.linear_text_score(docs, counts, vocabulary, "doc_id", -0.1, 0.45).select("doc_id", "score", "drop")
+    blocks = X.TextBlocks(docs, "doc_id", "text")
+    known = X.inverse_frequencies(blocks.terms(), docs.count()).withColumn("coef", (F.length("term") % 7 - 3) / 2)
+    return X.linear_text_score(blocks.scores(known), "doc_id", -0.1, 0.45).select("doc_id", "score", "drop")
 
 
 @R.add()
