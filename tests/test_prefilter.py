@@ -123,3 +123,20 @@ def test_blocks_send_a_term_once_and_get_known_terms_back(spark):
         for r in got:
             x = {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in counts[r["doc_id"]].items() if df[t] >= 2} if r["doc_id"] is not None else {}
             assert r["z"] == pytest.approx(sum(v * (len(t) - 4.5) for t, v in x.items()) / (math.sqrt(sum(v * v for v in x.values())) or 1))
+
+
+def test_a_step_of_the_fit_has_as_many_gradients_as_cores(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    parts, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df, *a: (parts.append(df.rdd.getNumPartitions()), fit(self, df, *a))[1])
+    d = spark.createDataFrame(rows(), "doc_id long, text string, label int").repartition(40)
+    blocks = P.TextBlocks
+    monkeypatch.setattr(P, "TextBlocks", lambda *a, **k: blocks(*a, **(k | {"block_bytes": 256})))
+    size = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a partition for each file, as large files have
+    try:
+        P.TextPrefilter(least_retention=0.0).fit(d)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", size)
+    assert len(parts) == 2 and max(parts) <= spark.sparkContext.defaultParallelism

@@ -101,20 +101,40 @@ def _block_terms(rows: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(np.full(len(df), rows.column("block")[0].as_py(), np.int32)), "term": b.terms, "df": df.astype(np.int64), "times": times.astype(np.int64)})
 
 
+def _weighted(b: _Grams, known: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place in ``known``, weight by the known term's idf) of each (key, term) with a known term; a key's weights have length one."""
+    found = pc.index_in(b.terms, value_set=known.column("term").combine_chunks())
+    place = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[b.term]
+    has = np.flatnonzero(place >= 0)
+    key, place = b.key[has], place[has]
+    x = (1 + np.log(b.times[has])) * known.column("idf").to_numpy()[place]
+    return key, place, x / np.sqrt(np.bincount(key, x * x, minlength=b.keys))[key]
+
+
 def _block_scores(rows: pa.Table, known: pa.Table) -> pa.Table:
     if not rows.num_rows:
         return pa.table({"key": rows.column("key"), "z": pa.array([], pa.float64())})
     b = _Grams(rows)
-    found = pc.index_in(b.terms, value_set=known.column("term").combine_chunks())
-    place = found.fill_null(-1).to_numpy().astype(np.int64)[b.term]
-    has = np.flatnonzero(place >= 0)
-    idf, coef = (known.column(c).to_numpy()[place[has]] for c in ("idf", "coef"))
-    x = (1 + np.log(b.times[has])) * idf
-    z, square = (np.bincount(b.key[has], v, minlength=b.keys) for v in (x * coef, x * x))
-    z = np.divide(z, np.sqrt(square), out=np.zeros(b.keys), where=square > 0)
+    key, place, x = _weighted(b, known)
+    z = np.bincount(key, x * known.column("coef").to_numpy()[place], minlength=b.keys)
     return pa.table({"key": rows.column("key"), "z": pa.array(np.where(rows.column("key").is_null().to_numpy(), 0.0, z[b.of]))})
 
 
+def _block_vectors(rows: pa.Table, known: pa.Table, size: int, names: list[str]) -> pa.Table:
+    b = _Grams(rows)
+    key, place, x = _weighted(b, known)
+    at = known.column("at").to_numpy()[place]
+    order = np.lexsort((at, key))
+    at, x, ends = at[order], x[order], np.searchsorted(key[order], np.arange(b.keys + 1))
+    sizes = np.diff(ends)[b.of]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    take = np.repeat(ends[b.of] - offsets[:-1], sizes) + np.arange(offsets[-1])
+    lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v[take], t)) for v, t in ((at, pa.int32()), (x, pa.float64()))]
+    n = rows.num_rows
+    features = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), *lists], names=["type", "size", "indices", "values"])
+    return pa.table({"features": features} | {c: rows.column(c) for c in names})
+
+
 class TextBlocks:
     """Rows of key and text, dealt by key to blocks of about ``block_bytes`` of text; a key's rows are one document.
 
@@ -122,13 +142,13 @@ class TextBlocks:
     vocabulary come back, so that what is shuffled follows the distinct terms of a block and not those of every document.
     """
 
-    def __init__(self, docs: DataFrame, key: str, text: str, block_bytes: int = 16 << 20):
+    def __init__(self, docs: DataFrame, key: str, text: str, block_bytes: int = 16 << 20, also: tuple[str, ...] = ()):
         total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
         cores = docs.sparkSession.sparkContext.defaultParallelism
         blocks = max(1, math.ceil(total / block_bytes), min(2 * cores, total >> 20))
-        self.key, self.kind = key, docs.select(key).schema[0].dataType.simpleString()
-        dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
-        self.rows = dealt.select("block", "key", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0).alias("words")).groupBy("block")
+        self.key, self.kind, self.also = key, docs.select(key).schema[0].dataType.simpleString(), {c: docs.schema[c].dataType.simpleString() for c in also}
+        dealt = docs.select(*also, F.col(key).alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
+        self.rows = dealt.select("block", "key", *also, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0).alias("words")).groupBy("block")
 
     def terms(self) -> DataFrame:
         """(block, term, df, times): in how many of a block's documents a term is, and how often."""
@@ -138,6 +158,12 @@ class TextBlocks:
         """(key, z) of every row: the product of a vector of length one over its block's (block, term, idf, coef) with the coefficients; 0 without known terms."""
         return self.rows.cogroup(known.groupBy("block")).applyInArrow(_block_scores, f"key {self.kind}, z double").withColumnRenamed("key", self.key)
 
+    def vectors(self, known: DataFrame, size: int) -> DataFrame:
+        """(features, columns of ``also``) of every row: its vector of length one over its block's (block, term, at, idf), in the form that Spark stores sparse vectors in."""
+        names = list(self.also)
+        shape = f"features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>{''.join(f', {c} {t}' for c, t in self.also.items())}"
+        return self.rows.cogroup(known.groupBy("block")).applyInArrow(lambda rows, terms: _block_vectors(rows, terms, size, names), shape)
+
 
 def inverse_frequencies(terms: DataFrame, documents: int, least: int = 2) -> DataFrame:
     """(block, term, idf) of terms in ``least`` documents or more of all blocks together, smoothed; a term has one row for each block at most."""

@@ -1,7 +1,7 @@
 """A text prefilter as a fitted model: one weighting of terms for training and scoring, a held-out gate, saved versions.
 
 A term's weight is (1 + ln(count)) times its inverse document frequency, divided by the length of the
-document's vector; ``weights`` makes it, for the fit and for scores alike. The vocabulary is the ``features``
+document's vector; ``TextBlocks`` makes it, for the fit and for scores alike. The vocabulary is the ``features``
 terms that occur most often in ``min_docs`` documents or more; how many others there are, and which share of all
 occurrences they have, is kept with the model (``dropped_terms``, ``dropped_share``).
 """
@@ -13,8 +13,9 @@ import json
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from winnowline.operators.extraction import gram_counts
+from winnowline.operators.extraction import TextBlocks, gram_counts  # noqa: F401  counts for vocabulary_of
 from winnowline.sources.scratch import stored
 
 #: The thresholds that a training report lists.
@@ -23,20 +24,18 @@ SWEEP = (0.1, 0.2, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 def vocabulary_of(counts: DataFrame, documents: int, features: int, min_docs: int = 2) -> tuple[DataFrame, dict]:
     """((term, idf) of the ``features`` terms with the most occurrences, ties by term; what was left out)."""
-    terms = stored(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.round(F.exp(F.col("tf") - 1))).alias("times")).where(F.col("df") >= min_docs))
+    return most_frequent(counts.select("term", F.lit(1).alias("df"), F.round(F.exp(F.col("tf") - 1)).alias("times")), documents, features, min_docs)
+
+
+def most_frequent(terms: DataFrame, documents: int, features: int, min_docs: int = 2) -> tuple[DataFrame, dict]:
+    """The same from (term, df, times) in parts."""
+    terms = stored(terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("times").alias("times")).where(F.col("df") >= min_docs))
     chosen = stored(terms.orderBy(F.desc("times"), "term").limit(features))
     (n, times), (own, own_times) = (d.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0.0))).first() for d in (terms, chosen))
     left = {"dropped_terms": n - own, "dropped_share": round(1 - own_times / times, 6) if times else 0.0}
     return chosen.select("term", (F.ln((1 + F.lit(float(documents))) / (1 + F.col("df"))) + 1).alias("idf")), left
 
 
-def weights(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """(key, term, x, other columns of the vocabulary): vectors of length one over the vocabulary's terms."""
-    own = counts.join(vocabulary, "term").withColumn("x", F.col("tf") * F.col("idf"))
-    length = own.groupBy(F.col(key).alias("of")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    return own.join(length, F.col(key) == F.col("of")).withColumn("x", F.col("x") / F.col("length")).drop("of", "length", "tf")
-
-
 def held_out(df: DataFrame, key: str, label: Column, fraction: float, seed: int = 42) -> Column:
     """Whether a row is held out: the same share of either class, by hash of the key."""
     place = F.xxhash64(F.lit(seed), F.col(key))
@@ -62,39 +61,41 @@ class TextPrefilter(Estimator):
 
     def _fit(self, dataset: DataFrame) -> TextPrefilterModel:
         d = stored(dataset.select(F.col(self.key).alias("key"), F.coalesce(F.col(self.text), F.lit("")).alias("text"), F.col(self.label).cast("int").alias("label")).where("label IS NOT NULL"))
-        counts = stored(gram_counts(d, "key", "text"))
         if d.select("label").distinct().count() != 2:
             raise ValueError("rows of two classes are needed")
-        test = stored(d.where(held_out(d, "key", F.col("label"), self.holdout)).select("key"))
-        train, rest = (stored(x.join(test, "key", "left_anti")) for x in (d.select("key", "label"), counts))
-        trial = self._fitted(train, rest)
-        scored = trial.scores(stored(d.join(test, "key", "left_semi")), "key", "text").join(d.select("key", "label"), "key")
+        # A key's rows are on one side, whatever their labels.
+        keys = stored(d.where(held_out(d, "key", F.col("label"), self.holdout)).select("key"))
+        test, rest = stored(d.join(keys, "key", "left_semi")), stored(d.join(keys, "key", "left_anti"))
+        trial = self._fitted(rest)
+        scored = trial.scores(test, "key", "text").join(d.select("key", "label"), "key")
         sums = scored.agg(F.sum("label").alias("positives"), *[F.struct(F.count_if(F.col("score") >= t).alias("kept"), F.count_if((F.col("score") >= t) & (F.col("label") == 1)).alias("right")).alias(f"t{k}") for k, t in enumerate((*SWEEP, self.threshold))]).first()
         rate = lambda x: round(x["right"] / sums["positives"], 4) if sums["positives"] else 0.0
-        report = {"sweep": [{"threshold": t, "kept": sums[f"t{k}"]["kept"], "positive_retention": rate(sums[f"t{k}"])} for k, t in enumerate(SWEEP)], "threshold": self.threshold, "retention": rate(sums[f"t{len(SWEEP)}"]), "holdout": test.count(), "holdout_positives": sums["positives"]}
+        report = {"sweep": [{"threshold": t, "kept": sums[f"t{k}"]["kept"], "positive_retention": rate(sums[f"t{k}"])} for k, t in enumerate(SWEEP)], "threshold": self.threshold, "retention": rate(sums[f"t{len(SWEEP)}"]), "holdout": keys.count(), "holdout_positives": sums["positives"]}
         if report["retention"] < self.least_retention:
             raise ValueError(f"{report['retention']} of held-out positives stay at {self.threshold}, fewer than {self.least_retention}")
-        model = self._fitted(d.select("key", "label"), counts)
+        model = self._fitted(d)
         model.report |= report
         return model
 
-    def _fitted(self, labels: DataFrame, counts: DataFrame) -> TextPrefilterModel:
+    def _fitted(self, d: DataFrame) -> TextPrefilterModel:
         from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.linalg import SparseVector, VectorUDT
+        from pyspark.ml.linalg import VectorUDT
 
-        n = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}  # two classes
+        spark = d.sparkSession
+        n = {r["label"]: r["count"] for r in d.groupBy("label").count().collect()}  # two classes
         total = sum(n.values())
-        vocabulary, left = vocabulary_of(counts, total, self.features)
-        terms = vocabulary.orderBy("term").toPandas()  # ``features`` rows at most, as are the model's coefficients
-        numbered = labels.sparkSession.createDataFrame(terms.assign(at=range(len(terms))), "term string, idf double, at int")
-        size = max(1, len(terms))
-        # A vector type can't be made by column functions; one call for each document of the fit.
-        vector = F.udf(lambda items: SparseVector(size, [(r["at"], r["x"]) for r in items or []]), VectorUDT())
-        x = weights(counts, numbered, "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("items"))
         weight = F.when(F.col("label") == 1, total / (2 * max(1, n.get(1, 0)))).otherwise(total / (2 * max(1, n.get(0, 0))))
-        rows = stored(labels.join(x, "key", "left").select(vector("items").alias("features"), F.col("label").cast("double").alias("label"), weight.alias("weight")))
+        blocks = TextBlocks(d.select("key", "text", F.col("label").cast("double").alias("label"), weight.alias("weight")), "key", "text", also=("label", "weight"))
+        own = stored(blocks.terms())
+        vocabulary, left = most_frequent(own, total, self.features)
+        terms = vocabulary.orderBy("term").toPandas()  # ``features`` rows at most, as are the model's coefficients
+        numbered = spark.createDataFrame(terms.assign(at=range(len(terms))), "term string, idf double, at int")
+        x = blocks.vectors(own.select("block", "term").join(F.broadcast(numbered), "term"), max(1, len(terms)))
+        rows = stored(x, StructType([StructField("features", VectorUDT()), *x.schema.fields[1:]]))
+        # Each part of the rows sends a whole gradient in every step, so there are as many parts as cores, however many rows there are.
+        rows = rows.coalesce(spark.sparkContext.defaultParallelism)
         fitted = LogisticRegression(weightCol="weight", regParam=1 / (self.inverse_penalty * max(1, total)), standardization=False, maxIter=200).fit(rows)
-        coefficients = labels.sparkSession.createDataFrame(terms.assign(coef=fitted.coefficients.toArray()[: len(terms)]), "term string, idf double, coef double")
+        coefficients = spark.createDataFrame(terms.assign(coef=fitted.coefficients.toArray()[: len(terms)]), "term string, idf double, coef double")
         return TextPrefilterModel(stored(coefficients), float(fitted.intercept), {"rows": total, "positives": n.get(1, 0), **left}, self.key, self.text, self.threshold)
 
 
@@ -107,9 +108,9 @@ class TextPrefilterModel(Model):
 
     def scores(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """(key, score): a text without known terms has the intercept's score."""
-        counts = gram_counts(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)), key, text)
-        z = weights(counts, self.vocabulary, key).groupBy(F.col(key).alias("of")).agg(F.sum(F.col("x") * F.col("coef")).alias("z"))
-        return docs.select(key).join(z, F.col(key) == F.col("of"), "left").select(key, (1 / (1 + F.exp(-(F.coalesce("z", F.lit(0.0)) + self.intercept)))).alias("score"))
+        blocks = TextBlocks(docs.select(key, text), key, text)
+        known = blocks.terms().select("block", "term").join(F.broadcast(self.vocabulary), "term")  # as many rows as the fit has held
+        return blocks.scores(known).select(key, (1 / (1 + F.exp(-(F.col("z") + self.intercept)))).alias("score"))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         """Adds score and drop, by key; keys must be unique."""

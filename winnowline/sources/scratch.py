@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,9 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder and read back: its plan is cut there and a lost executor costs a reread."""
+def stored(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """``df``, written to the shared folder and read back: its plan is cut there and a lost executor costs a reread.
+
+    ``schema`` names types that are stored as ``df`` has them, as vectors are.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/winnowline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
