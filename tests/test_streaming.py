@@ -82,3 +82,15 @@ def test_parents_end_with_their_last_child(spark, tmp_path):
     assert run([(1, 1, True, 2), (1, 2, False, 2), (2, 1, True, 1), (3, 1, None, 1)]) == [(2, 1)]
     assert run([(1, 1, True, 2), (2, 1, True, 1), (3, 1, False, 1)]) == [(2, 1)]
     assert run([(1, 2, True, 2), (3, 1, True, 1)]) == [(1, 2), (2, 1), (3, 1)]
+
+
+def test_parents_come_as_rows_and_an_unknown_number_of_children_never_ends(spark, tmp_path):
+    stateful.with_state_store(spark)
+    shape = "parent long, child long, final boolean, expected int"
+    # The rows of a parent have one expectation, the greatest that is known, wherever it stands among them.
+    rows = [(1, 1, True, None), (2, 1, True, 2), (2, 2, True, None), (3, 1, True, 1)]
+    spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = ingest.file_stream(spark, f"file://{tmp_path}/in", shape)
+    assert "InPandas" not in stateful.finished_parents(stream)._jdf.queryExecution().logical().toString()
+    out = ingest.run_available(stateful.finished_parents(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    assert sorted((r["parent"], r["children"]) for r in out.collect()) == [(2, 2), (3, 1)]

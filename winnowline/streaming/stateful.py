@@ -9,7 +9,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -126,17 +126,19 @@ class _Parents(StatefulProcessor):
         self.state = handle.getValueState("children", "done array<string>, closed boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        done, closed = self.state.get() if self.state.exists() else ([], False)
+        held = self.state.get()
+        done, closed = held if held is not None else ([], False)
         if closed:
             return
         seen, expected = set(done), 0
-        for batch in rows:
-            seen |= set(batch.loc[batch["final"], "child"])
-            expected = int(batch["expected"].max())
+        for row in rows:
+            if row.final:
+                seen.add(row.child)
+            expected = max(expected, row.expected or 0)
         closed = len(seen) >= expected > 0
         self.state.update(([], True) if closed else (sorted(seen), False))
         if closed:
-            yield pd.DataFrame({"parent": [key[0]], "children": [len(seen)]})
+            yield Row(parent=key[0], children=len(seen))
 
     def close(self) -> None:
         pass
@@ -149,7 +151,7 @@ def finished_parents(rows: DataFrame) -> DataFrame:
     """
     kind = dict(rows.dtypes)["parent"]
     own = rows.select("parent", F.col("child").cast("string").alias("child"), F.coalesce("final", F.lit(False)).alias("final"), F.col("expected").cast("long").alias("expected"))
-    return own.groupBy("parent").transformWithStateInPandas(_Parents(), f"parent {kind}, children long", "Append", "None")
+    return own.groupBy("parent").transformWithState(_Parents(), f"parent {kind}, children long", "Append", "None")
 
 
 def with_state_store(spark):
