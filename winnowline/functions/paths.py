@@ -69,15 +69,86 @@ def first(v: Column, path: str) -> Column:
     return F.get(texts(v, path), F.lit(0))
 
 
+def _atoms(chain: list[tuple]) -> list[tuple]:
+    """The steps one by one: ("name", key), ("at", index), ("all",), ("where", ...)."""
+    out = []
+    for step in chain:
+        if step[0] == "get":
+            out += [("name", name) if name else ("at", int(at)) for name, at in re.findall(r'\["([^\[\]]+)"\]|\[(\d+)\]', step[1])]
+        else:
+            out.append(step)
+    return out
+
+
+def _grown(node: dict, path: list[tuple]) -> dict:
+    """The node of a tree of names (None: any element of an array) where a path ends; its steps are added to the tree."""
+    for step in path:
+        node = node.setdefault(step[1] if step[0] == "name" else None, {})
+        if step[0] == "where":
+            _grown(node, _atoms(steps(step[1])))[""] = {}
+    return node
+
+
+def _type(node: dict) -> str | None:
+    """The type that holds all of a tree's paths; None where one value would have to be of two types."""
+    if set(node) <= {""}:
+        return "string"
+    if "" in node or (None in node and len(node) > 1) or len({(k or "").lower() for k in node}) < len(node):
+        return None
+    inner = {k: _type(v) for k, v in node.items()}
+    if None in inner.values():
+        return None
+    return f"array<{inner[None]}>" if None in inner else "struct<" + ", ".join("`" + k.replace("`", "``") + f"`: {v}" for k, v in inner.items()) + ">"
+
+
+def _typed(x: Column, path: list[tuple]) -> tuple[Column, bool]:
+    """What a path leads to in a value that has the type of its tree, and whether that is an array of several."""
+    for i, (kind, *rest) in enumerate(path):
+        if kind in ("name", "at"):
+            x = x.getField(rest[0]) if kind == "name" else F.get(x, F.lit(rest[0]))
+            continue
+        if kind == "where":
+            own, equal, value = _atoms(steps(rest[0])), rest[1], rest[2]
+            same = lambda y: F.coalesce(_typed(y, own)[0] == value, F.lit(False))  # noqa: B023, E731  built at once
+            x = F.filter(x, (lambda y: same(y)) if equal else (lambda y: ~same(y)))
+        after = path[i + 1 :]
+        if after:
+            deeper = any(s[0] in ("all", "where") for s in after)
+            x = F.transform(x, lambda y: _typed(y, after)[0])
+            x = F.flatten(F.array_compact(x)) if deeper else x
+        return x, True
+    return x, False
+
+
 def records(v: Column, items: str, fields: dict[str, str], joined: str = ", ") -> Column:
-    """An array of structs: each value of ``items`` with its fields; a field's path with several values gives them joined, each once."""
+    """An array of structs: each value of ``items`` with its fields; a field's path with several values gives them joined, each once.
+
+    Elements of an array are read at once, into the type that holds all these paths. If the paths ask for one
+    value in two types (``a`` and ``a.b``), or ``items`` doesn't end in an array's elements (where what is absent
+    must be told from what has no fields), each path is read from VARIANT on its own.
+    """
+    chain, own = _atoms(steps(items)), {k: _atoms(steps(p)) for k, p in fields.items()}
+    tree: dict = {}
+    item = _grown(tree, chain)
+    for path in own.values():
+        _grown(item, path)[""] = {}
+    kind, one_type = _type(tree) if chain and chain[-1][0] in ("all", "where") else None, _type(item)
 
     def one(x: Column) -> Column:
         out = []
         for name, path in fields.items():
-            several = any(s[0] != "get" for s in steps(path))
-            own = F.nullif(F.array_join(F.array_distinct(texts(x, path)), joined), F.lit("")) if several else first(x, path)
-            out.append(own.alias(name))
+            if kind:
+                found, several = _typed(x, own[name])
+                found = F.array_compact(found) if several else found
+            else:
+                several = any(s[0] != "get" for s in steps(path))
+                found = texts(x, path) if several else first(x, path)
+            # Not by nullif, which would take the values twice.
+            own_text = F.aggregate(F.array_distinct(found), F.lit(None).cast("string"), lambda s, y: F.coalesce(F.concat(s, F.lit(joined), y), y), lambda s: F.nullif(s, F.lit(""))) if several else found
+            out.append(own_text.alias(name))
         return F.struct(*out)
 
-    return F.transform(every(v, items), one)
+    if not kind:
+        return F.transform(every(v, items), one)
+    found = _typed(F.try_variant_get(v, "$", kind), chain)[0]
+    return F.transform(F.coalesce(found, F.array().cast(f"array<{one_type}>")), one)

@@ -133,9 +133,13 @@ def json_boards(spark, d):
     one = F.struct(n.alias("n"), F.struct(part.alias("id"), F.array(F.struct(c("l_returnflag").alias("name")), F.struct(c("l_linestatus").alias("name"))).alias("offices")).alias("job"))
     two = F.struct(F.when(n % 2 == 0, "open").otherwise("closed").alias("kind"), F.array(F.struct(part.alias("key"), F.array(n).alias("meta"), F.array(F.struct(F.lit(False).alias("primary"), F.lit("x").alias("label")), F.struct(F.lit(True).alias("primary"), c("l_returnflag").alias("label"))).alias("where"))).alias("positions"))
     three = F.struct(F.when(n == 3, "draft").when(n == 2, "job").alias("type"), n.alias("position"), F.struct(part.alias("ref"), c("l_linestatus").alias("location")).alias("attributes"))
-    pages = line.groupBy("l_orderkey").agg(*[F.collect_list(x).alias(f"x{k}") for k, x in enumerate((one, two, three))])
+    shape = c("l_orderkey") % 3
+    # A line is written once, as its own board has it; a page is its lines in a frame.
+    entry = F.when(shape == 0, F.to_json(one)).when(shape == 1, F.to_json(two)).otherwise(F.to_json(three))
+    pages = line.groupBy("l_orderkey").agg(F.array_join(F.collect_list(entry), ",").alias("lines"))
     pages = pages.join(table(spark, d, "orders").select("o_orderkey"), c("l_orderkey") == c("o_orderkey")).withColumn("shape", c("o_orderkey") % 3)
-    body = F.when(c("shape") == 0, F.to_json(F.struct(c("x0").alias("jobs")))).when(c("shape") == 1, F.to_json(F.struct(F.struct(c("x1").alias("sections")).alias("data")))).otherwise(F.to_json("x2"))
+    framed = lambda head, tail: F.concat(F.lit(head), c("lines"), F.lit(tail))
+    body = F.when(c("shape") == 0, framed('{"jobs":[', "]}")).when(c("shape") == 1, framed('{"data":{"sections":[', "]}}")).otherwise(framed("[", "]"))
     read = pages.select(c("o_orderkey").alias("board"), "shape", F.try_parse_json(body).alias("page"))
     jobs = None
     for shape, (items, fields) in BOARDS.items():
