@@ -38,3 +38,38 @@ def test_a_board_collects_its_own_lines_only(spark):
     text = plan(QUERIES["json_boards"](spark, DIR))
     partial = next(line for line in text.splitlines() if "partial_collect_list" in line)
     assert partial.count("partial_collect_list") == 1
+
+
+def test_a_small_dictionary_goes_to_the_words(spark):
+    import re
+    from collections import Counter
+
+    from winnowline.operators import ontology as O
+
+    texts = [(1, "The cat of the house; THE end of the"), (2, "of  the!the of-the"), (3, ""), (4, None), (5, "c++ the"), (6, "the"), (7, "une maison de la rue")]
+    terms = [("The", "word"), ("of  the!", "phrase"), ("of the", "other"), ("of the", "other"), ("de la", "phrase"), ("C++", "word"), ("!!", "empty"), (None, "empty"), ("cat of the", "long"), ("absent", "word")]
+    d = spark.createDataFrame(texts, "i int, t string")
+    t = spark.createDataFrame(terms, "term string, kind string")
+    words = lambda x: re.findall(r"[\w+#]+", (x or "").lower())
+    known = {(" ".join(words(x)), k) for x, k in terms} - {("", "empty")}
+    want = Counter()
+    for i, x in texts:
+        w = words(x)
+        for g in w + [" ".join(p) for p in zip(w, w[1:])]:
+            want.update((i, k, y) for y, k in known if y == g)
+    for held in (O.HELD, 0):  # looked up in place, and shuffled to the terms
+        got = O.enrich(d, "i", "t", t, held)
+        assert {(r["i"], r["kind"], r["term"]): r["n"] for r in got.collect()} == dict(want)
+
+
+def test_words_are_not_shuffled_to_a_small_dictionary(spark):
+    from winnowline.catalog import QUERIES
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as on texts of any size
+    try:
+        text = plan(QUERIES["ontology_enrichment"](spark, DIR))
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+WORD = r"[\p{L}\p{N}+#]+"
+
+
 def normal_term(c: Column) -> Column:
     """Lower-cased words of letters, digits, + and #, single blanks between them."""
-    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}+#]+"), 0), " ")
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0), " ")
 
 
 def coerce(c: Column, aliases: dict[str, str], default: str) -> Column:
@@ -104,9 +107,28 @@ def affected_items(items: DataFrame, changes: DataFrame, previous: str) -> DataF
     return old.select("item").join(hits, "item", "left").select("item", F.coalesce("matched", F.array().cast("array<string>")).alias("matched"))
 
 
-def enrich(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """Dictionary terms that a text holds as whole words, with their kind and how often: an equi-join on one- and two-word grams."""
-    from winnowline.functions.normalize import grams
+#: Terms that a task may hold whole.
+HELD = 200_000
+
 
-    g = texts.select(key, F.explode(grams(F.split(normal_term(F.col(text)), " "))).alias("term"))
-    return g.join(dictionary.select(normal_term(F.col("term")).alias("term"), "kind").distinct(), "term").groupBy(key, "kind", "term").agg(F.count("*").alias("n"))
+def enrich(texts: DataFrame, key: str, text: str, dictionary: DataFrame, held: int = HELD) -> DataFrame:
+    """Dictionary terms of one or two words that a text holds as whole words, with their kind and how often.
+
+    A text's words stay where they are if the dictionary has ``held`` terms at most: each word, and each with
+    the next one, is looked up there. Only with a larger dictionary are words shuffled to its terms, each text's
+    distinct ones with their number.
+    """
+    words = F.split(normal_term(F.col("term")), " ")
+    terms = dictionary.select(words.alias("w"), "kind").where("w[0] <> '' AND size(w) <= 2").groupBy("w").agg(F.collect_set("kind").alias("kinds"))
+    small = terms.limit(held + 1).count() <= held
+    w = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), 0)
+    found = texts.select(key, w.alias("w")).select(key, F.inline(F.arrays_zip(F.col("w").alias("first"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("second"))))
+    if small:
+        one, two = (F.broadcast(terms.where(F.size("w") == n).select(*[F.col("w")[i].alias(c) for i, c in enumerate(("first", "second")[:n])], F.col("kinds").alias(f"kinds{n}"))) for n in (1, 2))
+        hits = found.join(one, "first", "left").join(two, ["first", "second"], "left").where("kinds1 IS NOT NULL OR kinds2 IS NOT NULL")
+        sides = [F.struct(F.col("first").alias("term"), F.col("kinds1").alias("kinds")), F.struct(F.concat_ws(" ", "first", "second").alias("term"), F.col("kinds2").alias("kinds"))]
+        hits = hits.select(key, F.explode(F.array(*sides)).alias("h")).where("h.kinds IS NOT NULL").select(key, "h.term", "h.kinds").groupBy(key, "term", "kinds").agg(F.count("*").alias("n"))
+    else:
+        grams = found.select(key, F.explode(F.array(F.col("first"), F.when(F.col("second").isNotNull(), F.concat_ws(" ", "first", "second")))).alias("term")).where("term IS NOT NULL")
+        hits = grams.groupBy(key, "term").agg(F.count("*").alias("n")).join(terms.select(F.array_join("w", " ").alias("term"), "kinds"), "term")
+    return hits.select(key, F.explode("kinds").alias("kind"), "term", "n")
