@@ -73,3 +73,26 @@ def test_words_are_not_shuffled_to_a_small_dictionary(spark):
     finally:
         spark.conf.set(key, before)
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_texts_are_gone_through_once_for_all_atoms(spark):
+    from winnowline.catalog import QUERIES
+
+    assert "text:string" not in plan(QUERIES["decision_terminal"](spark, DIR))
+
+
+def test_post_rules_lower_a_text_once(spark):
+    from winnowline.operators import decision as D
+
+    tokens = {"candidate": ("looking",), "strong": ("hiring",), "spam": ("win",), "role": ("cook", "Baker"), "context": ("team",), "weak": ("apply",)}
+    texts = ["I am LOOKING", "HIRING now", "COOK in our Team", "cooks in a team", "bAKER! team", "teammate cook", "Win", "Apply", "", None, "KÖCHIN team"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    rules = lambda words, **k: D.post_type(F.col("t"), F.lit(False), F.lit(True), words, **k)
+    lowered = d.withColumn("low", F.lower("t")).select("i", rules(tokens, low=F.col("low")).alias("p"))
+    want = ["candidate_seeking", "job_posting", "job_posting", "unknown", "job_posting", "unknown", "spam", "job_posting", "unknown", "unknown", "unknown"]
+    for df in (lowered, d.select("i", rules(tokens).alias("p"))):
+        assert [r["p"]["label"] for r in df.orderBy("i").collect()] == want
+    assert plan(lowered).count("lower(") == 1
+    # Beyond ASCII the pattern alone decides, which takes such letters as they are.
+    other = d.select("i", rules({"role": ("köchin", "KÖCHIN"), "context": ("team",)}).alias("p"))
+    assert [r["i"] for r in other.where("p.label = 'job_posting'").collect()] == [10]

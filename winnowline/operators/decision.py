@@ -20,9 +20,9 @@ def cases(rules: list[tuple], otherwise=None) -> Column:
     return c.otherwise(otherwise)
 
 
-def any_of(text: Column, tokens: tuple[str, ...]) -> Column:
-    """Whether the lower-cased text contains one of the tokens."""
-    low = F.lower(text)
+def any_of(text: Column, tokens: tuple[str, ...], low: Column | None = None) -> Column:
+    """Whether the lower-cased text contains one of the tokens; ``low`` is that text, if the caller has it."""
+    low = F.lower(text) if low is None else low
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in tokens], F.lit(False))
 
 
@@ -34,16 +34,20 @@ def worded(tokens: tuple[str, ...]) -> str:
     return r"(?i)(?:^|[^\p{L}\p{N}])(?:" + "|".join(re.escape(t) for t in tokens) + r")(?:$|[^\p{L}\p{N}])"
 
 
-def post_type(text: Column, confirmed: Column, open_family: Column, tokens: dict[str, tuple[str, ...]], model: tuple[Column, Column] | None = None, least: float = 0.8) -> Column:
+def post_type(text: Column, confirmed: Column, open_family: Column, tokens: dict[str, tuple[str, ...]], model: tuple[Column, Column] | None = None, least: float = 0.8, low: Column | None = None) -> Column:
     """label, confidence and model_id by the first rule that holds.
 
     A source's own word comes first, then candidates, strong vacancy tokens, a role in hiring context (on
     open channels and career pages only), spam, a confident model, announcements and weak tokens. The words
     of each kind, ``role`` and ``context`` among them, are the caller's; a kind without words never holds.
+    ``low`` is a column with the lower-cased text: a text that isn't ASCII costs more to lower than to search,
+    and each rule would lower it anew.
     """
     made = lambda label, confidence, model_id: F.struct(F.lit(label).alias("label"), F.lit(confidence).cast("double").alias("confidence"), F.lit(model_id).alias("model_id"))
-    has = lambda name: any_of(text, tokens[name]) if tokens.get(name) else F.lit(False)
-    word = lambda name: text.rlike(worded(tokens[name])) if tokens.get(name) else F.lit(False)
+    has = lambda name: any_of(text, tokens[name], low) if tokens.get(name) else F.lit(False)
+    # A pattern is tried only on texts that hold one of its tokens (beyond ASCII, (?i) and lower case differ).
+    near = lambda name: any_of(text, tuple(t.lower() for t in tokens[name]), low) if all(t.isascii() for t in tokens[name]) else F.lit(True)
+    word = lambda name: near(name) & text.rlike(worded(tokens[name])) if tokens.get(name) else F.lit(False)
     # Labels and model ids, by which other tools know the rules.
     rules = [
         (confirmed, made("job_posting", 0.99, "source_contract")),

@@ -8,6 +8,7 @@ from winnowline.functions import text as T
 from winnowline.operators import decision as D
 from winnowline.queries import Registry, table
 from winnowline.queries.records import QUALITY_SQL, RISKS_SQL
+from winnowline.sources.scratch import stored
 
 R = Registry()
 
@@ -38,7 +39,7 @@ def _joined(spark, d):
 
 def _posts(spark, d):
     model = (F.lit("job_posting"), 0.5 + 0.4 * F.col("gold"))
-    return _joined(spark, d).withColumn("post", D.post_type(F.col("text"), F.col("doc_id") % 50 == 0, F.col("doc_id") % 2 == 0, TOKENS, model))
+    return _joined(spark, d).withColumn("low", F.lower("text")).withColumn("post", D.post_type(F.col("text"), F.col("doc_id") % 50 == 0, F.col("doc_id") % 2 == 0, TOKENS, model, low=F.col("low")))
 
 
 @R.add(f"SELECT doc_id, label, round(confidence, 4) AS confidence, model_id FROM ({POST_SQL})")
@@ -99,18 +100,20 @@ UNION ALL SELECT item, item || ':llm', 'PROFILE_RELEVANCE', 'profile_relevance',
 
 
 def _atoms(spark, d):
-    posts = _posts(spark, d)
+    # Texts are gone through once; every kind of atom is made, twice for a decision, from what they say.
+    phrases = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(p)), F.lit(p)) for p in PHRASES]))
+    facts = _posts(spark, d).withColumn("risks", T.risks(F.col("text")))
+    facts = facts.select("doc_id", "item", "lang", "family", "n_chars", "gold", "post", "risks", T.quality(F.col("text"), F.col("lang"), F.col("family"), F.col("risks")).alias("quality"), phrases.alias("phrases"))
+    posts = stored(facts)
     scores = None
     for p, k in PROFILES.items():
         hard = F.col("lang") != "fr" if p == "p1" else F.col("doc_id") % 5 != 0
         s = posts.select("item", "family", F.lit(p).alias("profile"), hard.alias("hard_pass"), *[f(k).cast("double").alias(n) for n, (_, f) in FEATURES.items()])
         scores = s if scores is None else scores.unionByName(s)
-    phrase = F.explode(F.filter(F.array(*[F.lit(p) for p in PHRASES]), lambda x: F.contains(F.lower("text"), x)))
-    matches = posts.select("item", "family", F.lit("p1").alias("profile"), phrase.alias("phrase"))
+    matches = posts.select("item", "family", F.lit("p1").alias("profile"), F.explode("phrases").alias("phrase"))
     status = F.when(F.col("doc_id") % 13 == 0, "filled").when(F.col("doc_id") % 3 == 0, "open")
     fresh = F.element_at(F.array(*map(F.lit, ("explicit_status", "observed_at", "locator_only", "missing"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    risks = T.risks(F.col("text"))
-    items = posts.select("item", "family", F.col("post.label").alias("post_label"), F.col("post.confidence").alias("post_confidence"), risks.alias("risks"), status.alias("status"), fresh.alias("freshness"), T.quality(F.col("text"), F.col("lang"), F.col("family"), risks).alias("quality"))
+    items = posts.select("item", "family", F.col("post.label").alias("post_label"), F.col("post.confidence").alias("post_confidence"), "risks", status.alias("status"), fresh.alias("freshness"), "quality")
     judge = posts.where("gold IS NOT NULL").select(
         "item", F.concat("item", F.lit(":llm")).alias("evidence_id"), F.lit("PROFILE_RELEVANCE").alias("claim"), F.lit("profile_relevance").alias("subject"), F.lit("p1").alias("profile"), F.when(F.col("gold") == 1, "SUPPORTS").otherwise("CONTRADICTS").alias("polarity"),
         F.when(F.col("doc_id") % 3 == 0, 0.9).otherwise(0.6).alias("strength"), F.lit(0.85).alias("reliability"), F.lit("LLM").alias("provenance"), "family", F.concat("item", F.lit(":llm")).alias("independence_key"), F.when(F.col("doc_id") % 2 == 0, "llm:relevance_evidence:").otherwise("llm:score:").alias("evidence_ref"), F.lit(None).cast("timestamp").alias("expires_at"),
