@@ -205,6 +205,24 @@ def test_collocations(docs, least, longest, top, monkeypatch):
     assert bag(got.collect()) == phrases(items(docs), least, longest, top)
 
 
+def test_a_task_holds_few_blocks_at_once(spark, monkeypatch):
+    """Row groups of the tables of blocks are bounded by bytes, as many blocks as a task may have."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(collocations, "BLOCK", 4000)
+    monkeypatch.setattr(collocations, "PART", 1000)
+    monkeypatch.setattr(collocations, "GROUP", 20_000, raising=False)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(500)) for _ in range(60)]
+    d = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").coalesce(1)
+    state = collocations.sequences(d, "text", "lang")
+    settled = collocations._settled(state, 1, 2, 4)
+    for table in (state, collocations._first_lists(state, settled, 4)):
+        files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in table.inputFiles()]
+        sizes = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+        assert sum(sizes) >= 60 and max(sizes) <= 6
+
+
 def test_scores_beyond_64_bits(spark):
     d = spark.range(1).selectExpr("CAST(1000 AS DECIMAL(38, 0)) * CAST(30000000000 AS DECIMAL(38, 0)) * CAST(900000000000 AS DECIMAL(38, 0)) AS x", "CAST(40000000000 AS DECIMAL(38, 0)) * CAST(70000000001 AS DECIMAL(38, 0)) AS y")
     assert d.selectExpr("x div y AS s").first()["s"] == 1000 * 30000000000 * 900000000000 // (40000000000 * 70000000001)

@@ -37,6 +37,8 @@ from winnowline.llm.kernel import U64, mix, span_hashes, spread, tables, trim, u
 BLOCK, PART = 8 << 20, 2 << 20
 #: Blocks whose candidates one bucket takes on average.
 BLOCKS_TO_A_BUCKET = 4
+#: Bytes of a row group of the tables of blocks: one or two blocks, however many a task writes or reads.
+GROUP = 8 << 20
 
 
 @functools.cache
@@ -109,7 +111,7 @@ def sequences(docs: DataFrame, text: str, lang: str) -> DataFrame:
             trim()
 
     d = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    return cut(d.mapInArrow(read, "block long, ids binary, keys binary, counts binary, names array<string>, langs array<string>, spoken array<string>, words array<long>"), "zstd")
+    return cut(d.mapInArrow(read, "block long, ids binary, keys binary, counts binary, names array<string>, langs array<string>, spoken array<string>, words array<long>"), "zstd", GROUP)
 
 
 STATE = "block long, ids binary, keys binary, alive binary, own binary"
@@ -147,6 +149,13 @@ def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
+def _rows(batches):
+    """The rows of the batches one by one: a block is megabytes."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _needed(length: int) -> list[str]:
     return ["block", "keys", "counts"] if length == 1 else ["block", "ids", "keys", "alive"]
 
@@ -155,15 +164,14 @@ def _settled(state: DataFrame, length: int, least: int, buckets: int) -> DataFra
     """Replies (block, bucket, often, home: bits in the order of the block's candidates) and, where block is null, the frequent phrases of a bucket (keys, sums)."""
 
     def ask(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = _asked(row, length)
-                counts = counts.astype(np.uint8 if not len(counts) or counts.max() < 256 else np.uint32)
-                at = _bounds(keys, buckets)
-                full = np.flatnonzero(np.diff(at)).tolist()
-                yield pa.record_batch([pa.array(full, pa.int32()), pa.array([row["block"]] * len(full), pa.int64()), *(pa.array([x[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()) for x in (keys, counts))], names=["bucket", "block", "keys", "counts"])
-                del keys, counts
-                trim()
+        for row in _rows(batches):
+            keys, counts = _asked(row, length)
+            counts = counts.astype(np.uint8 if not len(counts) or counts.max() < 256 else np.uint32)
+            at = _bounds(keys, buckets)
+            full = np.flatnonzero(np.diff(at)).tolist()
+            yield pa.record_batch([pa.array(full, pa.int32()), pa.array([row["block"]] * len(full), pa.int64()), *(pa.array([x[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()) for x in (keys, counts))], names=["bucket", "block", "keys", "counts"])
+            del keys, counts
+            trim()
 
     def settle(rows: pa.Table) -> pa.Table:
         parts = [np.frombuffer(k, U64) for k in rows.column("keys").to_pylist()]
@@ -221,7 +229,7 @@ def _first_lists(state: DataFrame, settled: DataFrame, buckets: int) -> DataFram
         return out
 
     told = settled.where("block IS NOT NULL").select(F.col("block").alias("at"), "bucket", "often", "home")
-    return cut(state.select("block", "ids", "keys", "counts", "names", "langs").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE + ", names array<string>, langs array<string>"), "zstd")
+    return cut(state.select("block", "ids", "keys", "counts", "names", "langs").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE + ", names array<string>, langs array<string>"), "zstd", GROUP)
 
 
 def _next_lists(state: DataFrame, settled: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -240,24 +248,23 @@ def _next_lists(state: DataFrame, settled: DataFrame, length: int, buckets: int)
         return _state(row["block"], ids, np.frombuffer(row["keys"], U64), alive, asked[own])
 
     told = settled.where("block IS NOT NULL").select(F.col("block").alias("at"), "bucket", "often", "home")
-    return cut(state.select("block", "ids", "keys", "alive").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE), "zstd")
+    return cut(state.select("block", "ids", "keys", "alive").groupBy("block").cogroup(told.groupBy("at")).applyInArrow(settle, STATE), "zstd", GROUP)
 
 
 def _cuts(state: DataFrame, length: int) -> DataFrame:
     """(key, words, lefts, rights): each frequent phrase once, from its home, with its word hashes and the keys of its parts at every cut."""
 
     def take(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, dictionary = np.frombuffer(row["ids"], np.uint32), np.frombuffer(row["keys"], U64)
-                at = np.flatnonzero(np.frombuffer(row["alive"], np.uint8))
-                keys, first = np.unique(phrase_keys([dictionary[ids[at + k] - 1] for k in range(length)]), return_index=True)
-                own = _among(keys, np.frombuffer(row["own"], U64))
-                keys, at = keys[own], at[first[own]]
-                words = [dictionary[ids[at + k] - 1] for k in range(length)]
-                lists = [np.stack(x, 1) for x in (words, [phrase_keys(words[:k]) for k in range(1, length)], [phrase_keys(words[k:]) for k in range(1, length)])]
-                wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64)))
-                yield pa.record_batch([pa.array(keys.view(np.int64)), *map(wide, lists)], names=["key", "words", "lefts", "rights"])
+        for row in _rows(batches):
+            ids, dictionary = np.frombuffer(row["ids"], np.uint32), np.frombuffer(row["keys"], U64)
+            at = np.flatnonzero(np.frombuffer(row["alive"], np.uint8))
+            keys, first = np.unique(phrase_keys([dictionary[ids[at + k] - 1] for k in range(length)]), return_index=True)
+            own = _among(keys, np.frombuffer(row["own"], U64))
+            keys, at = keys[own], at[first[own]]
+            words = [dictionary[ids[at + k] - 1] for k in range(length)]
+            lists = [np.stack(x, 1) for x in (words, [phrase_keys(words[:k]) for k in range(1, length)], [phrase_keys(words[k:]) for k in range(1, length)])]
+            wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64)))
+            yield pa.record_batch([pa.array(keys.view(np.int64)), *map(wide, lists)], names=["key", "words", "lefts", "rights"])
 
     return cut(state.mapInArrow(take, "key long, words array<long>, lefts array<long>, rights array<long>"))
 

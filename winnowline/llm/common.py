@@ -25,15 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
+def cut(df: DataFrame, codec: str | None = None, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs a reread and not a recomputation, and the files
     give Spark an exact size: a small table is broadcast by Spark's own size check, a large one isn't.
+    ``group_bytes`` is for rows of megabytes: a task holds the rows of a row group at once, as writer and
+    as reader, and without it looks at their size only after a hundred of them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnowline-{uuid.uuid4().hex}"
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    options = {"compression": codec} if codec else {}
+    if group_bytes:
+        options |= {"parquet.block.size": str(group_bytes), "parquet.page.size.row.check.min": "1"}
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
