@@ -96,3 +96,16 @@ def test_post_rules_lower_a_text_once(spark):
     # Beyond ASCII the pattern alone decides, which takes such letters as they are.
     other = d.select("i", rules({"role": ("köchin", "KÖCHIN"), "context": ("team",)}).alias("p"))
     assert [r["i"] for r in other.where("p.label = 'job_posting'").collect()] == [10]
+
+
+def test_keys_of_titles_are_not_broadcast(spark):
+    """A title has hundreds of keys, but Spark takes their table to be as small as that of the titles."""
+    from winnowline.operators import fuzzy
+
+    titles = spark.createDataFrame([(1, f"a title of some words, number {i}") for i in range(40)], "block int, title string")
+    pairs = fuzzy.title_pairs(titles, 90)
+    text = plan(pairs)
+    assert "SortMergeJoin [key#" in text and "BroadcastHashJoin [key#" not in text
+    names = [r["title"] for r in titles.collect()]
+    want = {(a, b) for a in names for b in names if a < b and fuzzy.ratio(a, b) >= 90}
+    assert {tuple(sorted((r["x"], r["y"]))) for r in pairs.collect()} == want and want
